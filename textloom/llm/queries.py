@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import chat, langid, quality, simhash, warc
+from textloom.llm import chat, decontaminate, langid, quality, simhash, warc
 from textloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.with_planted(table(spark, sf_dir, "conversations"))))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_fp().alias("fingerprint"), "component_id")
@@ -29,5 +33,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op4_language_id, op5_chat_formatting, op9_simhash_near_dedup, op10_warc)}
-ORACLE_SQL = {"op5_chat_formatting": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op4_language_id, op5_chat_formatting, op7_benchmark_decontamination, op9_simhash_near_dedup, op10_warc)}
+ORACLE_SQL = {"op5_chat_formatting": chat.ORACLE, "op7_benchmark_decontamination": decontaminate.ORACLE}
