@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import chat, decontaminate, langid, quality, simhash, warc
+from textloom.llm import chat, decontaminate, langid, pieces, quality, simhash, warc, weighted
 from textloom.llm.common import table
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.compared_with_next(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +28,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_fp().alias("fingerprint"), "component_id")
@@ -33,5 +41,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op4_language_id, op5_chat_formatting, op7_benchmark_decontamination, op9_simhash_near_dedup, op10_warc)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op3_quality_classifier,
+        op4_language_id,
+        op5_chat_formatting,
+        op7_benchmark_decontamination,
+        op8_sentencepiece,
+        op9_simhash_near_dedup,
+        op10_warc,
+    )
+}
 ORACLE_SQL = {"op5_chat_formatting": chat.ORACLE, "op7_benchmark_decontamination": decontaminate.ORACLE}

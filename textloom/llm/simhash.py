@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import prepare, stored, words_of
+from textloom.llm.common import n_partitions, prepare, stored, words_of
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -147,7 +147,8 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     masks = _masks(max_bits)
     postings = F.array(*[F.struct(F.lit(i).cast("byte").alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
     lists = (
-        fps.select("fp", F.explode(postings).alias("x"))
+        fps.repartition(n_partitions(fps.sparkSession), "fp")
+        .select("fp", F.explode(postings).alias("x"))
         .groupBy("x.p", "x.k")
         .agg(F.collect_list("fp").alias("fps"))
         .where(F.size("fps") > 1)
