@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import chat, decontaminate, langid, pieces, quality, simhash, warc, weighted
+from textloom.llm import chat, decontaminate, extract, langid, lm, pieces, quality, simhash, warc, weighted
 from textloom.llm.common import table
 
 
@@ -12,6 +13,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.compared_with_next(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +29,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.with_planted(table(spark, sf_dir, "conversations"))))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -45,9 +54,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_document_fingerprints,
+        op2_lm_scoring,
         op3_quality_classifier,
         op4_language_id,
         op5_chat_formatting,
+        op6_html_extraction,
         op7_benchmark_decontamination,
         op8_sentencepiece,
         op9_simhash_near_dedup,
