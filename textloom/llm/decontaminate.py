@@ -127,7 +127,7 @@ def _covered(hits: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, contaminated) for every row; items are ids as strings, sorted."""
+    """(doc_id, text_hash, n_words, n_hit, items, contaminated) for every row; items are ids as strings, sorted."""
     bench = Benchmark(benchmark)
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     prints = fingerprints(texts, bench.short).select("doc_id", "h", "words", "n", "kept")
@@ -157,6 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     told = summed.select(
         "doc_id",
+        F.col("h").alias("text_hash"),
         F.col("n").cast("long").alias("n_words"),
         _covered(F.array_sort("hits")).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"),
