@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from textloom.plans import documents, layout, relational
+
+PLANS = (documents, relational, layout)
+
 
 def queries():
-    return {}
+    return {name: f for p in PLANS for name, f in p.query.queries.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for p in PLANS for name, sql in p.query.sql.items()}
