@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 LEAST_WORD, MOST_TEXTS, TOP = 4, 400, 60
 LEAST_RATIO = 0.8
@@ -29,12 +30,15 @@ def candidates(probes: DataFrame, texts: DataFrame, top: int = TOP, most: int =
     return common.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-@F.pandas_udf("double")
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's ratio, which neither engine has."""
-    from difflib import SequenceMatcher
+def ratio(a: str, b: str) -> Column:
+    """difflib's ratio of two text columns, which Spark has not, in Arrow batches."""
 
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+    def batch(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([SequenceMatcher(None, i or "", j or "").ratio() for i, j in zip(x, y, strict=True)], dtype=float)
+
+    return F.pandas_udf(batch, DoubleType())(a, b)
 
 
 def similar(probes: DataFrame, texts: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
