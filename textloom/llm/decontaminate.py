@@ -87,6 +87,11 @@ def _windows(words_: str, lengths: Column) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("s"), lengths.alias("len"), F.array_join(F.slice(words_, s + 1, lengths), " ").alias("w")))
 
 
+#: Fingerprint -1 stands for the text itself. It also keeps Spark from inferring a filter on the array of fingerprints, which it
+#: would push below all the steps that make it and so repeat them.
+_OWN_AND_KEPT = "concat(array(-1L), kept)"
+
+
 class Benchmark:
     """Windows (w, items) and fingerprints (fp, len) of the items."""
 
@@ -96,7 +101,7 @@ class Benchmark:
         self.short = sorted(r[0] for r in items.where(F.col("len") < SPAN).select("len").distinct().collect())
         spread = items.select("item", F.explode(_windows("words", F.col("len"))).alias("x"))
         self.windows = spread.groupBy(F.col("x.w").alias("w")).agg(F.collect_set("item").alias("items"))
-        kept = fingerprints(items, self.short).select("len", F.explode("kept").alias("f"))
+        kept = fingerprints(items, self.short).select(F.explode(F.expr(_OWN_AND_KEPT)).alias("f")).where("f >= 0")
         # A fingerprint of a short item is looked for at its place alone; both kinds differ by the length in the hash.
         self.prints = kept.select(_hash("f").alias("fp")).distinct()
         self.small = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] <= BROADCAST_WINDOWS
@@ -132,8 +137,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     prints = fingerprints(texts, bench.short).select("doc_id", "h", "words", "n", "kept")
     if bench.small:
-        # Fingerprint -1 stands for the document itself and passes both joins.
-        spread = prints.select("doc_id", "h", "words", "n", F.explode(F.concat(F.array(F.lit(-1).cast("long")), "kept")).alias("f"))
+        # -1 passes both joins.
+        spread = prints.select("doc_id", "h", "words", "n", F.explode(F.expr(_OWN_AND_KEPT)).alias("f"))
         met = spread.withColumn("fp", _hash("f")).join(bench.hint(bench.prints.withColumn("met", F.lit(True))), "fp", "left")
         met = met.where("f = -1 or met").withColumn("place", _place("f"))
         none = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).alias("len")))
@@ -142,7 +147,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hits = rows.join(bench.hint(bench.windows), "w", "left").where("x.s < 0 or items is not null")
     else:
         own = texts.select("doc_id", "h", "n", F.struct(F.lit(-1).alias("s"), F.lit(0).alias("len")).alias("x"), F.lit(None).cast("array<string>").alias("items"))
-        met = prints.select("doc_id", "h", "n", F.explode("kept").alias("f")).withColumn("fp", _hash("f")).join(bench.prints, "fp").withColumn("place", _place("f"))
+        met = prints.select("doc_id", "h", "n", F.explode(F.expr(_OWN_AND_KEPT)).alias("f")).where("f >= 0").withColumn("fp", _hash("f")).join(bench.prints, "fp").withColumn("place", _place("f"))
         spots = met.select("doc_id", "h", F.explode(_candidate_windows(bench.short)).alias("x")).distinct()
         again = texts.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "words", "n").dropDuplicates(["d", "g"])
         rows = spots.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
