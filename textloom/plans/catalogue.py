@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import documents, layout, relational
+from textloom.plans import documents, layout, relational, structure
 
-PLANS = (documents, relational, layout)
+PLANS = (documents, relational, layout, structure)
 
 
 def queries():

@@ -15,7 +15,7 @@ def boxes(spark, d):
     return geometry.token_boxes(table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("page"), F.substring("text", 1, 1500).alias("text")))
 
 
-BOXES = """(select page, id, id // 8 as line, t, (id % 8) * 60.0 + (length(t) * 7) % 11 as x0, cast((id // 8) * 12.0 + length(t) % 3 as double) as y0, (id % 8) * 60.0 + (length(t) * 7) % 11 + length(t) * 6.0 as x1,
+BOXES = """(select page, id, id // 8 as line, t, cast((id % 8) * 60.0 + (length(t) * 7) % 11 as double) as x0, cast((id // 8) * 12.0 + length(t) % 3 as double) as y0, cast((id % 8) * 60.0 + (length(t) * 7) % 11 + length(t) * 6.0 as double) as x1,
     cast((id // 8) * 12.0 + length(t) % 3 + 10.0 as double) as y1 from (select page, unnest(range(len(w))) as id, unnest(w) as t from (select doc_id as page, list_filter(string_split_regex(substring(text, 1, 1500), '\\s+'), lambda w: w <> '') as w from documents where text is not null)))"""
 
 
@@ -44,7 +44,7 @@ def line_islands(spark, d):
 
 
 @query(f"""with b as {BOXES}, g as (select page, line, lead(x0) over (partition by page, line order by x0, id) - x1 as gap from b), r as (select page, line, list(gap order by gap desc) as g from g where gap is not null group by 1, 2)
-    select page, line, round(g[1], 6) as gap, round(coalesce(g[2], 0), 6) as second from r where g[1] >= 20 and g[1] >= 1.5 * coalesce(g[2], 0)""")
+    select page, line, round(g[1], 6) as gap, round(coalesce(g[2], 0.0), 6) as second from r where g[1] >= 20 and g[1] >= 1.5 * coalesce(g[2], 0)""")
 def widest_gap(spark, d):
     return geometry.widest_gaps(boxes(spark, d), 20.0, 1.5)
 
@@ -65,14 +65,14 @@ def free_width(spark, d):
     return geometry.free_width(boxes(spark, d), 480.0)
 
 
-@query(f"with b as {BOXES}, k as (select page, id, length(t) % 3 as label, id - row_number() over (partition by page, length(t) % 3 order by id) as k from b) select page, label, cast(min(id) as integer) as start, count(*) as length from k group by page, label, k")
+@query(f"with b as {BOXES}, k as (select page, id, length(t) % 3 as label, id - row_number() over (partition by page, length(t) % 3 order by id) as k from b) select page, cast(label as integer) as label, cast(min(id) as integer) as start, count(*) as length from k group by page, label, k")
 def list_label_runs(spark, d):
     rows = boxes(spark, d).select("page", "id", F.pmod(F.length("t"), F.lit(3)).alias("label"))
     return order.runs(rows, ["page"], "id", "label")
 
 
 @query("""with o as (select page_id % 10 as doc, cast(regexp_extract(url, '[0-9]+') as integer) - page_id as off from pages where regexp_extract(url, '[0-9]+') <> ''), c as (select doc, off, count(*) as n from o group by 1, 2)
-    select doc, off as offset, n, total from (select *, sum(n) over (partition by doc) as total, row_number() over (partition by doc order by n desc, off) as r from c) where r = 1""")
+    select doc, off as offset, n, cast(total as bigint) as total from (select *, sum(n) over (partition by doc) as total, row_number() over (partition by doc order by n desc, off) as r from c) where r = 1""")
 def page_offset_mode(spark, d):
     number = F.regexp_extract("url", "[0-9]+", 0)
     rows = table(spark, d, "pages").where(number != "").select((F.col("page_id") % 10).alias("doc"), (number.cast("int") - F.col("page_id")).alias("offset"))

@@ -179,7 +179,7 @@ def upper_lower_medians(spark, d):
     return order.medians(table(spark, d, "events"), "event_type", "value")
 
 
-@query("select l_shipmode, l_quantity, weight from (select *, row_number() over (partition by l_shipmode order by weight desc, l_quantity) as r from (select l_returnflag as l_shipmode, l_quantity, sum(l_linenumber) as weight from lineitem group by 1, 2)) where r = 1")
+@query("select l_shipmode, l_quantity, cast(weight as bigint) as weight from (select *, row_number() over (partition by l_shipmode order by weight desc, l_quantity) as r from (select l_returnflag as l_shipmode, l_quantity, sum(l_linenumber) as weight from lineitem group by 1, 2)) where r = 1")
 def weighted_mode(spark, d):
     rows = table(spark, d, "lineitem").withColumn("l_shipmode", F.col("l_returnflag"))
     return order.weighted_mode(rows, "l_shipmode", "l_quantity", "l_linenumber")
