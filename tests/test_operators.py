@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import checks as C
+from textloom.functions import morphology as M
 from textloom.functions import rewrite as R
 from textloom.functions import text as X
 from textloom.operators import audit, dictionary, geometry, memory, order, similar, state, terms
@@ -28,6 +29,8 @@ def value(spark, expression, **columns):
     ("A szelepet nyitni kell", "Клапан закрыть", ["action_flip open/close"]),
     ("A szelepet nyitni kell", "Клапан открыть", []),
     ("le és felterhelés", "разгрузка и нагрузка", []),
+    ("tömörtelenség esetén", "при герметичности", ["negation_lost"]),
+    ("tömörtelenség esetén", "при негерметичности", []),
     ("szelep", "Клаpан", ["mixed_alphabet: Клаpан"]),
     ("szelep", "漢клапан", ["foreign_script"]),
     ("szelep", "valve", ["untranslated"]),
@@ -206,3 +209,18 @@ def test_stream_equals_batch(spark, tmp_path):
     q = E.run_once(s, "windows_out", str(tmp_path / "cp"), "complete")
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("windows_out").collect())) == sorted(map(tuple, E.windowed(df).collect()))
+
+
+def test_morphology(spark):
+    assert value(spark, M.negated_words(F.col("t")), t="tömörtelenség esetén hirtelen inhermetikusság") == ["tömörtelenség", "inhermetikusság"]
+    assert value(spark, M.negations(F.col("t")), t="Nem megengedett a szivárgás") == 1
+    assert value(spark, M.ru_negations(F.col("t")), t="необходимо не включать, без воды") == 2
+    assert value(spark, M.mined_stem(F.col("t")), t="szelepekben") == "szelep"
+    for term, word, same in (("hűtővíz", "hűtővízre", True), ("üzem", "üzemállapotba", False), ("kazetta", "kazettát", True), ("насос", "насосами", True), ("останов", "остановка", False), ("3PR04", "3pr04", True)):
+        assert value(spark, M.matches_word(F.col("a"), F.col("b")), a=term, b=word) is same, (term, word)
+
+
+def test_inflected_phrases(spark):
+    texts = spark.createDataFrame([(1, "A biztonsági hűtővízre van"), (2, "üzemállapotba kerül az üzemben"), (3, "насосами охлаждения")], "id long, text string")
+    entries = spark.createDataFrame([(1, "biztonsági hűtővíz"), (2, "üzem"), (3, "насос охлаждение")], "entry int, term string")
+    assert sorted(map(tuple, dictionary.phrase_hits(texts, entries, inflected=True).collect())) == [(1, 1, 1, 3), (2, 2, 3, 4), (3, 3, 0, 2)]

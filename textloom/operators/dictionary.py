@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.morphology import matches_word
+
 WINDOW_EXTRA = 2
 HIT_LIMIT = 90
 STEM = 4
@@ -28,12 +30,19 @@ def positions(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.posexplode(words(F.col("text"))).alias("i", "w"))
 
 
-def phrase_hits(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    """Contiguous matches of ``entries(entry, term)``: (id, entry, i, j), words equal by stem key, blocked by the first word.
+def phrase_hits(texts: DataFrame, entries: DataFrame, inflected: bool = False) -> DataFrame:
+    """Contiguous matches of ``entries(entry, term)``: (id, entry, i, j), words equal by stem key.
 
     Each entry word is matched by an equi-join on key, and a run counts if all its words start at one place: no pairs of
-    texts and entries are made that share nothing.
+    texts and entries are made that share nothing. ``inflected`` blocks by three letters and then asks that the text's word is the
+    term's stem with an ending or a chain of suffixes.
     """
+    if inflected:
+        stem = lambda w: F.substring(w, 1, 3)
+        parts = entries.select("entry", F.size(words(F.col("term"))).alias("n"), F.posexplode(words(F.col("term"))).alias("k", "tw")).withColumn("key", stem("tw"))
+        met = positions(texts).withColumn("key", stem("w")).join(parts, "key").where(matches_word(F.col("tw"), F.col("w")))
+        runs = met.groupBy("id", "entry", (F.col("i") - F.col("k")).alias("i"), "n").agg(F.countDistinct("k").alias("got"))
+        return runs.where("got = n and i >= 0").select("id", "entry", "i", (F.col("i") + F.col("n")).alias("j"))
     parts = entries.select("entry", F.size(words(F.col("term"))).alias("n"), F.posexplode(words(F.col("term"))).alias("k", "tw")).withColumn("key", stem_key(F.col("tw")))
     toks = positions(texts).withColumn("key", stem_key(F.col("w")))
     runs = toks.join(parts, "key").groupBy("id", "entry", (F.col("i") - F.col("k")).alias("i"), "n").agg(F.countDistinct("k").alias("got"))
