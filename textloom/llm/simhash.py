@@ -147,7 +147,7 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     masks = _masks(max_bits)
     postings = F.array(*[F.struct(F.lit(i).cast("byte").alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
     lists = (
-        fps.repartition(n_partitions(fps.sparkSession), "fp")
+        fps.repartition(n_partitions(fps.sparkSession))  # by no key: one that the grouping below shares would be dropped
         .select("fp", F.explode(postings).alias("x"))
         .groupBy("x.p", "x.k")
         .agg(F.collect_list("fp").alias("fps"))
