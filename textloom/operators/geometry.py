@@ -69,12 +69,13 @@ def reading_order(blocks: DataFrame, middle: float, wide: float) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("page").orderBy("band", "side", "y0", "x0", "id")))
 
 
-def contained(boxes: DataFrame, cells: DataFrame) -> DataFrame:
+def contained(boxes: DataFrame, cells: DataFrame, band: float = 24.0) -> DataFrame:
     """The smallest cell that holds a box's centre: (page, id, cell)."""
     cx, cy = (F.col("a.x0") + F.col("a.x1")) / 2, (F.col("a.y0") + F.col("a.y1")) / 2
-    met = (F.col("a.page") == F.col("b.page")) & cx.between(F.col("b.x0"), F.col("b.x1")) & cy.between(F.col("b.y0"), F.col("b.y1"))
+    a, b = boxes.withColumn("band", F.floor((F.col("y0") + F.col("y1")) / 2 / band)).alias("a"), buckets(cells, band).alias("b")
+    met = (F.col("a.page") == F.col("b.page")) & (F.col("a.band") == F.col("b.band")) & cx.between(F.col("b.x0"), F.col("b.x1")) & cy.between(F.col("b.y0"), F.col("b.y1"))
     area = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0"))
-    rows = boxes.alias("a").join(cells.alias("b"), met).select(F.col("a.page").alias("page"), F.col("a.id").alias("id"), F.col("b.id").alias("cell"), area.alias("area"))
+    rows = a.join(b, met).select(F.col("a.page").alias("page"), F.col("a.id").alias("id"), F.col("b.id").alias("cell"), area.alias("area"))
     return rows.groupBy("page", "id").agg(F.min_by("cell", F.struct("area", "cell")).alias("cell"))
 
 
@@ -89,37 +90,21 @@ def free_width(boxes: DataFrame, page_width: float) -> DataFrame:
     return boxes.select("page", "line", "id", F.round(F.coalesce(nxt, F.lit(page_width)) - F.col("x0"), 6).alias("room"))
 
 
-def touching(rules: DataFrame, reach: float = 2.0) -> DataFrame:
-    """Pairs of rules (boxes) of a page that touch within ``reach``: (page, a, b)."""
-    a, b = rules.alias("a"), rules.alias("b")
-    met = (F.col("a.page") == F.col("b.page")) & (F.col("a.id") < F.col("b.id"))
-    for lo, hi in (("x0", "x1"), ("y0", "y1")):
-        met = met & (F.col(f"a.{lo}") <= F.col(f"b.{hi}") + reach) & (F.col(f"b.{lo}") <= F.col(f"a.{hi}") + reach)
-    return a.join(b, met).select(F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+def touching(rules: DataFrame, reach: float = 2.0, band: float = 24.0) -> DataFrame:
+    """Pairs of rules (boxes) of a page that touch within ``reach``: (page, a, b); an equi-join on page and band."""
+    rows = buckets(rules.withColumn("y1", F.col("y1") + reach), band)
+    a, b = rows.alias("a"), rows.alias("b")
+    met = (F.col("a.page") == F.col("b.page")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))
+    met = met & (F.col("a.x0") <= F.col("b.x1") + reach) & (F.col("b.x0") <= F.col("a.x1") + reach) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("b.y0") <= F.col("a.y1"))
+    first_band = F.col("a.band") == F.floor(F.greatest("a.y0", "b.y0") / band)
+    return a.join(b, met & first_band).select(F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def grids(rules: DataFrame, reach: float = 2.0) -> DataFrame:
-    """Connected groups of touching rules: (page, id, grid); pages are independent and grouped in Arrow batches."""
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, box = pdf["id"].to_numpy(), pdf[["x0", "y0", "x1", "y1"]].to_numpy()
-        label = {i: i for i in ids}
-
-        def root(i):
-            while label[i] != i:
-                label[i] = label[label[i]]
-                i = label[i]
-            return i
-
-        order = box[:, 0].argsort()
-        for n, k in enumerate(order):
-            for m in order[n + 1 :]:
-                if box[m, 0] > box[k, 2] + reach:
-                    break
-                if box[m, 1] <= box[k, 3] + reach and box[k, 1] <= box[m, 3] + reach:
-                    a, b = sorted((root(ids[k]), root(ids[m])))
-                    label[b] = a
-        return pd.DataFrame({"page": pdf["page"], "id": ids, "grid": [root(i) for i in ids]})
-
-    return rules.groupBy("page").applyInPandas(one, "page long, id int, grid int")
+    """Connected groups of touching rules: (page, id, grid), the smallest id of the group; links are closed by star rounds on (page, id)."""
+    from textloom.llm.simhash import components
+
+    node = lambda c: F.struct("page", F.col(c).alias("id"))
+    roots = components(touching(rules, reach).select(node("a").alias("a"), node("b").alias("b")))
+    roots = roots.select(F.col("node.page").alias("page"), F.col("node.id").alias("id"), F.col("root.id").alias("grid"))
+    return rules.select("page", "id").join(roots, ["page", "id"], "left").select("page", "id", F.coalesce("grid", "id").alias("grid"))

@@ -12,7 +12,7 @@ query = Registry()
 
 
 def boxes(spark, d):
-    return geometry.token_boxes(table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("page"), F.substring("text", 1, 1500).alias("text")))
+    return geometry.token_boxes(table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("page"), "text"))
 
 
 BOXES = """(select page, id, id // 8 as line, t, cast((id % 8) * 60.0 + (length(t) * 7) % 11 as double) as x0, cast((id // 8) * 12.0 + length(t) % 3 as double) as y0, cast((id % 8) * 60.0 + (length(t) * 7) % 11 + length(t) * 6.0 as double) as x1,
@@ -82,7 +82,7 @@ def page_offset_mode(spark, d):
 
 @query()
 def connected_rules(spark, d):
-    rules = boxes(spark, d).where(F.col("id") < 200).select("page", "id", "x0", "y0", "x1", "y1")
+    rules = boxes(spark, d).select("page", "id", "x0", "y0", "x1", "y1")
     return geometry.grids(rules, reach=0.0)
 
 
