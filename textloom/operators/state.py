@@ -24,9 +24,25 @@ def stepped(state: Column, action: Column) -> Column:
 
 
 def replayed(events: DataFrame, key: str, order: str, action: str, start: str = "queued") -> DataFrame:
-    """Final state of each job after its actions in order: (key, state, n)."""
-    lists = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, action))).alias("a"))
-    return lists.select(key, F.aggregate("a", F.lit(start), lambda s, x: stepped(s, x[action])).alias("state"), F.size("a").alias("n"))
+    """Final state of each job after its actions in order: (key, state, n).
+
+    Ranges of the ordered events are folded to maps from each state to the one after them; maps compose, so a job of many events is many ranges.
+    """
+    states = sorted({s for s, _ in TRANSITIONS} | {*TRANSITIONS.values(), start})
+    ranged = events.select(key, order, action).repartitionByRange(key, order, action).withColumn("chunk", F.spark_partition_id())
+    lists = ranged.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct(order, action))).alias("a"))
+    same = F.struct(*[F.lit(s).alias(s) for s in states])
+    folded = F.aggregate("a", same, lambda acc, x: F.struct(*[stepped(acc[s], x[action]).alias(s) for s in states]))
+    maps = lists.select(key, F.struct("chunk", folded.alias("to"), F.size("a").alias("n")).alias("m")).groupBy(key).agg(F.array_sort(F.collect_list("m")).alias("m"))
+
+    def through(state: Column, m: Column) -> Column:
+        out = state
+        for s in states:
+            out = F.when(state == s, m["to"][s]).otherwise(out)
+        return out
+
+    n = F.aggregate("m", F.lit(0), lambda acc, m: acc + m["n"])
+    return maps.select(key, F.aggregate("m", F.lit(start), through).alias("state"), n.alias("n"))
 
 
 def recovered(state: Column, edit_mode: Column) -> Column:
@@ -44,6 +60,21 @@ def queue_positions(jobs: DataFrame, part: str, order: list[str]) -> DataFrame:
     return jobs.withColumn("position", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the row's number in the whole order, from 1: numbers within ranges plus the ranges' offsets, so no task meets all rows."""
+    from textloom.llm.common import stored
+
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    own = F.monotonically_increasing_id()
+    ranged = stored(ranged.withColumn("range__", F.shiftright(own, 33)).withColumn("own__", own.bitwiseAND(F.lit(2**33 - 1))), "numbered")
+    sizes, before, at = ranged.groupBy("range__").agg(F.count("*").alias("n")).orderBy("range__").collect(), [], 0
+    for r in sizes:
+        before.append((r["range__"], at))
+        at += r["n"]
+    offsets = rows.sparkSession.createDataFrame(before, "range__ long, before__ long")
+    return ranged.join(F.broadcast(offsets), "range__").withColumn(name, F.col("before__") + F.col("own__") + 1).drop("range__", "own__", "before__")
+
+
 def admitted(queued: DataFrame, running: DataFrame, owner: str, order: list[str], cap: int) -> DataFrame:
     """The next jobs: one for each owner without a running one, oldest first, ``cap`` in all (the scheduler's limit)."""
     free = queued.join(running.select(owner).distinct(), owner, "left_anti")

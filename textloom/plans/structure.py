@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import rewrite as R
@@ -129,8 +128,8 @@ def row_roles(spark, d):
 @query(f"""with q as (select job, cast(row_number() over (order by created, job) as integer) as position from {JOBS} where status = 'O' and owner % 100 = 7)
     select j.job, c_name as owner_name, status, position from {JOBS} j join customer on c_custkey = owner left join q using (job) where owner % 100 = 7""")
 def job_views(spark, d):
-    rows = jobs(spark, d).where("owner % 100 = 7")
-    queued = state.queue_positions(rows.where("status = 'O'").withColumn("all", F.lit(1)), "all", ["created", "job"]).select("job", "position")
+    rows = jobs(spark, d)
+    queued = state.numbered(rows.where("status = 'O'").select("created", "job"), ["created", "job"], "position").select("job", F.col("position").cast("int").alias("position"))
     users = table(spark, d, "customer").select(F.col("c_custkey").alias("owner"), F.col("c_name").alias("owner_name"))
     return rows.join(users, "owner").join(queued, "job", "left").select("job", "owner_name", "status", "position")
 
@@ -181,8 +180,8 @@ def pairs_reviewed_once(spark, d):
 def missing_ids(spark, d):
     rows = seg(spark, d)
     top = rows.agg(F.max("doc").alias("top"))
-    new = rows.where("text <> '' and doc % 3 = 1").join(rows.where("doc % 3 = 0").select("text").distinct(), "text", "left_anti").where("doc < 100")
-    return new.join(F.broadcast(top), F.lit(True)).select("doc", "seg", (F.col("top") + F.row_number().over(Window.orderBy("doc", "seg"))).alias("new_id"))
+    new = rows.where("text <> '' and doc % 3 = 1").join(rows.where("doc % 3 = 0").select("text").distinct(), "text", "left_anti")
+    return state.numbered(new.select("doc", "seg"), ["doc", "seg"], "n").join(F.broadcast(top), F.lit(True)).select("doc", "seg", (F.col("top") + F.col("n")).alias("new_id"))
 
 
 @query("""select doc_id, case when starts_with(a, upper(a[1])) and a <> '' then a else a end as joined from (select doc_id, replace(text, chr(10), ' ') as a from documents where text is not null and not regexp_matches(text, '-\\n') and not regexp_matches(text, '(^|\\n)(\\n|$)'))""")
