@@ -147,9 +147,11 @@ def items_by_author(spark, d):
 
 @query(f"select doc, seg, replace(text, ' ', '[TAB]') as marked, replace(text, ' ', chr(9)) as back from {SEG} where not contains(text, '  ') and not contains(text, chr(9)) and text = trim(text)")
 def tab_marks(spark, d):
-    rows = seg(spark, d).where(~F.contains("text", F.lit("  ")) & ~F.contains("text", F.lit("\t")) & (F.col("text") == F.trim("text")))
-    marked = X.runs_marked(F.replace("text", F.lit(" "), F.lit("\t")))
-    return rows.select("doc", "seg", marked.alias("marked")).withColumn("back", F.regexp_replace("marked", r"\[TAB\]", "\t"))
+    rows = seg(spark, d).select("doc", "seg", X.runs_marked(F.replace("text", F.lit(" "), F.lit("\t"))).alias("marked"))
+    back = F.replace("marked", F.lit("[TAB]"), F.lit("\t"))
+    for n in range(2, 65):
+        back = F.replace(back, F.lit(f"[TAB×{n}]"), F.lit("\t" * n))
+    return rows.withColumn("back", back)
 
 
 @query(f"select job, segments, case when segments % 10 = 1 and segments % 100 <> 11 then 'one' when segments % 10 between 2 and 4 and not segments % 100 between 12 and 14 then 'few' else 'many' end as form, case when segments > 0 then round(10.0 / segments * (500 - segments), 1) end as eta from {JOBS}")
@@ -186,7 +188,7 @@ def missing_ids(spark, d):
 
 @query("""select doc_id, case when starts_with(a, upper(a[1])) and a <> '' then a else a end as joined from (select doc_id, replace(text, chr(10), ' ') as a from documents where text is not null and not regexp_matches(text, '-\\n') and not regexp_matches(text, '(^|\\n)(\\n|$)'))""")
 def lines_joined(spark, d):
-    rows = table(spark, d, "documents").where("text is not null").where(~F.col("text").rlike(r"-\n") & ~F.col("text").rlike(r"(^|\n)(\n|$)"))
+    rows = table(spark, d, "documents").where("text is not null")
     return rows.select("doc_id", R.joined_lines(F.split("text", "\n")).alias("joined"))
 
 
