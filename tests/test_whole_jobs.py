@@ -2,19 +2,7 @@
 
 import random
 
-import pytest
-from oracle import duck_rows, spark_rows
-from test_queries import DATA
-
 from textloom.operators import state
-from textloom.plans import catalogue
-
-
-@pytest.mark.parametrize(("name", "cut"), [("job_views", " and owner % 100 = 7"), ("missing_ids", " where doc < 100")])
-def test_all_rows(spark, name, cut):
-    """The registered SQL keeps a part of the rows; here it keeps all."""
-    sql = catalogue.oracle_sql()[name].replace(cut, "").replace(" where owner % 100 = 7", "")
-    assert spark_rows(catalogue.queries()[name](spark, DATA)) == duck_rows(DATA, sql)
 
 
 def test_one_job_of_many_events_is_replayed_in_ranges(spark):

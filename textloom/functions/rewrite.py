@@ -84,9 +84,10 @@ def joined_lines(lines: Column) -> Column:
     """Lines to one text: a hyphen before a small letter is glued, else a space; a compound's hyphen stays after a capital or digit."""
 
     def add(acc: Column, x: Column) -> Column:
-        glue = acc.rlike(r"\p{Ll}-$") & x.rlike(r"^\p{Ll}")
-        keep = acc.rlike(r"[\p{Lu}0-9]-$")
-        return F.when(acc == "", x).when(glue, F.concat(F.regexp_replace(acc, "-$", ""), x)).when(keep, F.concat(acc, x)).otherwise(F.concat_ws(" ", acc, x))
+        end = F.right(acc, F.lit(2))
+        glue = end.rlike(r"\p{Ll}-$") & x.rlike(r"^\p{Ll}")
+        keep = end.rlike(r"[\p{Lu}0-9]-$")
+        return F.when(acc == "", x).when(glue, F.concat(F.left(acc, F.length(acc) - 1), x)).when(keep, F.concat(acc, x)).otherwise(F.concat_ws(" ", acc, x))
 
     return F.aggregate(lines, F.lit(""), add)
 

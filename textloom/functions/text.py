@@ -138,21 +138,31 @@ def code_line(c: Column) -> Column:
 
 
 def runs_marked(c: Column) -> Column:
-    """Runs of tabs and breaks as one mark with their length, for up to 64 in a run."""
-    out = c
-    for char, name in (("\t", "TAB"), ("\n", "BR")):
-        for n in range(64, 0, -1):
-            out = F.replace(out, F.lit(char * n), F.lit(f"[{name}]" if n == 1 else f"[{name}×{n}]"))
-    return out
+    """Runs of tabs and of breaks as one mark with their length: [TAB], [TAB×3], [BR]."""
+
+    def mark(x: Column) -> Column:
+        name = F.when(F.startswith(x, F.lit("\t")), "TAB").when(F.startswith(x, F.lit("\n")), "BR")
+        return F.when(name.isNull(), x).when(F.length(x) == 1, F.concat(F.lit("["), name, F.lit("]"))).otherwise(F.concat(F.lit("["), name, F.lit("×"), F.length(x).cast("string"), F.lit("]")))
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"\t+|\n+|[^\t\n]+"), 0), mark), "")
+
+
+def runs_expanded(c: Column | str, around: str = "") -> Column:
+    """Marks back to their runs; ``around`` is a pattern of what goes with a mark on either side."""
+    c = F.col(c) if isinstance(c, str) else c
+    pattern = rf"{around}\[(?:TAB|BR)(?:[×x][0-9]+)?\]{around}"
+
+    def run(m: Column) -> Column:
+        n = F.coalesce(F.regexp_extract(m, "[0-9]+", 0).try_cast("int"), F.lit(1))
+        return F.repeat(F.when(F.contains(m, F.lit("[TAB")), "\t").otherwise("\n"), n)
+
+    pieces = F.split(c, pattern, -1)
+    runs = F.transform(F.regexp_extract_all(c, F.lit(pattern), 0), run)
+    return F.array_join(F.zip_with(pieces, runs, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
 
 
 def runs_unmarked(c: Column) -> Column:
-    out = c
-    for char, name in (("\t", "TAB"), ("\n", "BR")):
-        out = F.regexp_replace(out, rf"\s*\[{name}\]\s*", char)
-        for n in range(2, 65):
-            out = F.regexp_replace(out, rf"\s*\[{name}[×x]{n}\]\s*", char * n)
-    return F.translate(out, "ёЁ", "еЕ")
+    return F.translate(runs_expanded(c, r"\s*"), "ёЁ", "еЕ")
 
 
 #: Letters exchanged by the reversible stand-in translation (fixed values).

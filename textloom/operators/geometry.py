@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.graph import components
+
 
 def token_boxes(texts: DataFrame, per_line: int = 8, char: float = 6.0, line: float = 12.0) -> DataFrame:
     """Boxes derived from texts(page, text): words laid out ``per_line`` to a line, one column each; (page, id, line, t, box)."""
@@ -102,8 +104,6 @@ def touching(rules: DataFrame, reach: float = 2.0, band: float = 24.0) -> DataFr
 
 def grids(rules: DataFrame, reach: float = 2.0) -> DataFrame:
     """Connected groups of touching rules: (page, id, grid), the smallest id of the group; links are closed by star rounds on (page, id)."""
-    from textloom.llm.simhash import components
-
     node = lambda c: F.struct("page", F.col(c).alias("id"))
     roots = components(touching(rules, reach).select(node("a").alias("a"), node("b").alias("b")))
     roots = roots.select(F.col("node.page").alias("page"), F.col("node.id").alias("id"), F.col("root.id").alias("grid"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.sources.scratch import stored
+
 #: Transitions of a job (fixed values).
 TRANSITIONS = {("queued", "start"): "running", ("running", "finish"): "done", ("running", "fail"): "failed", ("queued", "cancel"): "cancelled", ("running", "cancel"): "cancelling", ("cancelling", "finish"): "cancelled", ("failed", "retry"): "queued", ("cancelled", "retry"): "queued"}
 THROTTLE_SECONDS, THROTTLE_LIMIT = 600, 5
@@ -62,8 +64,6 @@ def queue_positions(jobs: DataFrame, part: str, order: list[str]) -> DataFrame:
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds the row's number in the whole order, from 1: numbers within ranges plus the ranges' offsets, so no task meets all rows."""
-    from textloom.llm.common import stored
-
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     own = F.monotonically_increasing_id()
     ranged = stored(ranged.withColumn("range__", F.shiftright(own, 33)).withColumn("own__", own.bitwiseAND(F.lit(2**33 - 1))), "numbered")

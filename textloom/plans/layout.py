@@ -16,11 +16,11 @@ def boxes(spark, d):
 
 
 BOXES = """(select page, id, id // 8 as line, t, cast((id % 8) * 60.0 + (length(t) * 7) % 11 as double) as x0, cast((id // 8) * 12.0 + length(t) % 3 as double) as y0, cast((id % 8) * 60.0 + (length(t) * 7) % 11 + length(t) * 6.0 as double) as x1,
-    cast((id // 8) * 12.0 + length(t) % 3 + 10.0 as double) as y1 from (select page, unnest(range(len(w))) as id, unnest(w) as t from (select doc_id as page, list_filter(string_split_regex(substring(text, 1, 1500), '\\s+'), lambda w: w <> '') as w from documents where text is not null)))"""
+    cast((id // 8) * 12.0 + length(t) % 3 + 10.0 as double) as y1 from (select page, unnest(range(len(w))) as id, unnest(w) as t from (select doc_id as page, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') as w from documents where text is not null)))"""
 
 
 @query(f"""with b as {BOXES}, p as (select a.page, a.id as a, b.id as b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as area, least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) as smaller
-    from b a join b b on a.page = b.page and a.id < b.id and b.id < a.id + 40 and least(a.x1, b.x1) > greatest(a.x0, b.x0) and least(a.y1, b.y1) > greatest(a.y0, b.y0)) select page, cast(a as integer) as a, cast(b as integer) as b, round(area, 6) as area from p where area > 0.25 * smaller""")
+    from (select *, line + unnest(range(6)) as band from b) a join b b on a.page = b.page and a.band = b.line and a.id < b.id and b.id < a.id + 40 and least(a.x1, b.x1) > greatest(a.x0, b.x0) and least(a.y1, b.y1) > greatest(a.y0, b.y0)) select page, cast(a as integer) as a, cast(b as integer) as b, round(area, 6) as area from p where area > 0.25 * smaller""")
 def box_overlaps(spark, d):
     return geometry.overlaps(boxes(spark, d))
 
@@ -80,7 +80,9 @@ def page_offset_mode(spark, d):
     return counts.groupBy("doc").agg(F.max_by("offset", F.struct("n", F.negative("offset"))).alias("offset"), F.max("n").alias("n"), F.sum("n").alias("total"))
 
 
-@query()
+@query(f"""with recursive b as materialized (select page, id, line, x0, y0, x1, y1 from {BOXES}),
+    t as materialized (select a.page, a.id as a, c.id as b from (select *, line + unnest(range(-1, 2)) as near from b) a join b c on a.page = c.page and a.near = c.line and a.id <> c.id and a.x0 <= c.x1 and c.x0 <= a.x1 and a.y0 <= c.y1 and c.y0 <= a.y1),
+    r as (select page, id, id as grid from b union select t.page, t.b, min(r.grid) from r join t on r.page = t.page and r.id = t.a where r.grid < t.b group by 1, 2) select page, cast(id as integer) as id, cast(min(grid) as integer) as grid from r group by 1, 2""")
 def connected_rules(spark, d):
     rules = boxes(spark, d).select("page", "id", "x0", "y0", "x1", "y1")
     return geometry.grids(rules, reach=0.0)

@@ -140,7 +140,12 @@ def job_latest_state(spark, d):
     return state.latest(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type", "value"])
 
 
-@query()
+_STEP = "case " + " ".join(f"when s = '{a}|{b}' then '{c}'" for (a, b), c in state.TRANSITIONS.items()) + " else string_split(s, '|')[1] end"
+
+
+@query(f"""with recursive e as (select user_id, ['start', 'finish', 'fail', 'cancel', 'retry'][event_id % 5 + 1] as action, row_number() over (partition by user_id order by event_id) as k from events),
+    r as (select user_id, cast(0 as bigint) as k, 'queued' as state from (select distinct user_id from events) union all select user_id, k, {_STEP} from (select r.user_id, e.k, r.state || '|' || e.action as s from r join e on e.user_id = r.user_id and e.k = r.k + 1))
+    select user_id, max_by(state, k) as state, cast(max(k) as int) as n from r group by 1""")
 def job_replay(spark, d):
     action = F.element_at(F.array(*[F.lit(a) for a in ("start", "finish", "fail", "cancel", "retry")]), (F.col("event_id") % 5 + 1).cast("int"))
     return state.replayed(table(spark, d, "events").withColumn("action", action), "user_id", "event_id", "action")
