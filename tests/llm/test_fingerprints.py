@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -19,7 +20,11 @@ def jaccard(a, b):
 
 
 def brute_pairs(rows, sampler):
-    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    def mark(text):  # Spark's xxhash64, as a signed long
+        h = xxhash.xxh64_intdigest((text or "").encode(), seed=42)
+        return h - 2**64 if h >= 2**63 else h
+
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), mark(r[1])))
     out = []
     for i, (doc_id, text) in enumerate(rows):
         text, following = text or "", rows[(i + 1) % len(rows)][1] or ""
@@ -133,3 +138,35 @@ def test_star_rounds_close_long_paths(spark):
     n = 3000
     df = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert simhash.components(df).select(F.min("root"), F.max("root"), F.count("*")).first() == (0, 0, n - 1)
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,0)", "date", "string"])
+def test_neighbours_for_ids_of_any_type(spark, kind):
+    ids = ["2024-01-01", "2024-01-02", "2024-01-03"] if kind == "date" else ["1", "2", "3"]
+    docs = spark.createDataFrame([(ids[0], "a b c d"), (ids[1], "e f g h i"), (ids[2], None), (None, "z")], "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = weighted.compared_with_next(docs)
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    rows = {r.k: (r.n_chars, r.edited_sha256) for r in got.select(F.col("doc_id").cast("string").alias("k"), "*").collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert rows == {ids[2]: (0, digest("")), ids[1]: (9, digest("e f g a b")), ids[0]: (7, digest("a b cz")), None: (1, digest("z"))}
+
+
+def test_rows_of_one_id_spread_over_tasks(spark):
+    docs = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 3).cast("string")).alias("text")).repartition(4)
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = weighted.compared_with_next(docs)
+        assert got.count() == 400 and got.where("near_next = 1").count() >= 400 - 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+
+
+def test_long_lists_are_split(spark):
+    """More than SPLIT fingerprints that share two blocks: the same components as by all pairs."""
+    r = random.Random(8)
+    fps = sorted({(0x1122334400000000 | (r.getrandbits(8) << 24) | (r.getrandbits(3) << 8) | r.getrandbits(4)) for _ in range(900)})
+    assert len(fps) > simhash.SPLIT
+    df = spark.createDataFrame([(k,) for k in fps], "fp long").repartition(3)
+    roots = {r.node: r.root for r in simhash.components(simhash.near_links(df)).collect()}
+    assert sorted((k, fp, fps.index(roots.get(fp, fp))) for k, fp in enumerate(fps)) == sorted(brute_components(list(range(len(fps))), fps))

@@ -1,4 +1,4 @@
-"""What the operators share: where scratch tables go, shipping the package, word splitting.
+"""What the operators share: shipping the package, sizes of Arrow batches, word splitting.
 
 Words are runs of bytes other than ASCII white space (0x09-0x0D and 0x20) after lower-casing A-Z only;
 ``bytes.lower`` and ``bytes.split`` do precisely that on UTF-8.
@@ -6,21 +6,34 @@ Words are runs of bytes other than ASCII white space (0x09-0x0D and 0x20) after
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.scratch import scratch_path, stored
+
+__all__ = ["crc_mod", "n_partitions", "prepare", "scratch_path", "stored", "table", "words_of"]
+
+
+log = logging.getLogger("textloom")
+#: Batches end at so many bytes or rows, whichever comes first, so a worker's memory does not follow the length of texts.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxBytesPerBatch": 32 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 512}
+
 
 def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship this package to the executors once, and keep Arrow batches small for long texts."""
+    """Ship this package to the executors once, and bound the session's Arrow batches by ARROW_LIMITS.
+
+    The limits are settings of the session (a plan takes them up when it runs): smaller ones are left, larger ones are lowered and
+    the change is logged. Set smaller ones beforehand to keep them.
+    """
     sc = spark.sparkContext
     if not getattr(sc, "_textloom_shipped", False):
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -34,32 +47,11 @@ def prepare(spark: SparkSession) -> None:
                             z.write(full, os.path.join("textloom", os.path.relpath(full, top)))
             sc.addPyFile(out)
         sc._textloom_shipped = True
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 512:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        sc = spark.sparkContext
-        root = getattr(sc, "_textloom_scratch", None)
-        if root is None:
-            root = tempfile.mkdtemp(prefix="spark-textloom-")
-            sc._textloom_scratch = root
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for name, most in ARROW_LIMITS.items():
+        now = spark.conf.get(name)
+        if not 0 < int(now.rstrip("b")) <= most:
+            log.info("%s of this session is set from %s to %s", name, now, most)
+            spark.conf.set(name, str(most))
 
 
 def n_partitions(spark: SparkSession) -> int:

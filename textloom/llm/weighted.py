@@ -153,18 +153,19 @@ def _row(s: Sampler, text: str, own: np.ndarray, next_text: str, next_fp: np.nda
 def compared_with_next(docs: DataFrame, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """Every row compared with its edited text and with the next row by descending doc_id; the last one's next is the first.
 
-    Rows of one doc_id follow each other by text; rows of a null doc_id come last. Texts are shuffled once, by ranges
-    of doc_id, and each task compares neighbours as they stream by. The first and last row of each partition are
-    finished afterwards: two rows for each partition, whatever the input's size.
+    Rows of one doc_id (of any type with an order) follow each other by a hash of their text; rows of a null doc_id come last.
+    Texts are shuffled once, by ranges of doc_id, hash and place in the input, so rows of one id, even equal ones, spread over
+    tasks; each task compares neighbours as they stream by. The first and last row of each partition are
+    finished afterwards: two rows for each partition, whatever the input's size. Other columns are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
     tables = _tables()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_kind = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(n_partitions(spark), order[0]).sortWithinPartitions(*order)
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("place"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("mark").asc(), F.col("place").asc()]
+    ranged = rows.repartitionByRange(n_partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -172,14 +173,14 @@ def compared_with_next(docs: DataFrame, samples: int = SAMPLES, seed: int = SEED
         s, part = Sampler.shared(tables, samples, seed), TaskContext.get().partitionId()
         names = ["doc_id", *[x.split()[0] for x in _FIELDS.split(", ")], "edge", "part", "text"]
 
-        def batch(out):
+        def batch(out, id_kind):
             cols = list(zip(*out, strict=True))
             kinds = [id_kind, *_KINDS, pa.string(), pa.int32(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         last = None  # (doc_id, text, fingerprint) that waits for the next row
         for b in batches:
-            out = []
+            out, id_kind = [], b.schema.field(0).type
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 fp = s.fingerprint(text)
                 if last is None:
@@ -188,9 +189,9 @@ def compared_with_next(docs: DataFrame, samples: int = SAMPLES, seed: int = SEED
                     out.append((last[0], *_row(s, last[1], last[2], text, fp), None, part, None))
                 last = (doc_id, text, fp)
             if out:
-                yield batch(out)
+                yield batch(out, id_kind)
         if last is not None:
-            yield batch([(last[0], None, None, last[2].tobytes(), None, None, None, "last", part, last[1])])
+            yield batch([(last[0], None, None, last[2].tobytes(), None, None, None, "last", part, last[1])], id_kind)
 
     found = stored(ranged.mapInArrow(run, f"doc_id {kind}, {_FIELDS}, edge string, part int, text string"), "weighted")
     edges = found.where("edge is not null")
