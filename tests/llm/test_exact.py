@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from oracle import duck_rows, plain, spark_rows
 
 import corpus_pipeline
@@ -115,6 +116,25 @@ def test_small_payloads_are_no_revisits(spark):
     assert sorted((r.page_id, r.record_type) for r in warc.read_archives(index, root).collect()) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
 
 
+def test_rows_equal_in_id_url_and_payload_have_one_response(spark):
+    rows = [(1, "u", "ab"), (1, "u", "ab"), (1, "u", "ab"), (2, "u", "ab"), (1, "t", "ab"), (None, "u", None), (None, "u", ""), (5, "u", "c")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    want = [(1, 2, "response", None), *[(1, 2, "revisit", 1)] * 3, (2, 2, "revisit", 1), (None, 0, "response", None), (None, 0, "revisit", None), (5, 1, "response", None)]
+    assert sorted(map(repr, ((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,0)", "string", "date"])
+def test_ids_of_any_type(spark, kind):
+    ids = {"date": ["2024-01-01", "2024-01-02"]}.get(kind, ["7", "11"])
+    pages = spark.createDataFrame([(ids[0], "u", "ab"), (ids[1], "u", "ab"), (None, "u", "z")], "page_id string, url string, html string").withColumn("page_id", F.col("page_id").cast(kind))
+    got = warc.round_trip(pages)
+    assert got.schema["page_id"].dataType == pages.schema["page_id"].dataType
+    least = min(ids) if kind in ("string", "date") else ids[0]
+    assert {(r.p, r.record_type, r.r) for r in got.select(F.col("page_id").cast("string").alias("p"), "record_type", F.col("refers_to").cast("string").alias("r")).collect()} == {
+        (least, "response", None), (next(x for x in ids if x != least), "revisit", least), (None, "response", None),
+    }
+
+
 def test_reads_are_coalesced():
     assert warc.coalesced([(0, 10), (10, 5), (20, 5), (10_000, 5)], gap=8, most=100) == [(0, 3, 0, 25), (3, 4, 10_000, 10_005)]
     assert warc.coalesced([(0, 60), (60, 60)], gap=8, most=100) == [(0, 1, 0, 60), (1, 2, 60, 120)]
@@ -139,6 +159,18 @@ def test_pipeline_stages(spark, data, library):
     assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, data).collect()) == want
 
 
+@pytest.mark.parametrize("name", ["gone_id", "root", "keep_id", "keep_fp", "simhash_fp__", "fp", "g", "d", "c0", "text_hash", "component_id", "a.b", "row"])
+def test_stages_with_any_column_name(spark, odd, name):
+    items, labels = spark.createDataFrame([(2, "The same text here.")], "item_id long, text string"), spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, quality int")
+    for df in (odd, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        docs = df.withColumn(name, F.lit("x"))
+        for f in (lambda d: stages.good_quality(d, labels), stages.known_language, stages.one_of_each_group, lambda d: stages.uncontaminated(d, items)):
+            plain = f(df)
+            out = f(docs)
+            assert out.columns == docs.columns
+            assert sorted(map(repr, (tuple(r)[:-1] for r in out.collect()))) == sorted(map(repr, map(tuple, plain.collect())))
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, "one two"), (2, "The same text here.")], "item_id long, text string")
     labels = spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, quality int")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, langid, pieces, quality, simhash
 from textloom.llm.common import crc_mod, prepare, stored
+from textloom.operators.graph import components
 
 #: Ids to drop, up to this number, are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 200_000
@@ -32,12 +33,17 @@ def rows_kept(docs: DataFrame, judge) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def left_out(docs: DataFrame, gone: DataFrame, met) -> DataFrame:
+    """Rows of ``docs`` (as ``d``) that meet no row of ``gone`` (as ``g``); names may be the same on both sides."""
+    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    gone = gone.alias("g")
+    return docs.alias("d").join(F.broadcast(gone) if small else gone, met, "left_anti")
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id and text hash are not in ``gone(doc_id, text_hash)``."""
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"])
-    return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64(F.col("d.text")) == F.col("g.text_hash"))
+    return left_out(docs, gone.select("doc_id", "text_hash").distinct(), same)
 
 
 def good_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
@@ -82,32 +88,34 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
     if not repeated:
         # doc_id names a row; a lone null is its own component's name or goes with its group.
-        gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
-        small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+        gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+        return left_out(docs, gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")))
     # Repeated ids: a row is named by doc_id and fingerprint. A component's name may be the doc_id of rows with several of its
     # fingerprints; the one of the smallest fingerprint stays, and of equal rows one.
     roots = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    links = simhash.components(simhash.near_links(roots.select("fp").distinct()))
-    roots = roots.join(links, roots.fp == links.node, "left").groupBy(F.col("doc_id").alias("keep_id"), F.coalesce("root", "fp").alias("root")).agg(F.min("fp").alias("keep_fp"))
-    joined = stored(with_fingerprint(docs), "rows-fp").join(roots, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("simhash_fp__") == F.col("keep_fp")))
-    return joined.dropDuplicates(["doc_id", "simhash_fp__"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    links = components(simhash.near_links(roots.select("fp").distinct()))
+    kept = roots.join(links, roots.fp == links.node, "left").groupBy("doc_id", F.coalesce("root", "fp").alias("root")).agg(F.min("fp").alias("fp"))
+    rows = stored(with_fingerprint(docs), "rows-fp")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.fp") == F.col("g.fp"))
+    one = rows.alias("d").join(kept.alias("g"), same, "left_semi").dropDuplicates(["doc_id", "fp"])
+    return one.select(*[F.col(f"c{k}") for k in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """All columns and ``simhash_fp__``."""
+    """(doc_id, fp, c0, c1, ...): the fingerprint and all columns, by position, so that no name of theirs is in the way."""
     import numpy as np
     from pyspark.sql import types as T
 
     prepare(docs.sparkSession)
-    at = docs.columns.index("text")
+    fields = [docs.schema["doc_id"], T.StructField("fp", T.LongType()), *[T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]]
+    at, text = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            fps = np.array([simhash.fingerprint(x) for x in b.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, "simhash_fp__"])
+            fps = np.array([simhash.fingerprint(x.as_py()) for x in b.column(text)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(at), pa.array(fps.view(np.int64)), *b.columns], [f.name for f in fields])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("simhash_fp__", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

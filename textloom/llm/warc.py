@@ -9,9 +9,10 @@ repeated attempts have names of their own, which no stored index row mentions.
 ``read_archives`` takes index rows (all, or any selection), sorts them by file and offset, coalesces neighbouring ranges to one
 read of bounded size and parses the records.
 
-Defined results: a null payload is empty, a null URL is the empty URL, rows of one page_id and payload are records of
-their own; all rows that equal the response in page_id, payload and URL are responses. A null page_id is
-larger than any other. An empty table makes an empty index. Digests are bare upper-case base32 of SHA-1.
+Defined results: a null payload is empty, a null URL is the empty URL. Every row has a record, and of the records with equal
+payloads exactly one is the response: that with the smallest page_id, then the smallest URL; rows that are equal in all three
+count as one response and revisits of it. page_id may have any type with an order; it is written as text and read back by its
+type. A null page_id is larger than any other. An empty table makes an empty index. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ MIN_REVISIT_BYTES = 0
 #: A coalesced read takes ranges with at most GAP bytes between them, up to READ bytes (or one record).
 GAP, READ = 16 << 10, 4 << 20
 LEVEL = 1
-INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
-RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+#: Ids are text here; ``typed`` gives them their type back.
+INDEX = "file string, offset long, length long, page_id string, url string, payload_digest string, payload_bytes long, record_type string, refers_to string"
+RECORDS = "page_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 
 
 def base32_digest(payload: bytes) -> str:
@@ -49,11 +51,15 @@ def _unline(value: str) -> str:
     return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def _page(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def _page(page_id: str | None) -> str:
+    return "<urn:page>" if page_id is None else f"<urn:page:{_line(page_id)}>"
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def _unpage(value: str | None) -> str | None:
+    return None if value is None or value == "<urn:page>" else _unline(value[10:-1])
+
+
+def record(page_id: str | None, url: str, payload: bytes, digest: str, refers_to: str | None, revisit: bool) -> bytes:
     """One record in WARC/1.1; a revisit has no block, its headers tell the full payload's size and digest."""
     head = [
         "WARC/1.1",
@@ -91,11 +97,11 @@ def _writer(root: str):
         name = f"part-{uuid.uuid4().hex}.warc.gz"
         out, offset = None, 0
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(4)]
+            cols = [b.column(k).to_pylist() for k in range(5)]
             rows = []
-            for page_id, url, html, refers_to in zip(*cols, strict=True):
+            for page_id, url, html, refers_to, revisit in zip(*cols, strict=True):
                 payload = html.encode("utf-8", "surrogatepass")
-                digest, revisit = base32_digest(payload), refers_to is not None
+                digest = base32_digest(payload)
                 packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 member = packer.compress(record(page_id, url, payload, digest, refers_to, revisit)) + packer.flush()
                 if out is None:
@@ -105,7 +111,7 @@ def _writer(root: str):
                 rows.append((name, offset, len(member), page_id, url, digest, len(payload), "revisit" if revisit else "response", refers_to))
                 offset += len(member)
             if rows:
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
                 names = [x.split()[0] for x in INDEX.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         if out is not None:
@@ -115,22 +121,40 @@ def _writer(root: str):
 
 
 def with_references(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, html, refers_to): refers_to is the response's page_id for revisits, else null.
+    """(page_id, url, html, refers_to, revisit): refers_to is the response's page_id for revisits, else null.
 
     Equal payloads meet by digest in a join, whose skewed partitions Spark splits; the smallest page_id comes from a
     pre-aggregated grouping.
     """
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")
-    ).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    # Rows equal in all three are told apart by counting: one of each stays, its n - 1 repetitions are further revisits.
+    same = ["page_id", "url", "digest"]
+    repeats = stored(rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1"), "warc-repeats")
+    more = None
+    if not repeats.isEmpty():
+        rows = stored(rows.dropDuplicates(same), "warc-distinct")
+        met = F.col("d.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("d.url") == F.col("r.url")) & (F.col("d.digest") == F.col("r.digest"))
+        more = rows.alias("d").join(repeats.alias("r"), met).select("d.*", F.explode(F.sequence(F.lit(2), F.col("r.n"))).alias("k")).drop("k")
     # The response has the smallest page_id and, of the rows with it, the smallest URL.
     first = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(
         F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"), F.count("*").alias("n")
     )
-    copies = first.where("n > 1").select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("first_url"))
-    joined = rows.join(copies, "digest", "left")
-    own = F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("url") == F.col("first_url"))
-    return joined.select("page_id", "url", "html", F.when(~own, F.col("refers_to")).alias("refers_to"))
+    shared = first if more is not None else first.where("n > 1")
+    shared = shared.select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("first_url"))
+
+    def told(part: DataFrame, own) -> DataFrame:
+        revisit = F.col("first_url").isNotNull() & ~own
+        return part.join(shared, "digest", "left").select("page_id", "url", "html", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
+
+    out = told(rows, F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("url") == F.col("first_url")))
+    return out if more is None else out.unionByName(told(more, F.lit(False)))
+
+
+def typed(records: DataFrame, like: DataFrame) -> DataFrame:
+    """Records or index rows with the ids in the type that ``like`` has."""
+    kind = like.schema["page_id"].dataType
+    return records.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def write_archives(pages: DataFrame, root: str | None = None, min_bytes: int = MIN_REVISIT_BYTES) -> tuple[DataFrame, str]:
@@ -139,7 +163,8 @@ def write_archives(pages: DataFrame, root: str | None = None, min_bytes: int = M
     prepare(spark)
     root = root or scratch_path(spark, "warc")
     rows = with_references(pages, min_bytes)
-    return stored(rows.mapInArrow(_writer(_uri(root)), INDEX), "warc-index"), root
+    rows = rows.select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"), "revisit")
+    return typed(stored(rows.mapInArrow(_writer(_uri(root)), INDEX), "warc-index"), pages), root
 
 
 def _uri(root: str) -> str:
@@ -164,21 +189,20 @@ def _reader(root: str):
                 block = f.read_at(end - start, start)
                 for offset, length in ranges[first:past]:
                     headers, body = parse(zlib.decompress(block[offset - start : offset - start + length], 31))
-                    number = lambda x: None if x is None or x == "<urn:page:none>" else int(x[10:-1])
                     kind = headers["warc-type"]
                     digest = headers["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and base32_digest(body) != digest:
                         raise ValueError(f"record at {offset} of {name} has another digest than its header")
                     yield (
-                        number(headers["warc-record-id"]), _unline(headers["warc-target-uri"]), kind, digest,
-                        int(headers["warc-payload-length"]), number(headers.get("warc-refers-to")), body if kind == "response" else None,
+                        _unpage(headers["warc-record-id"]), _unline(headers["warc-target-uri"]), kind, digest,
+                        int(headers["warc-payload-length"]), _unpage(headers.get("warc-refers-to")), body if kind == "response" else None,
                     )
 
     def run(batches):
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(root)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         names = [x.split()[0] for x in RECORDS.split(", ")]
         for b in batches:
             files, offsets, lengths = (b.column(k).to_pylist() for k in range(3))
@@ -206,7 +230,7 @@ def read_archives(index: DataFrame, root: str) -> DataFrame:
     spark = index.sparkSession
     prepare(spark)
     ranges = index.select("file", "offset", "length").repartitionByRange(n_partitions(spark), "file", "offset").sortWithinPartitions("file", "offset")
-    return ranges.mapInArrow(_reader(_uri(root)), RECORDS)
+    return typed(ranges.mapInArrow(_reader(_uri(root)), RECORDS), index)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
