@@ -3,6 +3,7 @@
 import html
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -170,8 +171,33 @@ def test_other_layouts(spark):
     assert wrong < 0.02 * total
     rows = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<"), (3, "u", "plain text only"), (3, "u", "<article><p>x" + " y" * 200_000), (4, "u", "<script>never closed")], "page_id long, url string, html string")
     got = [(r.page_id, len(r.text)) for r in extract.main_texts(rows).collect()]
-    assert sorted(got, key=repr)[0:2] == [(1, 0), (2, 0)] or len(got) == 6
-    assert (3, 400_001) in got and (4, 0) in got
+    assert sorted(got, key=repr) == sorted([(1, 0), (None, 0), (2, len(field.main_text("<"))), (3, len(field.main_text("plain text only"))), (3, 400_001), (4, 0)], key=repr)
+
+
+def test_layout_families_never_trained_on():
+    """Each third of the layouts' elements is held out in turn: no page of it, and no class name of it alone, is trained on."""
+    wrong = total = 0
+    for k in range(3):
+        mains, sides = ([x for n, x in enumerate(some) if n % 3 != k] for some in (extract._MAIN, extract._SIDE))
+        field = extract.fit(extract.training_pages(200, seed=5, mains=mains, sides=sides))
+        comment = [x for x in extract._SIDE if "comment" in x][:1]
+        other = extract.training_pages(60, seed=91, mains=[x for x in extract._MAIN if x not in mains], sides=[x for x in extract._SIDE if x not in sides] + comment)
+        for blocks, labels in other:
+            wrong += sum(a != b for a, b in zip(field.viterbi(blocks), labels, strict=True))
+            total += len(labels)
+    print("blocks of unseen families:", 1 - wrong / total)
+    assert wrong < 0.2 * total
+
+
+@pytest.mark.parametrize("unit", ["<b x ", "<div>x", '<a "x ', '<a ">" ', "<i><div><b>x", "<ul><b>x<li>y", "<table><td>x<tr>", "</script <script>", "x</p></i>", "<! ", "&am "])
+def test_time_is_linear_in_the_page(unit):
+    field = extract.trained()
+    took = []
+    for size in (125_000, 1_000_000):
+        began = time.process_time()
+        field.main_text(unit * (size // len(unit)))
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.5 and took[1] < 6
 
 
 def test_viterbi_is_the_best_labelling():

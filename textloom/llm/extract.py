@@ -8,7 +8,10 @@ says which blocks are main text. Training takes a second or two on the driver; i
 
 ``<br>`` is white space inside its block. Scripts, styles, comments, templates, titles and form controls are no
 text. Tags that are left open end with their parent; stray end tags are ignored. Null and empty pages, and pages
-without main text, give the empty string. Pages are read whole, whatever their length.
+without main text, give the empty string. Pages are read whole, whatever their length, in one pass whose time is linear in it:
+open elements are counted and placed by tag, so no tag searches the open ones, and an element's path is a link to its parent with
+the path's score beside it. Equal scores of a block are decided for "not main text". Rows are read one by one, so repeated rows are
+no matter; only page_id, url and html are read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import html as html_module
 import random
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +34,115 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template textarea title svg math iframe select object canvas".split())
+_RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW_TAGS}
 #: A start tag of the key ends an open element of the values (of the same list or row).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = BLOCK_TAGS - {"body", "html", "head", "option", "optgroup"}
 _LIMITS = frozenset("ul ol menu table dl select div section article aside main nav body".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_TAG_STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Node:
+    """An open element: its tag, its parent, and those of its features that no ancestor has."""
+
+    __slots__ = ("block", "inline", "new", "own", "parent", "score", "tag")
+
+    def __init__(self, tag: str, parent: Node | None, own: tuple[str, ...], new: list[str]):
+        self.tag, self.parent, self.own, self.new = tag, parent, own, new
+        #: The nearest block-level element, this one or above; open inline elements by tag, of block-level ones.
+        self.block: Node = self if parent is None or tag in BLOCK_TAGS else parent.block
+        self.inline: dict[str, int] | None = None
+        self.score: float | None = None
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # features of the ancestors, outermost first
+    node: Node
     tag: str
     linked: float
 
-
-@dataclass
-class _Open:
-    tag: str
-    path: tuple[str, ...]
-
-
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Features of the ancestors, outermost first."""
+        out, node = [], self.node
+        while node is not None:
+            out.append(node.own)
+            node = node.parent
+        return tuple(f for own in reversed(out) for f in own)
+
+
+class _Stack:
+    """The open elements, with the places of each tag, of elements that limit others, and counts of features."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("", None, (), [])]
+        self.at: dict[str, list[int]] = {}
+        self.limits: list[int] = []
+        self.features: dict[str, int] = {}
+
+    def push(self, tag: str, own: tuple[str, ...]) -> None:
+        new, count = [], self.features
+        for f in own:
+            n = count[f] = count.get(f, 0) + 1
+            if n == 1:
+                new.append(f)
+        node, k = Node(tag, self.nodes[-1], own, new), len(self.nodes)
+        places = self.at.get(tag)
+        if places is None:
+            places = self.at[tag] = []
+        places.append(k)
+        if tag in _LIMITS:
+            self.limits.append(k)
+        block = node.block
+        if block is not node:
+            if block.inline is None:
+                block.inline = {}
+            block.inline[tag] = block.inline.get(tag, 0) + 1
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        """Closes the elements from place k on."""
+        while len(self.nodes) > k:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if self.limits and self.limits[-1] == len(self.nodes):
+                self.limits.pop()
+            if node.block is not node:
+                node.block.inline[node.tag] -= 1
+            for f in node.own:
+                self.features[f] -= 1
+
+    def last(self, *tags: str) -> int:
+        """Place of the last open element of the tags; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def limit(self) -> int:
+        return self.limits[-1] if self.limits else 0
+
+    def ended(self, tag: str) -> None:
+        """An end tag; an inline one does not end a block, and one without a start is ignored."""
+        if tag in BLOCK_TAGS or (self.nodes[-1].block.inline or {}).get(tag, 0) > 0:
+            if k := self.last(tag):
+                self.cut(k)
+
+    def started(self, tag: str) -> None:
+        """What the start of a block-level element ends."""
+        if tag in _ENDS_P and (k := self.last("p")) and self.limit() < k:
+            self.cut(k)
+        ends = CLOSES.get(tag)
+        while ends and (k := self.last(*ends)):
+            if max(self.limit(), self.last("tr") if tag in ("td", "th") else 0) > k:
+                return
+            self.cut(k)
+            if tag != "tr" or self.nodes[-1].tag != "tr":
+                return
+
+
+@lru_cache(maxsize=20_000)
 def _described(tag: str, attributes: str) -> tuple[str, ...]:
     if not attributes.strip():
         return (f"a:{tag}",)
@@ -60,15 +150,47 @@ def _described(tag: str, attributes: str) -> tuple[str, ...]:
     return (f"a:{tag}", *[f"c:{w}" for w in words])
 
 
+class _Reader:
+    """Finds the tags of a page in one pass: no search runs twice over the same text."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.quoted = True
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag whose name ends at ``at``; -1 if there is none.
+
+        Quotes hide it; a quote without a partner is a character like others, and so are all quotes once one hid the
+        rest of the page.
+        """
+        if self.last[">"] < at:
+            return -1
+        k = at
+        while self.quoted:
+            m = _TAG_STOP.search(self.page, k)
+            if m is None:
+                self.quoted = False
+                break
+            c = m[0]
+            if c == ">":
+                return m.start()
+            k = self.page.find(c, m.end()) + 1 if self.last[c] > m.start() else m.end()
+        return self.page.find(">", at)
+
+    def past(self, what: str, at: int) -> int:
+        k = self.page.find(what, at)
+        return len(self.page) if k < 0 else k + len(what)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The blocks of a whole page in order."""
     out: list[Block] = []
     if not page:
         return out
-    stack = [_Open("", ())]
+    stack, reader = _Stack(), _Reader(page)
     parts: list[str] = []
     linked = 0
-    at, n = 0, len(page)
 
     def flush() -> None:
         nonlocal linked
@@ -76,8 +198,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
             raw = "".join(parts)
             text = " ".join((html_module.unescape(raw) if "&" in raw else raw).split())
             if text:
-                top = next(x for x in reversed(stack) if x.tag in BLOCK_TAGS or not x.tag)
-                out.append(Block(text, stack[-1].path, top.tag, linked / max(1, len(raw))))
+                node = stack.nodes[-1]
+                out.append(Block(text, node, node.block.tag, linked / max(1, len(raw))))
             parts.clear()
             linked = 0
 
@@ -85,67 +207,59 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal linked
         if text:
             parts.append(text)
-            if any(x.tag == "a" for x in stack[-3:]):
+            if any(x.tag == "a" for x in stack.nodes[-3:]):
                 linked += len(text)
 
+    at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        lt = page.find("<", at)
+        if lt < 0:
             keep(page[at:])
             break
-        keep(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        keep(page[at:lt])
+        if page.startswith("<!--", lt):
+            at = reader.past("-->", lt + 4)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in BLOCK_TAGS:
-                flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK_TAGS and tag not in BLOCK_TAGS:
-                    break  # an inline end tag does not end a block
+        if page[lt + 1 : lt + 2] in ("!", "?") and reader.last[">"] > lt:
+            at = reader.past(">", lt)
             continue
-        if tag in RAW_TAGS:
-            if m[3].endswith("/"):
-                continue
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+        m = _TAG.match(page, lt + 1)
+        end = reader.tag_end(m.end()) if m else -1
+        if end < 0:
+            keep("<")
+            at = lt + 1
             continue
-        if tag == "br":
+        at = end + 1
+        tag, attributes = m[1].lower(), page[m.end() : end]
+        if page[lt + 1] == "/":
+            if tag in BLOCK_TAGS:
+                flush()
+            stack.ended(tag)
+        elif tag in RAW_TAGS:
+            if not attributes.endswith("/"):
+                close = _RAW_END[tag].search(page, at)
+                at = reader.past(">", close.end()) if close else n
+        elif tag == "br":
             parts.append(" ")
-            continue
-        if tag in BLOCK_TAGS:
-            flush()
-            if tag in _ENDS_P and any(x.tag == "p" for x in stack):
-                k = max(i for i, x in enumerate(stack) if x.tag == "p")
-                if not any(x.tag in _LIMITS for x in stack[k + 1 :]):
-                    del stack[k:]
-            if ends := CLOSES.get(tag):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in ends:
-                        del stack[k:]
-                        if tag != "tr" or not (k > 1 and stack[-1].tag == "tr"):
-                            break
-                    elif stack[k].tag in _LIMITS or (tag in ("td", "th") and stack[k].tag == "tr"):
-                        break
-        if tag not in VOID_TAGS and not (m[3].endswith("/") and tag not in BLOCK_TAGS):
-            stack.append(_Open(tag, stack[-1].path + _described(tag, m[3])))
+        else:
+            if tag in BLOCK_TAGS:
+                flush()
+                stack.started(tag)
+            if tag not in VOID_TAGS and not (attributes.endswith("/") and tag not in BLOCK_TAGS):
+                stack.push(tag, _described(tag, attributes))
     flush()
     return out
 
 
-def text_features(b: Block) -> list[str]:
+def text_traits(b: Block) -> tuple[str, int, bool, int]:
     n = len(b.text)
-    return [
-        "bias",
-        f"t:{b.tag}",
-        f"len:{0 if n < 20 else 1 if n < 60 else 2 if n < 150 else 3 if n < 400 else 4}",
-        f"end:{b.text[-1] in '.!?:;…»”\"'}",
-        f"link:{0 if b.linked < 0.05 else 1 if b.linked < 0.5 else 2}",
-    ]
+    length = 0 if n < 20 else 1 if n < 60 else 2 if n < 150 else 3 if n < 400 else 4
+    return b.tag, length, b.text[-1] in ".!?:;…»”\"'", 0 if b.linked < 0.05 else 1 if b.linked < 0.5 else 2
+
+
+def text_features(b: Block) -> list[str]:
+    tag, length, end, link = text_traits(b)
+    return ["bias", f"t:{tag}", f"len:{length}", f"end:{end}", f"link:{link}"]
 
 
 @dataclass
@@ -155,17 +269,25 @@ class Field:
     weights: dict[str, float] = field(default_factory=dict)
     moves: tuple[tuple[float, float], tuple[float, float]] = ((0.0, 0.0), (0.0, 0.0))
     start: tuple[float, float] = (0.0, 0.0)
-
-    def __post_init__(self) -> None:
-        self._paths: dict[tuple[str, ...], float] = {}
+    _traits: dict = field(default_factory=dict, repr=False)
+
+    def path_score(self, node: Node) -> float:
+        """Weights of the features of an element and its ancestors, each once; kept at the elements of a page."""
+        open_ = []
+        while node is not None and node.score is None:
+            open_.append(node)
+            node = node.parent
+        score = 0.0 if node is None else node.score
+        for x in reversed(open_):
+            score = x.score = score + sum(self.weights.get(f, 0.0) for f in x.new)
+        return score
 
     def emission(self, b: Block) -> float:
-        path = self._paths.get(b.path)
-        if path is None:
-            if len(self._paths) > 50_000:
-                self._paths.clear()
-            path = self._paths[b.path] = sum(self.weights.get(f, 0.0) for f in set(b.path))
-        return path + sum(self.weights.get(f, 0.0) for f in text_features(b))
+        key = text_traits(b)
+        own = self._traits.get(key)
+        if own is None:  # the tag is a block-level one, so there are few
+            own = self._traits[key] = sum(self.weights.get(f, 0.0) for f in text_features(b))
+        return self.path_score(b.node) + own
 
     def viterbi(self, blocks: list[Block]) -> list[int]:
         (m00, m01), (m10, m11) = self.moves
@@ -278,7 +400,7 @@ def _side(r: random.Random, opener: str) -> tuple[str, list[str]]:
     return f"<{opener}>" + "".join(f"<p>{x}</p>" for x in texts) + f"</{tag}>", texts
 
 
-def _main(r: random.Random) -> str:
+def _main(r: random.Random, sides: list[str]) -> str:
     """Blocks of an article, each marked so that its label can be told after reading."""
     mark = "⁣"
     out = [f"<h1>{mark}{_sentence(r, 2, 10, False)}</h1>"] if r.random() < 0.8 else []
@@ -297,19 +419,19 @@ def _main(r: random.Random) -> str:
         else:
             out.append("<table>" + "".join(f"<tr><td>{mark}{_sentence(r, 1, 4, False)}</td><td>{mark}{r.randint(1, 999)}</td></tr>" for _ in range(3)) + "</table>")
         if r.random() < 0.2:
-            out.append(_side(r, r.choice(_SIDE))[0])
+            out.append(_side(r, r.choice(sides))[0])
     return "".join(out)
 
 
-def training_pages(n: int = 260, seed: int = 5) -> list[tuple[list[Block], list[int]]]:
-    """Pages of seeded layouts with their labels: blocks that carry the invisible mark are main text."""
+def training_pages(n: int = 260, seed: int = 5, mains: list[str] = _MAIN, sides: list[str] = _SIDE) -> list[tuple[list[Block], list[int]]]:
+    """Pages of seeded layouts with their labels: blocks that carry the invisible mark are main text. ``mains`` and ``sides`` choose the layouts' elements."""
     r, out = random.Random(seed), []
     for _ in range(n):
-        before = "".join(_side(r, r.choice(_SIDE))[0] for _ in range(r.randint(0, 4)))
-        after = "".join(_side(r, r.choice(_SIDE))[0] for _ in range(r.randint(0, 5)))
-        opener = r.choice(_MAIN)
-        main = _main(r) if r.random() < 0.97 else ""
-        inner_side = _side(r, r.choice([x for x in _SIDE if "comment" in x]))[0] if r.random() < 0.15 else ""
+        before = "".join(_side(r, r.choice(sides))[0] for _ in range(r.randint(0, 4)))
+        after = "".join(_side(r, r.choice(sides))[0] for _ in range(r.randint(0, 5)))
+        opener = r.choice(mains)
+        main = _main(r, sides) if r.random() < 0.97 else ""
+        inner_side = _side(r, r.choice([x for x in sides if "comment" in x]))[0] if r.random() < 0.15 else ""
         main = f"<{opener}>{main}{inner_side}</{opener.split()[0]}>"
         if r.random() < 0.3:
             main = r.choice(["<div class=wrapper>{}</div>", "<main>{}</main>", "<div id=page>{}</div>", "<div class=container>{}</div>"]).format(main)
