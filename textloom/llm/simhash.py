@@ -36,6 +36,8 @@ SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
 POSITIONS = 8
+#: Fingerprints of more than one in HOT rows are joined by a broadcast.
+HOT = 10_000
 #: Lists of more fingerprints are split by two more positions.
 SPLIT = 512
 
@@ -183,14 +185,18 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) per document row; component_id is the smallest doc_id reachable by links."""
     found = stored(fingerprints(docs, shingle), "simhash")
-    fps = stored(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    fps = stored(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     roots = components(near_links(fps.select("fp"), max_bits))
     # Only classes with a link get their name from the component; the others name themselves.
     members = roots.join(fps, roots.node == fps.fp).groupBy("root").agg(F.min("rep").alias("least"))
     named = members.join(fps, members.root == fps.fp).select("root", F.least("least", "rep").alias("component_id"))
     moved = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id").unionByName(named.select(F.col("root").alias("fp"), "component_id"))
-    ids = fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return found.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = stored(fps.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "rep").alias("component_id")), "named")
+    # A fingerprint of over 1 / HOT of all rows would be one task of the join: there are fewer than HOT of them, and they are broadcast.
+    often = F.col("n") * HOT > F.lit(found.count())
+    hot = F.broadcast(ids.where(often).drop("n"))
+    rest = found.join(hot, "fp", "left_anti").join(ids.where(~often), "fp")
+    return found.join(hot, "fp").select("doc_id", "fp", "component_id").unionByName(rest.select("doc_id", "fp", "component_id"))
 
 
 def hex_fp(col: str = "fp"):
