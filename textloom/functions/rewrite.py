@@ -45,11 +45,19 @@ def dates_as_source(src: Column, c: Column) -> Column:
     return F.aggregate(found, c, back)
 
 
+#: What points to a place, by the word that the target uses for it: what stands before its number.
+POINTERS = [
+    (r"(?<=[Сс]м)\.:?\s*", ". раздел ", r"(?![0-9\]])"),
+    (r"(?<=\()(?:[Гг]лава|[Рр]аздел)\s+", "см. раздел ", r"\)"),
+    (r"(?<=\(|[Сс]м\.|[Сс]м\. )рис\.\s*", "рисунок ", ""),
+]
+
+
 def references(c: Column) -> Column:
-    """Section and figure references in one form."""
-    c = F.regexp_replace(c, r"([Сс]м)\.:?\s*([0-9]+(?:\.[0-9]+)*)(?![0-9\]])", "$1. раздел $2")
-    c = F.regexp_replace(c, r"\((?:[Гг]лава|[Рр]аздел)\s+([0-9]+(?:\.[0-9]+)*)\)", "(см. раздел $1)")
-    return F.regexp_replace(c, r"([Сс]м\.\s*|\()рис\.\s*([0-9]+)", "$1рисунок $2")
+    """Section and figure references in one form: what leads to a number is exchanged, the number stays."""
+    for before, word, after in POINTERS:
+        c = F.regexp_replace(c, rf"{before}(?=(?>[0-9]+(?:\.[0-9]+)*){after})", word)
+    return c
 
 
 def capitals_lowered(src: Column, c: Column) -> Column:

@@ -64,3 +64,14 @@ def ocr_routed(n_tess: Column, n_text: Column, missing_share: Column) -> Column:
 def least_bad(candidates: DataFrame, key: str, text: str, bad: str, order: str) -> DataFrame:
     """The candidate of the least badness, the earliest of equals."""
     return candidates.groupBy(key).agg(F.min_by(text, F.struct(bad, order)).alias(text), F.min(bad).alias(bad))
+
+
+#: Shares of a corpus's rows beyond which it is flagged (fixed values); empty rows are flagged at once.
+LIMITS = {"lost": 0.03, "residual": 0.03, "tiny": 0.02, "empty": 0.0}
+
+
+def corpus_metrics(rows: DataFrame, by: str, lost: Column, residual: Column, tiny: Column, empty: Column) -> DataFrame:
+    """(by, n, lost, residual, tiny, empty, flags): counts of each kind and the kinds beyond their LIMITS."""
+    kinds = {"lost": lost, "residual": residual, "tiny": tiny, "empty": empty}
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), *[F.sum(F.when(c, 1).otherwise(0)).alias(k) for k, c in kinds.items()])
+    return out.withColumn("flags", F.array_compact(F.array(*[F.when(F.col(k) > F.col("n") * LIMITS[k], F.lit(k)) for k in kinds])))

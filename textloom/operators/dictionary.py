@@ -66,6 +66,13 @@ def longest_first(hits: DataFrame, limit: int = HIT_LIMIT) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "entry"))).where(F.col("rank") <= limit)
 
 
+def by_layer(hits: DataFrame, limit: int = 200) -> DataFrame:
+    """Distinct entries of each text by layer, then longest first, at most ``limit`` (a request's size): (id, entry, rank)."""
+    best = hits.groupBy("id", "entry", "layer").agg(F.max(F.col("j") - F.col("i")).alias("n"))
+    w = Window.partitionBy("id").orderBy("layer", F.desc("n"), "entry")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("id", "entry", "rank")
+
+
 def nested(hits: DataFrame) -> DataFrame:
     """(id, entry) all of whose places lie inside a longer place of another entry."""
     a, b = hits.alias("a"), hits.alias("b")

@@ -85,3 +85,22 @@ def first_use(rows: DataFrame, part: str, order: str, pattern: str) -> DataFrame
 def newest(rows: DataFrame, part: str, order: list[Column], keep: int) -> DataFrame:
     """Newest rows of each part (the feature is the number kept); ``kept`` says which."""
     return rows.withColumn("k__", F.row_number().over(Window.partitionBy(part).orderBy(*order))).withColumn("kept", F.col("k__") <= keep).drop("k__")
+
+
+def joined_over_pages(rows: DataFrame, doc: str, place: str, page: str, text: str) -> DataFrame:
+    """Rows that go on from the last row of a page to the first of the next, as one: (doc, place, n, text).
+
+    A row goes on if it has no closing mark at its end and the next one begins with a small letter.
+    """
+    w = Window.partitionBy(doc).orderBy(place)
+    goes_on = (F.lag(page).over(w) == F.col(page) - 1) & ~F.lag(text).over(w).rlike(r"[.!?:;]\s*$") & F.col(text).rlike(r"^\p{Ll}")
+    rows = rows.withColumn("new__", F.when(goes_on, 0).otherwise(1)).withColumn("island__", F.sum("new__").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct(place, text)))
+    out = rows.groupBy(doc, "island__").agg(parts.alias("parts__"))
+    return out.select(doc, F.col("parts__")[0][place].alias(place), F.size("parts__").cast("long").alias("n"), F.array_join(F.transform("parts__", lambda x: x[text]), " ").alias(text))
+
+
+def page_numbers(rows: DataFrame, doc: str, place: str, ends: Column) -> DataFrame:
+    """Adds ``page``: one more than the page ends before the row."""
+    w = Window.partitionBy(doc).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("page", (F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(w), F.lit(0)) + 1).cast("int"))

@@ -56,3 +56,17 @@ def owned(rows: DataFrame, user: Column, admin: Column) -> DataFrame:
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def seldom(places: DataFrame, pages: DataFrame, share: float) -> DataFrame:
+    """Images that repeat but stand on at most max(1, share of all pages): (image, pages); places(image, page), pages(page)."""
+    n = pages.agg(F.countDistinct("page").alias("all_pages"))
+    counts = places.groupBy("image").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("n")).where("n > 1")
+    return counts.join(F.broadcast(n), F.lit(True)).where(F.col("pages") <= F.greatest(F.lit(1.0), F.col("all_pages") * share)).select("image", "pages")
+
+
+def voted(cells: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    """The value with the most weight in each group, the smaller one of equal ones: (by, value, votes)."""
+    sums = cells.groupBy(*by, value).agg(F.sum(weight).alias("w"))
+    best = F.max_by(value, F.struct("w", (-F.ascii(value)).alias("tie")))
+    return sums.groupBy(*by).agg(best.alias(value), F.sum("w").alias("votes"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import documents, layout, relational, structure
+from textloom.plans import documents, layout, relational, rules, structure
 
-PLANS = (documents, relational, layout, structure)
+PLANS = (documents, relational, layout, structure, rules)
 
 
 def queries():
