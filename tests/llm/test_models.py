@@ -102,7 +102,8 @@ def test_windows_score_each_token_once_like_one_by_one():
     w = lm.start_weights()
     w["u"] = r.standard_normal(w["u"].shape).astype(np.float32)
     bigram = r.standard_normal((lm.CLASSES + 1, lm.CLASSES)).astype(np.float32)
-    scorer = lm.Scorer(w, bigram)
+    sets = np.arange(lm.CLASSES) % lm.SETS
+    scorer = lm.Scorer(w, bigram, sets)
     for n in (1, 5, 16, 17, 100):
         c = r.integers(0, lm.CLASSES, n).astype(np.int32)
         x, y = lm.windows(c)
@@ -114,7 +115,7 @@ def test_windows_score_each_token_once_like_one_by_one():
             seen = before[t // step * step : t + lm.OVERLAP + 1]
             s = (w["k"][seen] @ w["q"][seen[-1]]) * lm.DIM**-0.5 + w["rel"][np.arange(len(seen))[::-1]]
             a = np.exp(s) / np.exp(s).sum()
-            logits = np.tanh(a @ w["v"][seen]) @ w["u"] + bigram[seen[-1]]
+            logits = np.tanh(a @ w["v"][seen]) @ w["u"][:, sets] + bigram[seen[-1]]
             assert abs(got[t] - (logits[c[t]] - np.log(np.exp(logits).sum()))) < 2e-3
 
 
@@ -126,20 +127,20 @@ def test_gradients_are_right():
     x, y = lm.windows(r.integers(0, lm.CLASSES, 40).astype(np.int32))
     on = (y >= 0).astype(np.float32)
     y = np.maximum(y, 0)
-    g, _ = lm.gradients(w, bigram, x, y, on)
+    g, _ = lm.gradients(w, bigram, np.arange(lm.CLASSES) % lm.SETS, x, y, on)
     for name, at in (("q", (x[0, 6], 2)), ("k", (x[0, 6], 3)), ("v", (x[0, 6], 1)), ("rel", (1,)), ("u", (2, 3)), ("b", (4,))):
         step = 1e-4
         w[name][at] += step
-        up = lm.gradients(w, bigram, x, y, on)[1]
+        up = lm.gradients(w, bigram, np.arange(lm.CLASSES) % lm.SETS, x, y, on)[1]
         w[name][at] -= 2 * step
-        down = lm.gradients(w, bigram, x, y, on)[1]
+        down = lm.gradients(w, bigram, np.arange(lm.CLASSES) % lm.SETS, x, y, on)[1]
         w[name][at] += step
         assert abs((up - down) / (2 * step) - g[name][at]) < 1e-4 + 0.02 * abs(g[name][at])
 
 
 def test_text_probabilities_sum_to_at_most_one():
     r = np.random.default_rng(2)
-    scorer = lm.Scorer(lm.start_weights(), r.standard_normal((lm.CLASSES + 1, lm.CLASSES)).astype(np.float32))
+    scorer = lm.Scorer(lm.start_weights(), r.standard_normal((lm.CLASSES + 1, lm.CLASSES)).astype(np.float32), np.arange(lm.CLASSES) % lm.SETS)
     x, _ = lm.windows(r.integers(0, lm.CLASSES, 10).astype(np.int32))
     total = sum(np.exp(scorer.log_probabilities(x, np.full_like(x, k))) for k in range(lm.CLASSES))
     assert np.allclose(total, 1, atol=1e-3)
