@@ -13,6 +13,8 @@ from textloom.functions.morphology import matches_word
 
 WINDOW_EXTRA = 2
 HIT_LIMIT = 90
+#: A dictionary of up to this number of entries is broadcast.
+BROADCAST_ENTRIES = 50_000
 STEM = 4
 
 
@@ -33,7 +35,8 @@ def positions(texts: DataFrame) -> DataFrame:
 def phrase_hits(texts: DataFrame, entries: DataFrame, inflected: bool = False) -> DataFrame:
     """Contiguous matches of ``entries(entry, term)``: (id, entry, i, j), words equal by stem key.
 
-    Each entry word is matched by an equi-join on key, and a run counts if all its words start at one place: no pairs of
+    Up to BROADCAST_ENTRIES entries (counted) are broadcast and texts stay where they are. Beyond that each entry word is matched
+    by an equi-join on key, and a run counts if all its words start at one place: no pairs of
     texts and entries are made that share nothing. ``inflected`` blocks by three letters and then asks that the text's word is the
     term's stem with an ending or a chain of suffixes.
     """
@@ -43,6 +46,12 @@ def phrase_hits(texts: DataFrame, entries: DataFrame, inflected: bool = False) -
         met = positions(texts).withColumn("key", stem("w")).join(parts, "key").where(matches_word(F.col("tw"), F.col("w")))
         runs = met.groupBy("id", "entry", (F.col("i") - F.col("k")).alias("i"), "n").agg(F.countDistinct("k").alias("got"))
         return runs.where("got = n and i >= 0").select("id", "entry", "i", (F.col("i") + F.col("n")).alias("j"))
+    if entries.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES:
+        # A small dictionary goes to the texts: its first words find places, and the rest is compared inside the row.
+        terms = entries.select("entry", F.transform(words(F.col("term")), lambda w: stem_key(w)).alias("seq")).where("size(seq) > 0").select("entry", "seq", F.col("seq")[0].alias("key"))
+        rows = texts.select("id", F.transform(words(F.col("text")), lambda w: stem_key(w)).alias("keys"))
+        met = rows.select("id", "keys", F.posexplode("keys").alias("i", "key")).join(F.broadcast(terms), "key")
+        return met.where(F.slice("keys", F.col("i") + 1, F.size("seq")) == F.col("seq")).select("id", "entry", "i", (F.col("i") + F.size("seq")).alias("j"))
     parts = entries.select("entry", F.size(words(F.col("term"))).alias("n"), F.posexplode(words(F.col("term"))).alias("k", "tw")).withColumn("key", stem_key(F.col("tw")))
     toks = positions(texts).withColumn("key", stem_key(F.col("w")))
     runs = toks.join(parts, "key").groupBy("id", "entry", (F.col("i") - F.col("k")).alias("i"), "n").agg(F.countDistinct("k").alias("got"))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from textloom.functions import text as X
+
 LEAST_WORD, MOST_TEXTS, TOP = 4, 400, 60
 LEAST_RATIO = 0.8
 
@@ -30,19 +32,36 @@ def candidates(probes: DataFrame, texts: DataFrame, top: int = TOP, most: int =
     return common.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def ratio(a: str, b: str) -> Column:
-    """difflib's ratio of two text columns, which Spark has not, in Arrow batches."""
+def ratio(a: str, b: str, least: float = 0.0) -> Column:
+    """difflib's ratio of two text columns, which Spark has not, in Arrow batches; below ``least`` an upper bound of it may stand."""
 
     def batch(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, i or "", j or "").ratio() for i, j in zip(x, y, strict=True)], dtype=float)
+        def one(i: str, j: str) -> float:
+            m = SequenceMatcher(None, i or "", j or "")
+            for bound in (m.real_quick_ratio, m.quick_ratio):
+                if (most := bound()) < least:
+                    return most
+            return m.ratio()
+
+        return pd.Series([one(i, j) for i, j in zip(x, y, strict=True)], dtype=float)
 
     return F.pandas_udf(batch, DoubleType())(a, b)
 
 
-def similar(probes: DataFrame, texts: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
-    """(id, probe, ratio): each text goes to the first probe that is at least so similar."""
-    found = candidates(probes, texts).join(probes.select(F.col("id").alias("probe"), F.col("text").alias("probe_text")), "probe").join(texts.select("id", "text"), "id")
-    found = found.withColumn("ratio", ratio("probe_text", "text")).where(F.col("ratio") >= least)
-    return found.groupBy("id").agg(F.min("probe").alias("probe"), F.min_by("ratio", "probe").alias("ratio"))
+def similar(probes: DataFrame, texts: DataFrame, least: float = LEAST_RATIO, most: int = MOST_TEXTS) -> DataFrame:
+    """(id, probe, ratio): each text goes to the first probe that is its number variant, else to the first one that is at least so similar.
+
+    Number variants (``functions.text.is_template``) meet by an equi-join with one probe for each template. The others are
+    sought among the candidates by rare words, which are a part of the operator: probes that share none with a text, or
+    are behind the first TOP by their number, are not asked.
+    """
+    key = X.digits_key(F.col("text"))
+    first = probes.where(X.is_template(F.col("text"))).withColumn("k", key).groupBy("k").agg(F.min(F.struct("id", "text")).alias("p"))
+    variants = texts.where(X.is_template(F.col("text"))).withColumn("k", key).join(first, "k").where("id <> p.id")
+    variants = variants.select("id", F.col("p.id").alias("probe"), ratio("p.text", "text").alias("ratio"))
+    rest = texts.join(variants.select("id"), "id", "left_anti")
+    found = candidates(probes, texts, most=most).join(probes.select(F.col("id").alias("probe"), F.col("text").alias("probe_text")), "probe").join(rest.select("id", "text"), "id")
+    found = found.withColumn("ratio", ratio("probe_text", "text", least)).where(F.col("ratio") >= least)
+    return variants.unionByName(found.groupBy("id").agg(F.min("probe").alias("probe"), F.min_by("ratio", "probe").alias("ratio")))

@@ -16,26 +16,31 @@ def words(c: Column) -> Column:
 
 
 def ngrams(texts: DataFrame, stop: list[str], most: int = 3) -> DataFrame:
-    """(id, gram, n): n-grams without breaks, stop words at the ends, or short words; from texts(id, text)."""
-    rows = texts.select("id", words(F.col("text")).alias("w"))
-    stops = F.array(*[F.lit(s) for s in stop])
+    """(grams, n): the n-grams of each text, as arrays, without breaks, stop words at the ends, or short words; from texts(text).
 
-    def grams(n: int) -> Column:
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        made = F.transform(starts, lambda i: F.slice("w", i, n))
-        fits = lambda g: (
-            F.forall(g, lambda x: (x != "|") & (F.length(x) >= (LEAST_SINGLE if n == 1 else LEAST_WORD)))
-            & ~F.array_contains(stops, F.element_at(g, 1))
-            & ~F.array_contains(stops, F.element_at(g, -1))
-        )
-        return F.transform(F.filter(made, fits), lambda g: F.struct(F.array_join(g, " ").alias("gram"), F.lit(n).alias("n")))
-
-    return rows.select("id", F.explode(F.concat(*[grams(n) for n in range(1, most + 1)])).alias("g")).select("id", "g.gram", "g.n")
+    Words are met with those that follow them by shifted arrays, so each is looked at a few times and nothing is cut out.
+    """
+    rows = texts.select(words(F.col("text")).alias("w"))
+    fits = lambda x, least: (x != "|") & (F.length(x) >= least)
+    edge = lambda x, least: fits(x, least) & ~x.isin(*stop)
+    shifted = lambda k: F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0)))
+    made = [F.struct(F.filter("w", lambda x: edge(x, LEAST_SINGLE)).alias("grams"), F.lit(1).alias("n"))]
+    led = F.transform("w", lambda x: F.when(edge(x, LEAST_WORD), x))  # gram so far, null if it cannot begin one
+    for n in range(2, most + 1):
+        ended = F.zip_with(led, shifted(n - 1), lambda g, x: F.when(g.isNotNull() & edge(x, LEAST_WORD), F.concat(g, F.lit(" "), x)))
+        made.append(F.struct(F.array_compact(ended).alias("grams"), F.lit(n).alias("n")))
+        led = F.zip_with(led, shifted(n - 1), lambda g, x: F.when(g.isNotNull() & fits(x, LEAST_WORD), F.concat(g, F.lit(" "), x)))
+    return rows.select(F.explode(F.array(*made)).alias("g")).select("g.grams", "g.n")
 
 
 def counted(grams: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
-    """(gram, n, c, n_texts) of frequent n-grams."""
-    return grams.groupBy("gram", "n").agg(F.count("*").alias("c"), F.countDistinct("id").alias("n_texts")).where(F.col("c") >= least)
+    """(gram, n, c, n_texts) of frequent n-grams.
+
+    A text gives each of its n-grams, and each different one again for the number of texts: sums that are added up before the shuffle.
+    """
+    all_, different = F.struct(F.col("grams").alias("grams"), F.lit(1).alias("c"), F.lit(0).alias("t")), F.struct(F.array_distinct("grams").alias("grams"), F.lit(0).alias("c"), F.lit(1).alias("t"))
+    rows = grams.select("n", F.explode(F.array(all_, different)).alias("x")).select("n", "x.c", "x.t", F.explode("x.grams").alias("gram"))
+    return rows.groupBy("gram", "n").agg(F.sum("c").alias("c"), F.sum("t").alias("n_texts")).where(F.col("c") >= least)
 
 
 def unsuppressed(terms: DataFrame) -> DataFrame:

@@ -166,8 +166,8 @@ def incremental_inputs(spark, d):
 
 @query(f"select job from {JOBS} where owner = 7 or 7 in (select c_custkey from customer where c_acctbal > 9000)")
 def access_filter(spark, d):
-    rich = table(spark, d, "customer").where("c_custkey = 7 and c_acctbal > 9000").count() > 0
-    return quality.owned(jobs(spark, d), F.lit(7), F.lit(rich)).select("job")
+    user = table(spark, d, "customer").where("c_custkey = 7").agg(F.coalesce(F.bool_or(F.col("c_acctbal") > 9000), F.lit(False)).alias("admin"))
+    return quality.owned(jobs(spark, d).join(F.broadcast(user), F.lit(True)), F.lit(7), F.col("admin")).select("job")
 
 
 @query(f"select text, tgt, min(doc) as doc, count(*) as n from {PAIRS} where tgt <> '' group by 1, 2")
