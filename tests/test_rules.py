@@ -129,3 +129,14 @@ def test_reference_forms(spark):
     assert fix("(глава 2.1) и (Раздел 3)") == "(см. раздел 2.1) и (см. раздел 3)"
     assert fix("см. рис. 7 (рис. 8)") == "см. рисунок 7 (рисунок 8)"
     assert fix("см. 42]") == "см. 42]"
+
+
+def test_paragraphs_and_segments(spark):
+    from textloom.operators import memory
+
+    df = lambda rows: spark.createDataFrame(rows, "doc int, o int, k string")
+    ours = df([(1, 1, "abc"), (1, 2, "de"), (1, 3, "f"), (1, 4, "x"), (1, 5, "gh"), (2, 1, "abc")])
+    theirs = df([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (1, 4, "def"), (1, 5, "gh"), *((3, n, "z") for n in range(12))])
+    assert {(r.doc, r.place): r.how for r in memory.cascaded(ours, theirs, "doc", "o", "k").collect()} == {(1, 1): "joined", (1, 2): "part", (1, 3): "part", (1, 4): "own", (1, 5): "exact", (2, 1): "own"}
+    longest = memory.cascaded(df([(3, 1, "z" * 10), (3, 2, "z" * 11)]), theirs, "doc", "o", "k").collect()
+    assert {r.place: r.how for r in longest} == {1: "joined", 2: "own"}

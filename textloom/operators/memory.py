@@ -89,3 +89,25 @@ def unique_names(files: DataFrame) -> DataFrame:
     rows = files.withColumn("name", X.base_name(F.col("path")))
     k = F.row_number().over(Window.partitionBy("job", "name").orderBy("ord"))
     return rows.withColumn("k", k).withColumn("name", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat("name", F.lit(" ("), F.col("k").cast("string"), F.lit(")")))).drop("k")
+
+
+def consecutive(rows: DataFrame, part: str, order: str, key: str, most: int = 10) -> DataFrame:
+    """Keys of 2 to ``most`` consecutive rows of a part, put together: (part, place, n, key), ``place`` the row's own from 1."""
+    w = Window.partitionBy(part).orderBy(order)
+    lists = rows.select(part, F.row_number().over(w).alias("place"), F.collect_list(key).over(w.rowsBetween(0, most - 1)).alias("keys")).where("size(keys) > 1")
+    runs = lists.select(part, "place", "keys", F.explode(F.sequence(F.lit(2), F.size("keys"))).alias("n"))
+    return runs.select(part, "place", "n", F.array_join(F.slice("keys", 1, F.col("n")), "").alias(key))
+
+
+def cascaded(ours: DataFrame, theirs: DataFrame, part: str, order: str, key: str, most: int = 10) -> DataFrame:
+    """How each of our rows meets theirs of the same part: ``exact`` by key, else ``joined`` as 2 to ``most`` consecutive ones of theirs,
+    else ``part`` as one of 2 to ``most`` consecutive ones of ours that make up one of theirs, else ``own``. All steps are equi-joins.
+    """
+    w = Window.partitionBy(part).orderBy(order)
+    mine = ours.withColumn("place", F.row_number().over(w))
+    single = theirs.select(part, key).distinct()
+    joined = consecutive(theirs, part, order, key, most).select(part, key).distinct().withColumn("joined__", F.lit(1))
+    parts = consecutive(ours, part, order, key, most).join(single, [part, key]).select(part, F.explode(F.sequence("place", F.col("place") + F.col("n") - 1)).alias("place")).distinct().withColumn("part__", F.lit(1))
+    out = mine.join(single.withColumn("exact__", F.lit(1)), [part, key], "left").join(joined, [part, key], "left").join(parts, [part, "place"], "left")
+    how = F.when(F.col("exact__") == 1, "exact").when(F.col("joined__") == 1, "joined").when(F.col("part__") == 1, "part").otherwise("own")
+    return out.select(part, "place", how.alias("how"))

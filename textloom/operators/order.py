@@ -43,10 +43,15 @@ def islands(rows: DataFrame, part: list[str], order: list[str], breaks: Column)
 
 
 def gap_clusters(rows: DataFrame, part: str, value: str, tolerance: float) -> DataFrame:
-    """One-dimensional clusters: a gap above ``tolerance`` starts a new one; (part, island, n, low, high, center)."""
-    before = F.lag(value).over(Window.partitionBy(part).orderBy(value))
-    marked = islands(rows.withColumn("before__", before), [part], [value], F.col(value) - F.col("before__") > tolerance)
-    return marked.groupBy(part, "island").agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(value), 6).alias("center"))
+    """One-dimensional clusters: a gap above ``tolerance`` starts a new one; (part, island, n, low, high, center).
+
+    Values of one bin of that width are always together, so bins are aggregated first and only they are put in order.
+    """
+    bins = rows.where(F.col(value).isNotNull()).groupBy(part, F.floor(F.col(value) / tolerance).alias("bin__")).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.sum(value).alias("sum__"))
+    before = F.lag("high").over(Window.partitionBy(part).orderBy("bin__"))
+    marked = islands(bins.withColumn("before__", before), [part], ["bin__"], F.col("low") - F.col("before__") > tolerance)
+    sums = marked.groupBy(part, "island").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("sum__").alias("sum__"))
+    return sums.select(part, "island", "n", "low", "high", F.round(F.col("sum__") / F.col("n"), 6).alias("center"))
 
 
 def runs(rows: DataFrame, part: list[str], order: str, label: str) -> DataFrame:

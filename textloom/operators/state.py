@@ -59,7 +59,10 @@ def throttled(failures: DataFrame, key: str, ts: str, seconds: int = THROTTLE_SE
 
 
 def queue_positions(jobs: DataFrame, part: str, order: list[str]) -> DataFrame:
-    return jobs.withColumn("position", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    """Adds ``position`` in the queue of each part, from 1: the number in the order of all parts less what lies before the part."""
+    rows = numbered(jobs, [part, *order], "number__")
+    first = rows.groupBy(part).agg(F.min("number__").alias("first__"))
+    return rows.join(first, part).withColumn("position", (F.col("number__") - F.col("first__") + 1).cast("int")).drop("number__", "first__")
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:

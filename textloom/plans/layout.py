@@ -71,13 +71,17 @@ def list_label_runs(spark, d):
     return order.runs(rows, ["page"], "id", "label")
 
 
-@query("""with o as (select page_id % 10 as doc, cast(regexp_extract(url, '[0-9]+') as integer) - page_id as off from pages where regexp_extract(url, '[0-9]+') <> ''), c as (select doc, off, count(*) as n from o group by 1, 2)
-    select doc, off as offset, n, cast(total as bigint) as total from (select *, sum(n) over (partition by doc) as total, row_number() over (partition by doc order by n desc, off) as r from c) where r = 1""")
+@query("""with u as (select page_id, cast(regexp_extract(url, '[0-9]+') as integer) as number from pages where regexp_extract(url, '[0-9]+') <> ''),
+      o as (select page_id % 10 as doc, case when number % 4 = 0 then number - page_id else page_id % 10 * 3 end as off from u), c as (select doc, off, count(*) as n from o group by 1, 2)
+    select doc, off as offset, n, cast(total as bigint) as total from (select *, sum(n) over (partition by doc) as total, row_number() over (partition by doc order by n desc, off) as r from c) where r = 1 and n >= 3 and n >= 0.6 * total""")
 def page_offset_mode(spark, d):
+    """Printed numbers less page numbers: three quarters of the pages keep their document's offset, the others have the number of their URL."""
     number = F.regexp_extract("url", "[0-9]+", 0)
-    rows = table(spark, d, "pages").where(number != "").select((F.col("page_id") % 10).alias("doc"), (number.cast("int") - F.col("page_id")).alias("offset"))
+    rows = table(spark, d, "pages").where(number != "").select("page_id", (F.col("page_id") % 10).alias("doc"), number.cast("int").alias("number"))
+    rows = rows.select("doc", F.when(F.col("number") % 4 == 0, F.col("number") - F.col("page_id")).otherwise(F.col("doc") * 3).alias("offset"))
     counts = rows.groupBy("doc", "offset").agg(F.count("*").alias("n"))
-    return counts.groupBy("doc").agg(F.max_by("offset", F.struct("n", F.negative("offset"))).alias("offset"), F.max("n").alias("n"), F.sum("n").alias("total"))
+    modes = counts.groupBy("doc").agg(F.max_by("offset", F.struct("n", F.negative("offset"))).alias("offset"), F.max("n").alias("n"), F.sum("n").alias("total"))
+    return modes.where((F.col("n") >= 3) & (F.col("n") >= 0.6 * F.col("total")))
 
 
 @query(f"""with recursive b as materialized (select page, id, line, x0, y0, x1, y1 from {BOXES}),
