@@ -247,3 +247,50 @@ def corpus_metrics(spark, d):
 @query("select event_id, cast(ts as date) as day from (select *, row_number() over (partition by cast(ts as date) order by ts, event_id) as r from events) where r = 1")
 def first_tick_of_day(spark, d):
     return table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.min(F.struct("ts", "event_id")).alias("first")).select(F.col("first.event_id").alias("event_id"), "day")
+
+
+# -- pair checks of the two main directions, on planted pairs with one defect each (source, target; # is a number of the segment)
+
+HU_RU = [
+    ("A szelepet ki kell nyitni # bar", "Закрыть клапан # бар"),
+    ("A nyomás értéke # bar", ""),
+    ("A nyomás értéke # bar", "Значение давления 4711 бар"),
+    ("A nyomás értéke # bar", "A nyomás értéke # bar"),
+    ("A nyomás értéke # bar", "Значение давления # бар"),
+    ("A <f1>nyomás</f1> értéke #", "Значение давления #"),
+    ("A szivattyú nem indul el # perc után", "Насос запускается через # минут"),
+    ("A nyomás értéke # bar", "Знaчение давления # бар"),
+]
+RU_EN = [
+    ("Давление в контуре # бар", "Pressure in the loop # bar"),
+    ("Давление в контуре # бар", "Pressure in контуре # bar"),
+    ("Давление в контуре # бар", "Pressure in the loop 4711 bar"),
+    ("Давление в контуре Siemens # бар", "Pressure in the loop # bar"),
+    ("Давление в контуре # бар", "Давление в контуре # бар"),
+    ("Давление в контуре # бар", "Pressure 漢 # bar"),
+    ("Давление в контуре # бар", ""),
+    ("Давление в первом контуре установки # бар", "P # bar"),
+]
+
+
+def _planted(spark, d, cases, direction, src_lang, out_lang):
+    from textloom.functions import checks as C
+
+    case = F.col("doc") % len(cases)
+    number = (F.col("seg") % 90 + 100).cast("string")
+    pick = lambda k: F.replace(F.element_at(F.array(*[F.lit(c[k]) for c in cases]), (case + 1).cast("int")), F.lit("#"), number)
+    rows = seg(spark, d).select("doc", "seg", pick(0).alias("src"), pick(1).alias("out"))
+    return rows.select("doc", "seg", F.explode(C.issues(F.col("src"), F.col("out"), direction, src_lang, out_lang)).alias("issue"))
+
+
+_NO_NUMBER = "['missing_codes: ' || (seg % 90 + 100), 'extra_numbers: 4711']"
+
+
+@query(f"""select doc, cast(seg as integer) as seg, unnest(case doc % 8 when 0 then ['action_flip open/close'] when 1 then ['empty'] when 2 then {_NO_NUMBER} when 3 then ['untranslated'] when 5 then ['marks'] when 6 then ['negation_lost'] when 7 then ['mixed_alphabet: Знaчение'] else [] end) as issue from {SEG}""")
+def issue_rows_hu_ru(spark, d):
+    return _planted(spark, d, HU_RU, "hu-ru", "hu", "ru")
+
+
+@query(f"""select doc, cast(seg as integer) as seg, unnest(case doc % 8 when 1 then ['source_left: контуре'] when 2 then {_NO_NUMBER} when 3 then ['latin_lost: Siemens'] when 4 then ['untranslated'] when 5 then ['foreign_script'] when 6 then ['empty'] when 7 then ['length'] else [] end) as issue from {SEG}""")
+def issue_rows_ru_en(spark, d):
+    return _planted(spark, d, RU_EN, "ru-en", "ru", "en")
