@@ -9,6 +9,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm import decontaminate, langid, pieces, quality, simhash
 from textloom.llm.common import crc_mod, prepare, stored
@@ -30,7 +31,9 @@ def rows_kept(docs: DataFrame, judge) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(decide(b.column(at).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]
+    plain = docs.toDF(*[f.name for f in fields])  # by position: a name with a dot cannot be resolved in a map
+    return plain.mapInArrow(run, T.StructType(fields)).toDF(*docs.columns)
 
 
 def left_out(docs: DataFrame, gone: DataFrame, met) -> DataFrame:
@@ -104,7 +107,6 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, c0, c1, ...): the fingerprint and all columns, by position, so that no name of theirs is in the way."""
     import numpy as np
-    from pyspark.sql import types as T
 
     prepare(docs.sparkSession)
     fields = [docs.schema["doc_id"], T.StructField("fp", T.LongType()), *[T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]]
@@ -115,7 +117,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
             fps = np.array([simhash.fingerprint(x.as_py()) for x in b.column(text)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(at), pa.array(fps.view(np.int64)), *b.columns], [f.name for f in fields])
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).mapInArrow(run, T.StructType(fields))
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
