@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, decontaminate, extract, langid, lm, pieces, quality, simhash, warc, weighted
+from textloom.llm import chat, decontaminate, extract, langid, lm, negatives, pieces, quality, simhash, urls, warc, weighted
 from textloom.llm.common import table
 
 
@@ -50,6 +50,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -63,6 +71,13 @@ QUERIES = {
         op8_sentencepiece,
         op9_simhash_near_dedup,
         op10_warc,
+        op12_url_filters,
+        op13_hard_negatives,
     )
 }
-ORACLE_SQL = {"op5_chat_formatting": chat.ORACLE, "op7_benchmark_decontamination": decontaminate.ORACLE}
+ORACLE_SQL = {
+    "op5_chat_formatting": chat.ORACLE,
+    "op7_benchmark_decontamination": decontaminate.ORACLE,
+    "op12_url_filters": urls.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
+}
