@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, decontaminate, extract, langid, lm, negatives, pieces, quality, simhash, urls, warc, weighted
+from textloom.llm import chat, decontaminate, extract, langid, lm, negatives, pieces, quality, simhash, tokens, urls, warc, weighted
 from textloom.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.alignments(table(spark, sf_dir, "documents"))
+
+
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
@@ -71,6 +75,7 @@ QUERIES = {
         op8_sentencepiece,
         op9_simhash_near_dedup,
         op10_warc,
+        op11_tokenizer_alignment,
         op12_url_filters,
         op13_hard_negatives,
     )
