@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import documents, layout, relational, rules, structure
+from textloom.plans import blocks, documents, layout, relational, rules, structure
 
-PLANS = (documents, relational, layout, structure, rules)
+PLANS = (documents, relational, layout, structure, rules, blocks)
 
 
 def queries():
