@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from textloom.llm import queries, tokens
@@ -103,25 +104,31 @@ def test_odd_texts_and_both_ways_of_counts(spark, limit):
     assert rows_of(tokens.alignments(df, broadcast_pairs=limit)) == plain(rows)
 
 
-def test_small_tables_and_slices(spark, monkeypatch):
-    """Chunks forgotten between slices change nothing; run in this process, as workers do."""
+def test_small_tables_and_groups(monkeypatch):
+    """Chunks forgotten between groups change nothing; run in this process, as workers do."""
     x = tokens.Aligner(*tokens.model_files())
-    text = " ".join(f"w{k % 97} q{k}" for k in range(3000))
-    whole = [x.sizes[n].sum(axis=0).tolist() for n in x.numbers(text)]
-    monkeypatch.setattr(tokens, "SLICE", 50)
+    texts = [" ".join(f"w{k % 97} q{k}" for k in range(3000)), None, "one", " ".join(odd_texts()[1500:1900]), "a▁b", "", "z" * 5000]
+    plainly = lambda rows: [(*r[:5], r[5].tolist(), r[6].tolist()) for r in rows]
+    whole = plainly(x.documents(texts))
+    monkeypatch.setattr(tokens, "GROUP", 300)
     monkeypatch.setattr(tokens, "REMEMBERED", 60)
+    monkeypatch.setattr(tokens, "JOINED", 40)
     x.forget()
-    parts = [x.sizes[n].sum(axis=0) for n in x.numbers(text)]
-    assert len(parts) == 120 and sum(parts).tolist() == whole[0] and len(x.links) <= 160
+    assert plainly(x.documents(texts)) == whole and len(whole) == 7 and len(x.groups) < 200
 
 
 def test_components_are_the_minimal_groups():
     rng = random.Random(2)
     for _ in range(500):
         n = rng.randrange(1, 40)
-        ends = lambda: sorted({n, *(rng.randrange(1, n + 1) for _ in range(rng.randrange(0, 20)))})  # noqa: E731, B023
+        ends = lambda: np.array(sorted({n, *(rng.randrange(1, n + 1) for _ in range(rng.randrange(0, 20)))}))  # noqa: E731, B023
         a, b = ends(), ends()
-        assert tokens.components(a, b) == plain_components(a, b)
+        of_a, of_b = tokens.components(a, b)
+        groups = [(np.flatnonzero(of_a == g), np.flatnonzero(of_b == g)) for g in range(of_a[-1] + 1)]
+        assert [(i[0], i[-1] + 1, j[0], j[-1] + 1) for i, j in groups] == plain_components(a.tolist(), b.tolist())
+        i, j, _ = tokens.overlaps(a, b)
+        start = lambda e, k: e[k - 1] if k else 0
+        assert list(zip(i, j, strict=True)) == [(p, q) for p in range(len(a)) for q in range(len(b)) if start(a, p) < b[q] and start(b, q) < a[p]]
 
 
 def test_no_rows(spark, empty):
