@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.operators import cells, cover, fields, figures, flow, geometry
+from textloom.operators import cells, cover, fields, figures, flow, geometry, tree, zones
 from textloom.plans.documents import SEG, seg
 from textloom.plans.layout import BOXES, boxes
 from textloom.plans.registry import Registry
@@ -219,3 +219,105 @@ def blocks_reordered(spark, d):
     select doc, cast(ord as bigint) as ord from k where brk or (doc, ord) in (select doc, ord from x)""")
 def forced_page_breaks(spark, d):
     return flow.page_breaks(blocks(spark, d)).where("break").select("doc", "ord")
+
+
+# -- zones (every page of words has verticals and pieces of horizontals; as zones without rules, wide spaces part the columns)
+
+_RULES = f"""(with p as (select page, max(y1) as h from {BOXES} group by 1)
+    select page, j * 120.0 + page % 5 + dup * 1.5 as x0, -2.0 as y0, j * 120.0 + page % 5 + dup * 1.5 + 1 as x1, h + 2 as y1 from p, range(5) as a(j), range(2) as b(dup) where dup = 0 or j % 2 = page % 2
+    union all select page, c * 120.0, k * 36.0 - 2, c * 120.0 + 118, k * 36.0 - 1 from (select page, unnest(range(cast(ceil(h / 36.0) as bigint) + 1)) as k from p), range(4) as a(c) where (k * 2 + c + page) % 3 <> 0 or k = 0)"""
+
+
+def rule_boxes(spark, d):
+    p = boxes(spark, d).groupBy("page").agg(F.max("y1").alias("h"))
+    v = p.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("dup", F.explode(F.array(F.lit(0), F.lit(1))))
+    v = v.where((F.col("dup") == 0) | (F.col("j") % 2 == F.col("page") % 2))
+    x = F.col("j") * 120.0 + F.col("page") % 5 + F.col("dup") * 1.5
+    v = v.select("page", x.alias("x0"), F.lit(-2.0).alias("y0"), (x + 1).alias("x1"), (F.col("h") + 2).alias("y1"))
+    k = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("h") / 36.0)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(3)))).where(((F.col("k") * 2 + F.col("c") + F.col("page")) % 3 != 0) | (F.col("k") == 0))
+    return v.unionByName(k.select("page", (F.col("c") * 120.0).alias("x0"), (F.col("k") * 36.0 - 2).alias("y0"), (F.col("c") * 120.0 + 118).alias("x1"), (F.col("k") * 36.0 - 1).alias("y1")))
+
+
+_FIRST_OF = "(select distinct page, {0} from (select page, {0}, {0} - lag({0}) over (partition by page order by {0}) as gap from (select distinct page, {0} from {1})) where gap is null or gap > 2.5)"
+
+
+@query(f"""with b as materialized (select * from {BOXES}), r as materialized (select * from {_RULES}),
+    v as (select page, (x0 + x1) / 2 as x from r where x1 - x0 < 3 and y1 - y0 > 5), l as (select page, (y0 + y1) / 2 as y, x0, x1 from r where y1 - y0 < 3 and x1 - x0 > 20),
+    cx as (select page, x as a, lead(x) over (partition by page order by x) as b, cast(row_number() over (partition by page order by x) - 1 as integer) as col from {_FIRST_OF.format("x", "v")}),
+    cy as (select page, y, lead(y) over (partition by page order by y) as z, cast(row_number() over (partition by page order by y) - 1 as integer) as row from {_FIRST_OF.format("y", "l")}),
+    c as materialized (select page, row, col, a, b, y, z, row = 0 or exists (select 1 from l where l.page = cx.page and abs(l.y - cy.y) <= 2 and least(l.x1, cx.b) - greatest(l.x0, cx.a) >= 0.5 * (cx.b - cx.a)) as ruled from cx join cy using (page)
+      where b is not null and z is not null and page in (select page from cx group by 1 having count(*) >= 3)),
+    o as materialized (select *, max(case when ruled then row end) over (partition by page, col order by row) as top from c),
+    w as (select b.page, b.id, t, b.x0, b.x1, round_even(b.y0 / 3, 0) as line, min(o.row) as row, min(o.col) as col from b join o on b.page = o.page and (b.x0 + b.x1) / 2 between o.a and o.b and (b.y0 + b.y1) / 2 between o.y and o.z group by all),
+    g as (select o.page, o.top, o.col, o.a, o.b, line, min(w.x0) as x0, max(w.x1) as x1, string_agg(t, ' ' order by w.x0, w.id) as text from o left join w using (page, row, col) group by all),
+    n as (select page, top, col, count(*) - 1 as below from o group by all),
+    s as (select page, top, col, a, b, min(x0) - a as l, b - max(x1) as r, string_agg(text, chr(10) order by line) as text from g group by 1, 2, 3, 4, 5)
+    select page, top as row, col, coalesce(text, '') as text, case when text is null then 'left' when r < 10 and l - 10 > 10 then 'right' when abs(l - r) < greatest(6.0, 0.05 * (b - a)) and l > 8 then 'center' else 'left' end as align, below from s join n using (page, top, col)""")
+def ruled_zone_cells(spark, d):
+    """Words of whole pages in the cells between rules."""
+    return zones.ruled_cells(boxes(spark, d), rule_boxes(spark, d))
+
+
+@query(f"""with recursive b as materialized (select * from {BOXES} where length(t) % 4 <> 3),
+    r as (select page, x0, max(x1) over (partition by page order by x0, x1, id rows between unbounded preceding and 1 preceding) as reach from b),
+    k as materialized (select page, list(round_even((x0 + reach) / 2, 0)) as cuts from r where x0 - reach > 18 group by 1),
+    w as materialized (select b.*, round_even(y0 / 3, 0) as ln, len(list_filter(coalesce(cuts, []), lambda x: b.x0 >= x - 2)) as col from b left join k using (page)),
+    f as (select page, ln, list_sort(list(distinct col)) as have, min_by(struct_pack(a := y0, z := y1), (x0, id)) as first from w group by 1, 2),
+    l as materialized (select *, coalesce(first.a - (lag(first) over o).a <= 1.7 * ((lag(first) over o).z - (lag(first) over o).a), false) as close, row_number() over o as i from f window o as (partition by page order by ln)),
+    h as (select page, i, ln, have, ln as head from l where i = 1
+      union all select l.page, l.i, l.ln, case when l.close and len(l.have) < len(h.have) and len(list_filter(l.have, lambda x: not list_contains(h.have, x))) = 0 then h.have else l.have end,
+        case when l.close and len(l.have) < len(h.have) and len(list_filter(l.have, lambda x: not list_contains(h.have, x))) = 0 then h.head else l.ln end from h join l on l.page = h.page and l.i = h.i + 1),
+    n as (select page, ln, cast(dense_rank() over (partition by page order by head) - 1 as integer) as row from h),
+    g as (select page, row, col, ln, string_agg(t, ' ' order by x0, id) as text from w join n using (page, ln) group by all)
+    select page, row, cast(col as integer) as col, string_agg(text, chr(10) order by ln) as text from g group by all""")
+def spaced_zone_cells(spark, d):
+    """Words of whole pages in the columns between wide spaces."""
+    return zones.spaced_cells(boxes(spark, d).where(F.length("t") % 4 != 3))
+
+
+# -- content of tree elements (the words of a document hang in a tree: each under half of its number, or in a chain under the word before)
+
+_NODES = "(select doc_id as doc, cast(unnest(range(len(w))) as integer) as node, unnest(w) as t from (select doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') as w from documents where text is not null))"
+
+
+@query(f"""with recursive n as materialized (select doc, node, case when doc % 3 = 0 then case when node > 0 then node - 1 end when node > 0 then node // 2 end as parent, (length(t) * 5 + node) % 7 = 0 as holds, t from {_NODES}),
+    u as (select doc, node as leaf, node as spot, parent, holds from n union all select u.doc, u.leaf, n.node, n.parent, n.holds from u join n on u.doc = n.doc and u.parent = n.node where not u.holds),
+    h as (select doc, leaf, spot from u where holds)
+    select h.doc, spot as node, count(*) as n, string_agg(t, ' ' order by (n.node * 31) % 5, n.node) as text from h join n on h.doc = n.doc and h.leaf = n.node group by 1, 2""")
+def tree_contents(spark, d):
+    """Words gathered under the elements that hold content, by page and number."""
+    words = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("node", "t"))
+    k = F.col("node")
+    nodes = words.withColumn("parent", F.when(k > 0, F.when(F.col("doc") % 3 == 0, k - 1).otherwise(F.floor(k / 2).cast("int"))))
+    leaves = words.select("doc", ((k * 31) % 5).alias("page"), k.alias("mcid"), "node", F.col("t").alias("text"))
+    return tree.gathered(nodes, leaves, (F.length("t") * 5 + k) % 7 == 0)
+
+
+# -- the model of pages (segments are blocks, a dozen to a page; headers repeat but for some pages)
+
+_PAGED = f"(select doc, seg // 12 + 1 as page, 60.0 + length(text) % 4 * 6 as x0, 60.0 + length(text) % 4 * 6 + least(length(text) * 4, 420) as x1, 90.0 + seg % 12 * 40 + length(text) % 7 as top, 104.0 + seg % 12 * 40 + length(text) % 7 as bottom, length(text) as chars, text from {SEG} where text <> '')"
+
+
+@query(f"""with b as materialized (select * from {_PAGED}),
+    k as (select doc, page, case when page = 1 and doc % 3 = 0 then 'title' when page between 2 and 3 and doc % 4 = 0 then 'contents' when doc % 5 = 0 then '' else 'manual' end as key from (select distinct doc, page from b)),
+    x as (select doc, min(x) as shared from (select doc, round_even(x0, 0) as x from b group by 1, 2 having count(*) >= 3) group by 1),
+    h as (select doc, median(x0) as low from (select doc, x0, row_number() over (partition by doc order by x0) - 1 as r, count(*) over (partition by doc) as n from b) where r < greatest(1, n // 2) group by 1),
+    s as (select doc, 595.0 - max(x1) as right_ from b group by 1),
+    p as materialized (select doc, page, min(top) as first, max(bottom) as last, sum(chars) as chars from b group by 1, 2),
+    t as (select doc, list(first order by first)[count(*) // 5 + 1] as top, list(last order by last)[cast(floor(count(*) * 0.8) as bigint) + 1] as bottom from p group by 1),
+    u as (select doc, list(chars order by chars)[count(*) // 2 + 1] as usual from p where page > 1 group by 1),
+    y as (select doc, max_by(key, (n, key)) as body from (select doc, key, count(*) as n from k group by 1, 2) group by 1),
+    z as (select doc, max(page) as pages, bool_and(key = body) filter (page = 1) as own, min(page) filter (page > 1 and key = body) as back, any_value(body) as body from k join y using (doc) group by 1),
+    a as (select *, coalesce(back, pages + 1) - 2 as before from z left join u using (doc) left join (select doc, chars as c1 from p where page = 1) using (doc)),
+    m as (select *, pages > 1 and (coalesce(usual > 0 and coalesce(c1, 0) < 0.4 * usual, false) or body <> '' and not coalesce(own, false)) as cover, case when body <> '' and before between 1 and greatest(3, 0.15 * pages) then before else 0 end as front from a)
+    select doc, pages, coalesce(shared, low) as left_, right_, top, bottom, cast(usual as bigint) as usual, cover, cast(front as integer) as front, cast(case when front > 0 then front + 2 when cover then 2 else 1 end as integer) as first_page
+    from m join s using (doc) join h using (doc) join t using (doc) left join x using (doc)""")
+def page_models(spark, d):
+    rows = seg(spark, d).where("text <> ''")
+    n, q = F.length("text"), F.col("seg")
+    x0, y = 60.0 + n % 4 * 6, 90.0 + q % 12 * 40 + n % 7
+    b = rows.select("doc", (F.floor(q / 12) + 1).alias("page"), x0.alias("x0"), (x0 + F.least(n * 4, F.lit(420))).alias("x1"), y.alias("top"), (y + 14).alias("bottom"), n.alias("chars"))
+    p, k = F.col("page"), F.col("doc")
+    key = F.when((p == 1) & (k % 3 == 0), "title").when(p.between(2, 3) & (k % 4 == 0), "contents").when(k % 5 == 0, "").otherwise("manual")
+    out = zones.page_model(b, 595.0, b.select("doc", "page").distinct().withColumn("key", key))
+    return out.withColumnsRenamed({"left": "left_", "right": "right_"})

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import blocks, documents, layout, relational, rules, structure
+from textloom.plans import blocks, documents, layout, relational, rules, structure, writing
 
-PLANS = (documents, relational, layout, structure, rules, blocks)
+PLANS = (documents, relational, layout, structure, rules, blocks, writing)
 
 
 def queries():
