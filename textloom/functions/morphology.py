@@ -64,7 +64,7 @@ def mined_stem(word: Column) -> Column:
 def matches_word(term: Column, word: Column) -> Column:
     """A word of a text is the term's stem and an ending (Russian) or a chain of suffixes; words with digits match whole."""
     s, low = stem(term), F.lower(word)
-    tail = F.substring(low, F.length(s) + 1, F.lit(2**20))
+    tail = F.substr(low, F.length(s) + 1)
     ru = F.startswith(low, s) & ((tail == "") | tail.isin(*RU_ENDINGS))
     hu = F.startswith(low, s) & is_suffix_chain(tail)
     return F.when(term.rlike("^[0-9]") | (F.length(s) < 3), low == F.lower(term)).when(s.rlike("^[а-яё]"), ru).otherwise(hu)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.functions.references import references
 
 #: Entities and what they stand for (fixed values).
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")]
@@ -45,21 +46,6 @@ def dates_as_source(src: Column, c: Column) -> Column:
     return F.aggregate(found, c, back)
 
 
-#: What points to a place, by the word that the target uses for it: what stands before its number.
-POINTERS = [
-    (r"(?<=[Сс]м)\.:?\s*", ". раздел ", r"(?![0-9\]])"),
-    (r"(?<=\()(?:[Гг]лава|[Рр]аздел)\s+", "см. раздел ", r"\)"),
-    (r"(?<=\(|[Сс]м\.|[Сс]м\. )рис\.\s*", "рисунок ", ""),
-]
-
-
-def references(c: Column) -> Column:
-    """Section and figure references in one form: what leads to a number is exchanged, the number stays."""
-    for before, word, after in POINTERS:
-        c = F.regexp_replace(c, rf"{before}(?=(?>[0-9]+(?:\.[0-9]+)*){after})", word)
-    return c
-
-
 def capitals_lowered(src: Column, c: Column) -> Column:
     """Capital words of five letters or more go down if the source has no capital word; the first one keeps its capital."""
     loud = src.rlike(r"(?<!\p{L})\p{Lu}{3,}(?!\p{L})")
@@ -89,15 +75,25 @@ def rewritten(pairs: DataFrame, src: str, tgt: str) -> DataFrame:
 
 
 def joined_lines(lines: Column) -> Column:
-    """Lines to one text: a hyphen before a small letter is glued, else a space; a compound's hyphen stays after a capital or digit."""
-
-    def add(acc: Column, x: Column) -> Column:
-        end = F.right(acc, F.lit(2))
-        glue = end.rlike(r"\p{Ll}-$") & x.rlike(r"^\p{Ll}")
-        keep = end.rlike(r"[\p{Lu}0-9]-$")
-        return F.when(acc == "", x).when(glue, F.concat(F.left(acc, F.length(acc) - 1), x)).when(keep, F.concat(acc, x)).otherwise(F.concat_ws(" ", acc, x))
-
-    return F.aggregate(lines, F.lit(""), add)
+    """Lines to one text: a hyphen before a small letter is glued, else a space; a compound's hyphen stays after a capital or digit.
+
+    Each line is joined to the one before it by what that one ends with, so a text of any number of lines is read once.
+    """
+    # empty lines behind a compound's hyphen add nothing
+    lines = F.split(F.regexp_replace(F.array_join(lines, "\n"), r"([\p{Lu}0-9]-)\n+(?=\n|\z)", "$1"), "\n")
+    return X.let({"lines": lines}, lambda v: _joined(v["lines"]))
+
+
+def _joined(lines: Column) -> Column:
+    first = F.array_position(F.transform(lines, lambda x: x != ""), True)
+    kept = F.slice(lines, F.greatest(first, F.lit(1)).cast("int"), F.size(lines))
+    before = F.concat(F.array(F.lit("")), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+    end = lambda x: F.right(x, F.lit(2))
+    joint = F.zip_with(before, kept, lambda b, x: F.when(end(b).rlike(r"\p{Ll}-$") & x.rlike(r"^\p{Ll}"), "glue").when(end(b).rlike(r"[\p{Lu}0-9]-$"), "keep").otherwise("space"))
+    after = F.concat(F.slice(joint, 2, F.size(joint)), F.array(F.lit("space")))
+    bodies = F.zip_with(kept, after, lambda x, j: F.when(j == "glue", F.left(x, F.length(x) - 1)).otherwise(x))
+    spaced = F.zip_with(joint, bodies, lambda j, x: F.when(j == "space", F.concat(F.lit(" "), x)).otherwise(x))
+    return F.when(first == 0, "").otherwise(F.substr(F.array_join(spaced, ""), F.lit(2)))
 
 
 def acceptable(old: Column, new: Column, low: float = 0.6, high: float = 1.6) -> Column:

@@ -10,6 +10,11 @@ HU = "áéíóöőúüű"
 HU_UPPER = "ÁÉÍÓÖŐÚÜŰ"
 
 
+def let(values: dict[str, Column], body) -> Column:
+    """``body`` of a struct of values that are computed once for a row, however often it names them."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
 def unmarked(c: Column, by: str = " ") -> Column:
     return F.regexp_replace(c, _MARK, by)
 

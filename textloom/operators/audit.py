@@ -7,23 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
 
-def word_counts(rows: DataFrame, key: str) -> DataFrame:
-    """(key, w, n)."""
-    return rows.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
 
+def _words(c: Column) -> Column:
+    return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), 0), F.array().cast("array<string>"))
 
-def multiset_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Words that ``a`` has more often than ``b``: (key, w, lost), by one co-grouped aggregation, no join."""
-    both = word_counts(a, key).withColumn("d", F.col("n")).unionByName(word_counts(b, key).withColumn("d", -F.col("n")))
-    return both.groupBy(key, "w").agg(F.sum("d").alias("lost")).where("lost > 0")
 
+def compared_words(a: Column, b: Column) -> Column:
+    """Structs (w, n, m) of each distinct word of text ``a``: how often it and text ``b`` have it.
 
-def multiset_recall(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Share of the words of ``a``, as a multiset, that ``b`` has: (key, common, total, recall)."""
-    x, y = word_counts(a, key), word_counts(b, key).withColumnRenamed("n", "m")
-    rows = x.join(y, [key, "w"], "left").groupBy(key).agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("common"), F.sum("n").alias("total"))
-    return rows.withColumn("recall", F.round(F.col("common") / F.col("total"), 6))
+    Both texts stand in one row, so their words are sorted together there and counted by the places where they change; nothing is shuffled.
+    """
+    signed = lambda c, side: F.transform(_words(c), lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
+    starts = lambda xs: F.array_compact(F.transform(xs, lambda x, i: F.when((i == 0) | (F.get(xs, i - 1) != x), i)))
+
+    def runs(v: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(v["start"], k + 1), F.size(v["xs"]))
+        return F.transform(v["start"], lambda s, k: F.struct(F.get(v["xs"], s)["w"].alias("w"), F.get(v["xs"], s)["side"].alias("side"), (end(k) - s).cast("long").alias("n")))
+
+    def told(v: Column) -> Column:
+        before = lambda k: F.get(v["runs"], k - 1)
+        m = lambda r, k: F.when((k > 0) & (before(k)["w"] == r["w"]), before(k)["n"]).otherwise(F.lit(0).cast("long"))
+        return F.array_compact(F.transform(v["runs"], lambda r, k: F.when(r["side"] == 1, F.struct(r["w"].alias("w"), r["n"].alias("n"), m(r, k).alias("m")))))
+
+    both = F.array_sort(F.concat(signed(b, 0), signed(a, 1)))
+    return let({"xs": both}, lambda v: let({"xs": v["xs"], "start": starts(v["xs"])}, lambda v: let({"runs": runs(v)}, told)))
+
+
+def multiset_difference(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Words that a row's text ``a`` has more often than its text ``b``: (key, w, lost)."""
+    words = compared_words(F.col(a), F.col(b))
+    lost = F.filter(F.transform(words, lambda x: F.struct(x["w"].alias("w"), (x["n"] - x["m"]).alias("lost"))), lambda x: x["lost"] > 0)
+    return rows.select(key, F.explode(lost).alias("x")).select(key, "x.w", "x.lost")
+
+
+def multiset_recall(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Share of the words of ``a``, as a multiset, that ``b`` has: (key, common, total, recall) of rows whose ``a`` has words."""
+    zero = F.struct(F.lit(0).cast("long").alias("common"), F.lit(0).cast("long").alias("total"))
+    add = lambda s, x: F.struct((s["common"] + F.least(x["n"], x["m"])).alias("common"), (s["total"] + x["n"]).alias("total"))
+    sums = F.aggregate(compared_words(F.col(a), F.col(b)), zero, add)
+    # an array of one struct is computed once, however many of its fields are read
+    out = rows.select(key, F.explode(F.array(sums)).alias("x")).select(key, "x.common", "x.total").where("total > 0")
+    return out.withColumn("recall", F.round(F.col("common") / F.col("total"), 6))
 
 
 def widespread(words: DataFrame, pages: DataFrame, share: float = 0.5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +23,33 @@ def section_tail(rows: DataFrame, part: str, order: str, size: int, chars: int)
     return texts.withColumn("tail", F.coalesce(F.right(before, F.lit(chars)), F.lit("")))
 
 
-def packed(rows: DataFrame, part: str, order: str, limit: int) -> DataFrame:
-    """Greedy packing in order: a section ends when the next text would pass ``limit``; (part, order, section)."""
-    lists = rows.groupBy(part).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.length("text").alias("n")))).alias("t"))
-    start = F.struct(F.lit(0).alias("section"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("sections"))
+def _sections(limit: int):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for lengths in batch.column(2).to_pylist():
+                section, used, own = 0, 0, []
+                for n in lengths:
+                    if used > 0 and used + n > limit:
+                        section, used = section + 1, 0
+                    used += n
+                    own.append(section)
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "s"])
 
-    def add(acc: Column, x: Column) -> Column:
-        full = (acc["used"] > 0) & (acc["used"] + x["n"] > limit)
-        section = acc["section"] + F.when(full, 1).otherwise(0)
-        return F.struct(section.alias("section"), F.when(full, x["n"]).otherwise(acc["used"] + x["n"]).alias("used"), F.array_append(acc["sections"], section).alias("sections"))
+    return run
 
-    done = lists.select(part, "t", F.aggregate("t", start, add, lambda a: a["sections"]).alias("s"))
-    return done.select(part, F.explode(F.arrays_zip("t", "s")).alias("x")).select(part, F.col("x.t.o").alias(order), F.col("x.t.n").alias("n"), F.col("x.s").alias("section"))
+
+def packed(rows: DataFrame, part: str, order: str, limit: int) -> DataFrame:
+    """Greedy packing in order: a section ends when the next text would pass ``limit``; (part, order, section).
+
+    The lengths of a part's texts, not the texts, are put in order and read once in an Arrow batch.
+    """
+    lists = rows.groupBy(part).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.length("text").alias("n")))).alias("t"))
+    lists = lists.select(part, F.transform("t", lambda x: x["o"]).alias("o"), F.transform("t", lambda x: x["n"]).alias("n"))
+    kind = lambda c: lists.schema[c].dataType.simpleString()
+    done = lists.mapInArrow(_sections(limit), f"{part} {kind(part)}, o {kind('o')}, n {kind('n')}, s array<int>")
+    return done.select(part, F.explode(F.arrays_zip("o", "n", "s")).alias("x")).select(part, F.col("x.o").alias(order), F.col("x.n").alias("n"), F.col("x.s").alias("section"))
 
 
 def islands(rows: DataFrame, part: list[str], order: list[str], breaks: Column) -> DataFrame:

@@ -62,7 +62,7 @@ def eligible_rows(spark, d):
     union all select c_custkey, substring(c_name, 10) from customer where regexp_matches(substring(c_name, 10), '[0-9]')""")
 def code_lines(spark, d):
     urls = table(spark, d, "pages").select("page_id", F.col("url").alias("w")).where(X.code_line(F.regexp_replace("url", "[./?&=#:]+", " ")))
-    names = table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.substring("c_name", 10, 1000).alias("w"))
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.substr("c_name", F.lit(10)).alias("w"))
     return urls.union(names.where(X.code_line(F.regexp_replace("w", "[^0-9A-Z]+", " "))))
 
 
