@@ -190,7 +190,7 @@ def test_layout_families_never_trained_on():
     assert wrong < 0.2 * total
 
 
-@pytest.mark.parametrize("unit", ["<b x ", "<div>x", '<a "x ', '<a ">" ', "<i><div><b>x", "<ul><b>x<li>y", "<table><td>x<tr>", "</script <script>", "x</p></i>", "<! ", "&am "])
+@pytest.mark.parametrize("unit", ["<b x ", "<div>x", '<a "x ', '<a ">" ', "<i><div><b>x", "<ul><b>x<li>y", "<table><td>x<tr>", "</script <script>", "x</p></i>", "<! ", "&am ", "<a", "<b'", "<a<b\"", "<svg>", "<canvas", "<math><p>x"])
 def test_time_is_linear_in_the_page(unit):
     field = extract.trained()
     took = []
@@ -201,6 +201,14 @@ def test_time_is_linear_in_the_page(unit):
     assert took[1] < 24 * took[0] + 0.5 and took[1] < 6
 
 
+@pytest.mark.parametrize("tag", ["canvas", "svg", "object", "select", "math", "noscript"])
+def test_open_raw_elements_keep_what_follows(tag):
+    blocks = extract.leaf_blocks(f"<html><body><div><{tag} id=x><p>Behind it.</p></div><p>And on.</p>")
+    assert [b.text for b in blocks] == ["Behind it.", "And on."]
+    assert [b.text for b in extract.leaf_blocks(f"<div><{tag}>gone</{tag}><p>Kept.</p></div>")] == ["Kept."]
+    assert [b.text for b in extract.leaf_blocks("<p>a</p><script>x</scripts>y</script><p>b</p><style>z")] == ["a", "b"]
+
+
 def test_viterbi_is_the_best_labelling():
     import itertools
 

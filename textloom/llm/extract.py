@@ -34,7 +34,9 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template textarea title svg math iframe select object canvas".split())
-_RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW_TAGS}
+_RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])", re.I) for tag in RAW_TAGS}
+#: Of these, the ones that hold text only and last to the page's end without an end tag; the others are then left open like any element.
+TEXT_TAGS = frozenset("script style textarea title iframe".split())
 #: A start tag of the key ends an open element of the values (of the same list or row).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = BLOCK_TAGS - {"body", "html", "head", "option", "optgroup"}
@@ -142,14 +144,21 @@ class _Stack:
                 return
 
 
-@lru_cache(maxsize=20_000)
 def _described(tag: str, attributes: str) -> tuple[str, ...]:
+    """Features of a tag; those of short attributes are remembered."""
+    return _remembered(tag, attributes) if len(attributes) <= 512 else _features_of(tag, attributes)
+
+
+def _features_of(tag: str, attributes: str) -> tuple[str, ...]:
     if not attributes.strip():
         return (f"a:{tag}",)
     words = [w.lower() for m in _NAMES.finditer(attributes) for w in _WORDS.findall(m[1] or m[2] or m[3] or "")]
     return (f"a:{tag}", *[f"c:{w}" for w in words])
 
 
+_remembered = lru_cache(maxsize=20_000)(_features_of)
+
+
 class _Reader:
     """Finds the tags of a page in one pass: no search runs twice over the same text."""
 
@@ -157,6 +166,7 @@ class _Reader:
         self.page = page
         self.last = {c: page.rfind(c) for c in ">\"'"}
         self.quoted = True
+        self.unclosed: set[str] = set()
 
     def tag_end(self, at: int) -> int:
         """Place of the ``>`` that ends a tag whose name ends at ``at``; -1 if there is none.
@@ -178,6 +188,14 @@ class _Reader:
             k = self.page.find(c, m.end()) + 1 if self.last[c] > m.start() else m.end()
         return self.page.find(">", at)
 
+    def raw_end(self, tag: str, at: int) -> int:
+        """Place behind the end tag of a raw element; -1 if there is none, which is then not looked for again."""
+        close = None if tag in self.unclosed else _RAW_END[tag].search(self.page, at)
+        if close is None:
+            self.unclosed.add(tag)
+            return -1
+        return self.past(">", close.end())
+
     def past(self, what: str, at: int) -> int:
         k = self.page.find(what, at)
         return len(self.page) if k < 0 else k + len(what)
@@ -223,7 +241,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if page[lt + 1 : lt + 2] in ("!", "?") and reader.last[">"] > lt:
             at = reader.past(">", lt)
             continue
-        m = _TAG.match(page, lt + 1)
+        m = _TAG.match(page, lt + 1) if reader.last[">"] > lt else None
         end = reader.tag_end(m.end()) if m else -1
         if end < 0:
             keep("<")
@@ -237,8 +255,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
             stack.ended(tag)
         elif tag in RAW_TAGS:
             if not attributes.endswith("/"):
-                close = _RAW_END[tag].search(page, at)
-                at = reader.past(">", close.end()) if close else n
+                end = reader.raw_end(tag, at)
+                at = end if end >= 0 else n if tag in TEXT_TAGS else at
         elif tag == "br":
             parts.append(" ")
         else:
