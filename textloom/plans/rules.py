@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import answers as A
 from textloom.functions import conventions as V
+from textloom.functions import morphology as M
 from textloom.functions import terms as T
 from textloom.functions import text as X
 from textloom.operators import align, audit, dictionary, order, quality
@@ -158,20 +159,43 @@ def nested_quotes(spark, d):
 
 
 RULES = V.Rules(("UTS",), {"SZBV": "СУЗ"}, ("FIGYELEM", "ВНИМАНИЕ!"), (("próba", "испытани[ея]", "опробование", "gyári próba"),))
-_HEAD = "case doc % 6 when 0 then 'FIGYELEM! UTS and UTS ' when 1 then 'próba SZBV ' when 2 then 'gyári próba a/b_{0}.txt ' when 3 then 'UTS conf/uts.cfg ' else '' end"
-_TAIL = "case doc % 6 when 0 then 'ВНИМАНИЕ: UTS ' when 1 then 'испытание SZBV ' when 2 then 'испытания a/b.txt ' when 3 then 'UTS conf/uts.cfg ' else '' end"
+_HEADS = ("FIGYELEM! UTS and UTS ", "próba SZBV ", "gyári próba a/b_#.txt és c.cfg: ", "UTS conf/uts.cfg ", " figyelem uts.cfg UTS_1 Uts ", "")
+_TAILS = ("ВНИМАНИЕ: UTS ", "испытание SZBV ", "испытания a/b_#.txt ", " ВНИМАНИЕ! uts UTS ", "СУЗ испытания SZBV c.cfg ", "conf/uts.cfg ", "")
+
+
+def _piece_sql(pieces, k):
+    return "replace([" + ", ".join(f"'{x}'" for x in pieces) + f"][({k}) % {len(pieces)} + 1], '#', '' || seg)"
+
+
+def _piece(pieces, k):
+    return F.replace(F.get(F.array(*map(F.lit, pieces)), (k % len(pieces)).cast("int")), F.lit("#"), F.col("seg").cast("string"))
+
+
 _PATH = "[\\p{L}\\p{N}_.\\-]*[/\\\\_][\\p{L}\\p{N}_./\\\\\\-]*"
+_FILE = "([\\p{L}\\p{N}_\\-]+\\.[a-z]{2,4})($|[^\\p{L}\\p{N}_])"
+
+
+def _named(c: str) -> str:
+    bare = f"regexp_replace(regexp_replace({c}, '{_PATH}', ' ', 'g'), '{_FILE}', ' \\2', 'g')"
+    return f"len(list_filter(regexp_extract_all({bare}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: lower(w) = 'uts'))"
+
 
+_ALONE = "list_contains(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+'), 'SZBV')"
 
-@query(f"""with p as (select doc, seg, {_HEAD.replace("_{0}", "_' || seg || '")} || translate(text, '/\\_.', '    ') as src, {_TAIL} || translate(text, '/\\_.', '    ') as tgt from {SEG}),
-    r as (select doc, seg, case doc % 6 when 0 then ['name: UTS', 'warning: ВНИМАНИЕ!'] when 1 then ['abbreviation: SZBV → СУЗ', 'term: испытание → опробование'] when 2 then ['code: a/b_' || seg || '.txt'] else [] end as rules from p)
+
+@query(f"""with p as (select doc, seg, {_piece_sql(_HEADS, "doc + seg * 2")} || text as src, {_piece_sql(_TAILS, "seg * 3 + length(text)")} || case when (doc + seg) % 2 = 0 then text else {STUB} end as out from {SEG}),
+    c as (select *, list_distinct(list_concat(regexp_extract_all(src, '{_PATH}'), regexp_extract_all(regexp_replace(src, '{_PATH}', ' ', 'g'), '{_FILE}', 1))) as codes from p),
+    r as (select doc, seg, list_concat(list_filter([case when {_named("src")} > 0 and {_named("out")} < {_named("src")} then 'name: UTS' end,
+      case when {_ALONE.format("src")} and {_ALONE.format("out")} and not contains(out, 'СУЗ') then 'abbreviation: SZBV → СУЗ' end, case when regexp_matches(src, '(?i)^\\s*FIGYELEM') and not starts_with(ltrim(out), 'ВНИМАНИЕ!') then 'warning: ВНИМАНИЕ!' end,
+      case when regexp_matches(out, 'испытани[ея]') and contains(src, 'próba') and not contains(src, 'gyári próba') then 'term: ' || regexp_extract(out, 'испытани[ея]') || ' → опробование' end], lambda x: x is not null),
+      list_transform(list_filter(codes, lambda x: not contains(out, x)), lambda x: 'code: ' || x)) as rules from c)
     select doc, cast(seg as integer) as seg, unnest(rules) as rule from r""")
 def convention_breaks(spark, d):
-    """Pairs with planted breaches of every rule: names, abbreviations, warnings, codes, terms with an exception."""
-    k, t = F.col("doc") % 6, F.translate("text", "/\\_.", "    ")
-    head = F.when(k == 0, "FIGYELEM! UTS and UTS ").when(k == 1, "próba SZBV ").when(k == 2, F.concat(F.lit("gyári próba a/b_"), F.col("seg").cast("string"), F.lit(".txt "))).when(k == 3, "UTS conf/uts.cfg ").otherwise("")
-    tail = F.when(k == 0, "ВНИМАНИЕ: UTS ").when(k == 1, "испытание SZBV ").when(k == 2, "испытания a/b.txt ").when(k == 3, "UTS conf/uts.cfg ").otherwise("")
-    return seg(spark, d).select("doc", "seg", F.explode(V.broken(F.concat(head, t), F.concat(tail, t), RULES)).alias("rule"))
+    """Pairs of whole segments with pieces that keep or break names, abbreviations, warnings, codes and terms with an exception."""
+    q, t = F.col("seg"), F.col("text")
+    src = F.concat(_piece(_HEADS, F.col("doc") + q * 2), t)
+    out = F.concat(_piece(_TAILS, q * 3 + F.length(t)), F.when((F.col("doc") + q) % 2 == 0, t).otherwise(X.stand_in(t)))
+    return seg(spark, d).select("doc", "seg", F.explode(V.broken(src, out, RULES)).alias("rule"))
 
 
 _BARE = "list_transform(list_filter(string_split_regex(trim({0}), '\\s+'), lambda w: w <> ''), lambda w: lower(regexp_replace(w, '^[:;,()«»]+|[:;,()«»]+$', '', 'g')))"
@@ -249,48 +273,114 @@ def first_tick_of_day(spark, d):
     return table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.min(F.struct("ts", "event_id")).alias("first")).select(F.col("first.event_id").alias("event_id"), "day")
 
 
-# -- pair checks of the two main directions, on planted pairs with one defect each (source, target; # is a number of the segment)
-
-HU_RU = [
-    ("A szelepet ki kell nyitni # bar", "Закрыть клапан # бар"),
-    ("A nyomás értéke # bar", ""),
-    ("A nyomás értéke # bar", "Значение давления 4711 бар"),
-    ("A nyomás értéke # bar", "A nyomás értéke # bar"),
-    ("A nyomás értéke # bar", "Значение давления # бар"),
-    ("A <f1>nyomás</f1> értéke #", "Значение давления #"),
-    ("A szivattyú nem indul el # perc után", "Насос запускается через # минут"),
-    ("A nyomás értéke # bar", "Знaчение давления # бар"),
-]
-RU_EN = [
-    ("Давление в контуре # бар", "Pressure in the loop # bar"),
-    ("Давление в контуре # бар", "Pressure in контуре # bar"),
-    ("Давление в контуре # бар", "Pressure in the loop 4711 bar"),
-    ("Давление в контуре Siemens # бар", "Pressure in the loop # bar"),
-    ("Давление в контуре # бар", "Давление в контуре # бар"),
-    ("Давление в контуре # бар", "Pressure 漢 # bar"),
-    ("Давление в контуре # бар", ""),
-    ("Давление в первом контуре установки # бар", "P # bar"),
-]
-
-
-def _planted(spark, d, cases, direction, src_lang, out_lang):
+# -- pair checks of the two main directions: pieces of sentences before every segment, the source's and the target's chosen apart
+
+HU = [
+    "A szelepet ki kell nyitni #,5 bar", "Zárja el a csapot és nyissa ki # perc után", "A nyomás értéke # bar 30TL02S001", "A zárójel és a zárókör nyitott primer köre", "A <f1>nyomás</f1> értéke #", "A szivattyú nem indul el, működésképtelenség",
+    "Állítsa le a gépet, hirtelen hibátlanul", "Be kell kapcsolni a fűtést #\tm3/h", "Kikapcsolt állapotban felterhelés tilos", "Leterhelni #mbar alatt haladéktalanul",
+]
+RU = [
+    "Закрыть клапан #,5 бар", "Открыть кран и закрыть через # минут", "", "Значение давления 4711 бар 30TL02S001", "Открытый контур", "Значение <f1>давления</f1> #", "Насос запускается, необходимо", "Остановить насос без ошибок, немедленно", "Знaчение # 漢 м³/ч",
+    "Выключатель включить, отключено", "Разгрузить до # мбар, не нагружать",
+]
+RU_SOURCE = ["Давление в контуре # бар", "Давление 12 345 Па и 1 234 567", "Датчик Siemens и Abb_x, # V", "Насос <f1>ONS</f1> не работает", "Уставка 3,5 и 3.7"]
+EN_TARGET = ["Pressure in the loop # bar", "Pressure 12,345 Pa and 1,234,567", "Sensor Siemens in контуре # V", "", "Pump <f1>ONS</f1>\toff 漢", "Setting 3.5 and 3.7 of датчик Siemens 4711"]
+
+
+def _chosen(spark, d, sources, targets):
+    """(doc, seg, src, out): a source piece and a target piece by different numbers, each before the segment or what stands for it."""
+    from textloom.plans.writing import cyrillic
+
+    q, n, t = F.col("seg"), F.length("text"), F.col("text")
+    number = (q % 90 + 100).cast("string")
+    pick = lambda xs, k: F.replace(F.get(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int")), F.lit("#"), number)
+    target = pick(targets, q * 5 + n)
+    body = F.get(F.array(cyrillic(t), X.stand_in(t), t), ((F.col("doc") + q) % 3).cast("int"))
+    rows = seg(spark, d).select("doc", "seg", F.concat(pick(sources, F.col("doc") + q * 3), F.lit(" "), t).alias("src"), F.when(target == "", "").otherwise(F.concat(target, F.lit(" "), body)).alias("out"))
+    return rows
+
+
+def _checked(spark, d, sources, targets, direction, src_lang, out_lang):
     from textloom.functions import checks as C
 
-    case = F.col("doc") % len(cases)
-    number = (F.col("seg") % 90 + 100).cast("string")
-    pick = lambda k: F.replace(F.element_at(F.array(*[F.lit(c[k]) for c in cases]), (case + 1).cast("int")), F.lit("#"), number)
-    rows = seg(spark, d).select("doc", "seg", pick(0).alias("src"), pick(1).alias("out"))
+    rows = _chosen(spark, d, sources, targets)
     return rows.select("doc", "seg", F.explode(C.issues(F.col("src"), F.col("out"), direction, src_lang, out_lang)).alias("issue"))
 
 
-_NO_NUMBER = "['missing_codes: ' || (seg % 90 + 100), 'extra_numbers: 4711']"
+def _chosen_sql(sources, targets):
+    from textloom.plans.writing import _CYRILLIC, _LATIN
+
+    told = lambda xs: "[" + ", ".join("'" + x.replace("\t", "' || chr(9) || '") + "'" for x in xs) + "]"
+    pick = lambda xs, k: f"replace({told(xs)}[({k}) % {len(xs)} + 1], '#', '' || (seg % 90 + 100))"
+    return f"""(select doc, seg, {pick(sources, "doc + seg * 3")} || ' ' || text as src, case when {pick(targets, "seg * 5 + length(text)")} = '' then '' else {pick(targets, "seg * 5 + length(text)")} || ' ' || case (doc + seg) % 3 when 0 then translate(text, '{_LATIN}', '{_CYRILLIC}') when 1 then {STUB} else text end end as out from {SEG})"""
+
+
+_PLAIN = "trim(regexp_replace(regexp_replace({0}, '</?f[0-9]+>', '', 'g'), '[\\t\\n\\x0B\\f\\r\\x{{A0}} ]+', ' ', 'g'))"
+_OF_NUMBERS = "list_distinct(list_transform(regexp_extract_all({0}, '[0-9]+(?:[.,][0-9]+)?'), lambda x: replace(x, ',', '.')))"
+_UNGROUPED = "regexp_replace(regexp_replace(regexp_replace({0}, '([0-9])[{1}]([0-9]{{3}})($|[^0-9])', '\\1\\2\\3', 'g'), '([0-9])[{1}]([0-9]{{3}})($|[^0-9])', '\\1\\2\\3', 'g'), '([0-9])[{1}]([0-9]{{3}})($|[^0-9])', '\\1\\2\\3', 'g')"
+#: Rules that both directions share, over (src, out, s, o: without marks, a, b: numbers, gone, left, lost).
+_SHARED = """case when list_sort(regexp_extract_all(src, '</?f[0-9]+>')) <> list_sort(regexp_extract_all(out, '</?f[0-9]+>')) then 'marks' end,
+    case when length(src) - length(replace(src, chr(9), '')) <> length(out) - length(replace(out, chr(9), '')) then 'breaks' end,
+    case when len(gone) > 0 then 'missing_codes: ' || array_to_string(list_sort(gone)[1:6], ', ') end,
+    case when len(more) > 0 then 'extra_numbers: ' || array_to_string(list_sort(more)[1:4], ', ') end,
+    case when len(lost) > 0 then 'latin_lost: ' || array_to_string(list_sort(lost)[1:6], ', ') end,
+    case when len(left_) > 0 and not same then 'source_left: ' || array_to_string(list_sort(left_)[1:6], ', ') end,
+    case when regexp_matches(o, '[\\x{3000}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{0E00}-\\x{0E7F}]') then 'foreign_script' end"""
+_HU = "a-záéíóöőúüű"
+#: Each action: is it in the source, is its opposite, is it in the target, is its opposite.
+_ACTED = f"""[{{'n': 'open/close', 'y': regexp_matches(regexp_replace(h, 'nyitott\\s+primer', '#', 'g'), '(^|[^{_HU}])(ki|meg|vissza|be)?nyit'), 'z': regexp_matches(regexp_replace(regexp_replace(h, 'zár(lat|ójel|óvíz|ó\\s+víz)', '#', 'g'), 'zár[{_HU}]*kör', '#', 'g'), '(^|[^{_HU}])(le|be|vissza|el)?zár'), 'c': regexp_matches(r, 'открыт|открыв|откро|открой|открыл'), 'd': regexp_matches(r, 'закрыт|закрыв|закро|закрой|закрыл')}},
+    {{'n': 'on/off', 'y': regexp_matches(h, '(^|[^-{_HU}])bekapcsol|(^|[^-\\p{{L}}\\p{{N}}_])be\\s+kell\\s+kapcsolni'), 'z': regexp_matches(h, '(^|[^{_HU}])kikapcsol|(^|[^-\\p{{L}}\\p{{N}}_])ki\\s+kell\\s+kapcsolni'), 'c': regexp_matches(r, '(^|[^а-я])включ'), 'd': regexp_matches(replace(r, 'выключател', '#'), 'отключ|выключ|обесточ')}},
+    {{'n': 'start/stop', 'y': regexp_matches(h, '(^|[^{_HU}])(el|újra|vissza)?indít') or regexp_matches(regexp_replace(h, 'indultak\\s+ki', '#', 'g'), '(^|[^{_HU}])indul'), 'z': regexp_matches(replace(h, 'leállás', '#'), 'leállít|leáll'), 'c': regexp_matches(r, 'пуск|запуст|пущен|пусти|пустят'), 'd': regexp_matches(r, 'останов|остана')}},
+    {{'n': 'load/unload', 'y': regexp_matches(h, 'felterhel'), 'z': regexp_matches(h, 'leterhel|(^|[^{_HU}])le\\s+és\\s+felterhel'), 'c': regexp_matches(regexp_replace(r, 'разнагру[зж]', '#', 'g'), 'нагру[зж]|набор мощност|набрать мощност|набора мощност'), 'd': regexp_matches(r, 'разгру[зж]|снижени[ея] нагрузк|снизить нагрузк')}}]"""
+
+
+def _negation_sql() -> str:
+    negated = M._NEGATED.replace("(?:", "(")
+    words = f"len(list_filter(regexp_extract_all(lower(s), '\\p{{Latin}}{{6,}}'), lambda w: not regexp_matches(w, '^({'|'.join(M.NOT_NEGATIVE)})') and (regexp_matches(w, '{negated}') or regexp_matches(w, '^(inhermetikus|instabil)'))))"
+    told = ", ".join(f"'{w}'" for w in M.NEGATING_WORDS)
+    tokens = f"len(list_filter(regexp_extract_all(lower(s), '\\p{{Latin}}+'), lambda w: w in ({told})))"
+    begin = "|".join(x.replace("(?=", "").replace("])", "]") for x in M.RU_NEGATIVE)
+    target = f"len(regexp_extract_all(regexp_replace(lower(o), '(^|[^а-яё])({'|'.join(M.RU_NOT_NEGATIVE)})', '\\1 ', 'g'), '(^|[^а-яё])({begin})'))"
+    return f"case when {words} + {tokens} > 0 and {target} < {words} + {tokens} then 'negation_lost' end"
+
+
+def _codes_sql() -> tuple[str, ...]:
+    """Codes of the source, stripped, and those whether one is in the target; a number with a unit counts by its number."""
+    hu, units = "[a-záéíóöőúüű]", [u for u, _ in X.UNITS]
+    bare = "regexp_replace(x, '^[.,;:()\\-]+|[.,;:()\\-]+$', '', 'g')"
+    for form, by in ((f"-{hu}+$", ""), (f"([0-9])\\.{hu}{{2,}}$", "\\1"), (f"([0-9%]){hu}+$", "\\1"), (f"^{hu}+\\.", ""), (f"([0-9])({'|'.join(u for u in units if '/' not in u)})$", "\\1")):
+        bare = f"regexp_replace({bare}, '{form}', '{by}')"
+    found = f"list_distinct(list_filter(list_transform(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}%_.,:/\\-]*'), lambda x: {bare}), lambda x: regexp_matches(x, '[0-9]')))"
+    tidy = "regexp_replace(replace({0}, ' ', ''), '[‑–—]', '-', 'g')"
+    low = "|".join(sorted({u.lower() for u in units}, key=lambda u: (-len(u), u)))
+    number = f"regexp_extract(lower(x), '^([0-9][0-9.,]*)({low})$', 1)"
+    return found, tidy, number, f"contains(tidy, {tidy.format('x')}) or {number} <> '' and contains(tidy, {tidy.format(number)})"
+
+
+@query(f"""with p as (select *, regexp_replace(src, '</?f[0-9]+>', ' ', 'g') as s, regexp_replace(out, '</?f[0-9]+>', ' ', 'g') as o from {_chosen_sql(HU, RU)}),
+    n as (select *, {_OF_NUMBERS.format("s")} as a, {_OF_NUMBERS.format("o")} as b, {_codes_sql()[0]} as codes, {_codes_sql()[1].format("out")} as tidy, lower(s) as h, lower(o) as r,
+      list_distinct(list_filter(regexp_extract_all(o, '\\p{{L}}+'), lambda w: regexp_matches(w, '[áéíóöőúüűÁÉÍÓÖŐÚÜŰ]') and contains(s, w))) as left_, cast([] as varchar[]) as lost from p),
+    m as (select *, list_filter(codes, lambda x: not ({_codes_sql()[3]})) as gone, list_filter(b, lambda x: not list_contains(a, x) and length(regexp_replace(x, '[^0-9]', '', 'g')) >= 2) as more,
+      length(trim(s)) >= 15 and {_PLAIN.format("src")} = {_PLAIN.format("out")} or regexp_matches(s, '\\p{{Latin}}{{3,}}') and not regexp_matches(o, '\\p{{Cyrillic}}') or len(left_) > 0 and 2 * len(left_) > len(regexp_extract_all(o, '\\p{{L}}+')) as same,
+      list_filter(list_distinct(list_filter(regexp_extract_all(o, '\\p{{L}}+'), lambda w: regexp_matches(w, '\\p{{Cyrillic}}') and regexp_matches(w, '\\p{{Latin}}'))), lambda w: not list_contains(regexp_extract_all(s, '\\p{{L}}+'), w)) as mixed,
+      length(regexp_replace(src, '</?f[0-9]+>', '', 'g')) as n, length(regexp_replace(out, '</?f[0-9]+>', '', 'g')) as k, {_ACTED} as acted from n),
+    i as (select doc, seg, case when trim(out) = '' then ['empty'] else list_concat(list_filter([{_SHARED}, case when len(mixed) > 0 then 'mixed_alphabet: ' || array_to_string(list_sort(mixed)[1:4], ', ') end, case when same then 'untranslated' end, case when n >= 25 and not (k / n between 0.5 and 2.6) then 'length' end, {_negation_sql()}], lambda x: x is not null),
+      list_transform(list_filter(acted, lambda x: x.y and not x.z and x.d and not x.c or x.z and not x.y and x.c and not x.d), lambda x: 'action_flip ' || x.n)) end as issues from m)
+    select doc, cast(seg as integer) as seg, unnest(issues) as issue from i""")
+def issue_rows_hu_ru(spark, d):
+    return _checked(spark, d, HU, RU, "hu-ru", "hu", "ru")
 
 
-@query(f"""select doc, cast(seg as integer) as seg, unnest(case doc % 8 when 0 then ['action_flip open/close'] when 1 then ['empty'] when 2 then {_NO_NUMBER} when 3 then ['untranslated'] when 5 then ['marks'] when 6 then ['negation_lost'] when 7 then ['mixed_alphabet: Знaчение'] else [] end) as issue from {SEG}""")
-def issue_rows_hu_ru(spark, d):
-    return _planted(spark, d, HU_RU, "hu-ru", "hu", "ru")
+_NAMES = "list_filter(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda w: regexp_full_match(w, '[A-Z][A-Za-z]+'))"
 
 
-@query(f"""select doc, cast(seg as integer) as seg, unnest(case doc % 8 when 1 then ['source_left: контуре'] when 2 then {_NO_NUMBER} when 3 then ['latin_lost: Siemens'] when 4 then ['untranslated'] when 5 then ['foreign_script'] when 6 then ['empty'] when 7 then ['length'] else [] end) as issue from {SEG}""")
+@query(f"""with p as (select *, regexp_replace(src, '</?f[0-9]+>', ' ', 'g') as s, regexp_replace(out, '</?f[0-9]+>', ' ', 'g') as o from {_chosen_sql(RU_SOURCE, EN_TARGET)}),
+    n as (select *, {_OF_NUMBERS.format(_UNGROUPED.format("s", X.THOUSANDS["ru"]))} as a, {_OF_NUMBERS.format(_UNGROUPED.format("o", X.THOUSANDS["en"]))} as b,
+      list_distinct(regexp_extract_all(o, '\\p{{Cyrillic}}{{2,}}')) as left_, list_distinct(list_filter({_NAMES.format("s")}, lambda w: not list_contains({_NAMES.format("o")}, w))) as lost from p),
+    m as (select *, list_filter(a, lambda x: not list_contains(b, x)) as gone, list_filter(b, lambda x: not list_contains(a, x) and length(regexp_replace(x, '[^0-9]', '', 'g')) >= 2) as more,
+      length(trim(s)) >= 15 and {_PLAIN.format("src")} = {_PLAIN.format("out")} or len(left_) > 0 and 2 * len(left_) > len(regexp_extract_all(o, '\\p{{L}}+')) as same,
+      length(regexp_replace(src, '</?f[0-9]+>', '', 'g')) as n, length(regexp_replace(out, '</?f[0-9]+>', '', 'g')) as k from n),
+    i as (select doc, seg, case when trim(out) = '' then ['empty'] else list_filter([{_SHARED}, case when same then 'untranslated' end, case when n >= 25 and not (k / n between 0.45 and 2.0) then 'length' end], lambda x: x is not null) end as issues from m)
+    select doc, cast(seg as integer) as seg, unnest(issues) as issue from i""")
 def issue_rows_ru_en(spark, d):
-    return _planted(spark, d, RU_EN, "ru-en", "ru", "en")
+    return _checked(spark, d, RU_SOURCE, EN_TARGET, "ru-en", "ru", "en")
