@@ -52,3 +52,17 @@ def covered_share(boxes: DataFrame, covers: DataFrame, share: float = 0.5, band:
     size = (F.col("a.x1") - F.col("a.x0")) * (F.col("a.y1") - F.col("a.y0"))
     rows = a.join(b, met).groupBy(F.col("a.page").alias("page"), F.col("a.id").alias("id"), size.alias("size")).agg(F.collect_set(clipped).alias("r"))
     return rows.withColumn("covered", F.round(union_area(F.col("r")) / F.col("size"), 6)).where(F.col("covered") >= share).select("page", "id", "covered")
+
+
+def page_kinds(items: DataFrame) -> DataFrame:
+    """(page, scan): a scan is a page of which images take half or more; ``items`` as in hidden_text."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    images = F.sum(F.when(F.col("kind") == "image", area).otherwise(0.0))
+    return items.groupBy("page").agg((images >= 0.5 * F.max("page_area")).alias("scan"))
+
+
+def suits_segments(pages: DataFrame) -> DataFrame:
+    """(doc, pages, ocr, scans, suits): half of a document's pages or more are recognised, and under half of those are scans; pages(doc, page, scan, ocr)."""
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    out = pages.groupBy("doc").agg(F.count("*").alias("pages"), count(F.col("ocr")).alias("ocr"), count(F.col("ocr") & F.col("scan")).alias("scans"))
+    return out.withColumn("suits", (F.col("ocr") > 0) & (2 * F.col("ocr") >= F.col("pages")) & (2 * F.col("scans") < F.col("ocr")))

@@ -65,7 +65,8 @@ def aligned(lengths: list[int], widths: list[float]) -> list[tuple[int, int]]:
     band = 13 + n // 5
     low = [max(0, int(i * m / n) - band - 1) for i in range(n + 1)]
     size = 2 * band + 8
-    rows, came = [], []
+    rows: dict[int, np.ndarray] = {}  # the last four
+    came = []
     for i in range(n + 1):
         j = np.arange(low[i], min(m, low[i] + size) + 1)
         tried = np.full((len(STEPS), len(j)), np.inf)
@@ -77,9 +78,10 @@ def aligned(lengths: list[int], widths: list[float]) -> list[tuple[int, int]]:
             fits[fits] = np.abs(j[fits] - b - (i - a) * m / n) <= band
             off = np.abs((ink[j[fits]] - ink[j[fits] - b]) / unit - (words[i] - words[i - a]))
             tried[s, fits] = rows[i - a][at[fits]] + off + 0.5 * (a + b - 2)
-        came.append(tried.argmin(axis=0))
-        rows.append(tried.min(axis=0))
-        if i == 0 and low[0] == 0:
+        came.append(tried.argmin(axis=0).astype(np.int8))
+        rows[i] = tried.min(axis=0)
+        rows.pop(i - 4, None)
+        if i == 0:
             rows[0][0] = 0.0
     if not np.isfinite(rows[n][m - low[n]]):
         return []

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import blocks, documents, layout, outline, relational, rules, structure, writing
+from textloom.plans import blocks, documents, layout, outline, reading, relational, rules, structure, writing
 
-PLANS = (documents, relational, layout, structure, rules, blocks, writing, outline)
+PLANS = (documents, relational, layout, structure, rules, blocks, writing, outline, reading)
 
 
 def queries():

@@ -281,10 +281,10 @@ HU = [
 ]
 RU = [
     "Закрыть клапан #,5 бар", "Открыть кран и закрыть через # минут", "", "Значение давления 4711 бар 30TL02S001", "Открытый контур", "Значение <f1>давления</f1> #", "Насос запускается, необходимо", "Остановить насос без ошибок, немедленно", "Знaчение # 漢 м³/ч",
-    "Выключатель включить, отключено", "Разгрузить до # мбар, не нагружать",
+    "Выключатель включить, отключено", "Разгрузить до # мбар, не нагружать", "A nyomás értéke # bar",
 ]
 RU_SOURCE = ["Давление в контуре # бар", "Давление 12 345 Па и 1 234 567", "Датчик Siemens и Abb_x, # V", "Насос <f1>ONS</f1> не работает", "Уставка 3,5 и 3.7"]
-EN_TARGET = ["Pressure in the loop # bar", "Pressure 12,345 Pa and 1,234,567", "Sensor Siemens in контуре # V", "", "Pump <f1>ONS</f1>\toff 漢", "Setting 3.5 and 3.7 of датчик Siemens 4711"]
+EN_TARGET = ["Pressure in the loop # bar", "Pressure 12,345 Pa and 1,234,567", "Sensor Siemens in контуре # V", "", "Pump <f1>ONS</f1>\toff 漢", "Setting 3.5 and 3.7 of датчик Siemens 4711", "Давление в контуре # бар"]
 
 
 def _chosen(spark, d, sources, targets):

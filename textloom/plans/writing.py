@@ -34,8 +34,9 @@ def words_split_at_rules(spark, d):
 
 
 def ink_rows(spark, d):
-    """Words of segments and made-up pieces of ink: some words run together, some break in two."""
-    rows = seg(spark, d).select("doc", "seg", F.transform(F.filter(F.split("text", " "), lambda w: w != ""), lambda w: F.length(w)).alias("lengths")).where("size(lengths) > 0")
+    """Words of the lines of whole pages and made-up pieces of ink: some words run together, some break in two."""
+    lines = boxes(spark, d).groupBy(F.col("page").alias("doc"), F.col("line").alias("seg")).agg(F.array_sort(F.collect_list(F.struct("id", F.length("t").alias("n")))).alias("w"))
+    rows = lines.select("doc", "seg", F.transform("w", lambda w: w["n"]).alias("lengths"))
     halves = F.flatten(F.transform("lengths", lambda n, i: F.when((i % 7 == 3) & (n > 4), F.array(n * 3.0, n * 2.5)).otherwise(F.array(n * 5.5 + i % 3))))
     return rows.withColumn("widths", F.filter(halves, lambda w: F.floor(w) % 11 != 7))
 
