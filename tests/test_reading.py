@@ -61,6 +61,8 @@ def test_every_check_fires(spark):
     ):
         found = {re.split("[: ]", r.issue)[0] for r in catalogue.queries()[name](spark, DATA).select("issue").distinct().collect()}
         assert found >= set(codes.split()), (name, set(codes.split()) - found)
+    flips = {r.issue for r in rules.issue_rows_hu_ru(spark, DATA).where("issue like 'action_flip%'").select("issue").distinct().collect()}
+    assert flips == {f"action_flip {name}" for name in ("open/close", "on/off", "start/stop", "load/unload")}
     found = {r.rule.split(":")[0] for r in rules.convention_breaks(spark, DATA).select("rule").distinct().collect()}
     assert found == {"name", "abbreviation", "warning", "term", "code"}
 

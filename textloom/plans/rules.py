@@ -281,7 +281,7 @@ HU = [
 ]
 RU = [
     "Закрыть клапан #,5 бар", "Открыть кран и закрыть через # минут", "", "Значение давления 4711 бар 30TL02S001", "Открытый контур", "Значение <f1>давления</f1> #", "Насос запускается, необходимо", "Остановить насос без ошибок, немедленно", "Знaчение # 漢 м³/ч",
-    "Выключатель включить, отключено", "Разгрузить до # мбар, не нагружать", "A nyomás értéke # bar",
+    "Выключатель включить, отключено", "Разгрузить до # мбар, не нагружать", "A nyomás értéke # bar", "Отключить насос #", "Нагрузить машину #",
 ]
 RU_SOURCE = ["Давление в контуре # бар", "Давление 12 345 Па и 1 234 567", "Датчик Siemens и Abb_x, # V", "Насос <f1>ONS</f1> не работает", "Уставка 3,5 и 3.7"]
 EN_TARGET = ["Pressure in the loop # bar", "Pressure 12,345 Pa and 1,234,567", "Sensor Siemens in контуре # V", "", "Pump <f1>ONS</f1>\toff 漢", "Setting 3.5 and 3.7 of датчик Siemens 4711", "Давление в контуре # бар"]
@@ -295,7 +295,7 @@ def _chosen(spark, d, sources, targets):
     number = (q % 90 + 100).cast("string")
     pick = lambda xs, k: F.replace(F.get(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int")), F.lit("#"), number)
     target = pick(targets, q * 5 + n)
-    body = F.get(F.array(cyrillic(t), X.stand_in(t), t), ((F.col("doc") + q) % 3).cast("int"))
+    body = F.when((F.col("doc") + q * 2) % 11 == 0, "").otherwise(F.get(F.array(cyrillic(t), X.stand_in(t), t), ((F.col("doc") + q) % 3).cast("int")))
     rows = seg(spark, d).select("doc", "seg", F.concat(pick(sources, F.col("doc") + q * 3), F.lit(" "), t).alias("src"), F.when(target == "", "").otherwise(F.concat(target, F.lit(" "), body)).alias("out"))
     return rows
 
@@ -312,7 +312,7 @@ def _chosen_sql(sources, targets):
 
     told = lambda xs: "[" + ", ".join("'" + x.replace("\t", "' || chr(9) || '") + "'" for x in xs) + "]"
     pick = lambda xs, k: f"replace({told(xs)}[({k}) % {len(xs)} + 1], '#', '' || (seg % 90 + 100))"
-    return f"""(select doc, seg, {pick(sources, "doc + seg * 3")} || ' ' || text as src, case when {pick(targets, "seg * 5 + length(text)")} = '' then '' else {pick(targets, "seg * 5 + length(text)")} || ' ' || case (doc + seg) % 3 when 0 then translate(text, '{_LATIN}', '{_CYRILLIC}') when 1 then {STUB} else text end end as out from {SEG})"""
+    return f"""(select doc, seg, {pick(sources, "doc + seg * 3")} || ' ' || text as src, case when {pick(targets, "seg * 5 + length(text)")} = '' then '' else {pick(targets, "seg * 5 + length(text)")} || ' ' || case when (doc + seg * 2) % 11 = 0 then '' when (doc + seg) % 3 = 0 then translate(text, '{_LATIN}', '{_CYRILLIC}') when (doc + seg) % 3 = 1 then {STUB} else text end end as out from {SEG})"""
 
 
 _PLAIN = "trim(regexp_replace(regexp_replace({0}, '</?f[0-9]+>', '', 'g'), '[\\t\\n\\x0B\\f\\r\\x{{A0}} ]+', ' ', 'g'))"
