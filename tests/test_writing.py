@@ -84,6 +84,15 @@ def test_aligned_at_the_least_cost():
     assert W.aligned([], [1.0]) == [] == W.aligned([1], [])
 
 
+def test_loops_and_arrays_agree(monkeypatch):
+    rng = random.Random(5)
+    rows = [([rng.randrange(1, 12) for _ in range(rng.randrange(1, 60))], [rng.randrange(4, 120) / 4 for _ in range(rng.randrange(1, 60))]) for _ in range(150)]
+    monkeypatch.setattr(W, "SMALL", 10**9)
+    loops = [W.aligned(*r) for r in rows]
+    monkeypatch.setattr(W, "SMALL", 0)
+    assert [W.aligned(*r) for r in rows] == loops and sum(map(bool, loops)) > 50
+
+
 def test_long_rows_stay_within_the_band():
     rng = random.Random(3)
     lengths = [rng.randrange(1, 12) for _ in range(3000)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
+
 #: Letters that only Hungarian text has among the languages here (fixed values).
 HU_LETTERS = "áéíóöőúüűÁÉÍÓÖŐÚÜŰ"
 PART = "array<struct<key:string,text:string>>"
@@ -42,10 +44,14 @@ def _base(text: Column, parts: Column) -> Column:
     return -F.array_max(F.when(F.size(told) > 0, told).otherwise(sized))["i"]
 
 
+def _with_base(text: Column, parts: Column, body) -> Column:
+    """``body`` of a struct (text, parts, base, key), each computed once."""
+    return let({"text": text, "parts": parts}, lambda v: let({"text": v["text"], "parts": v["parts"], "base": _base(v["text"], v["parts"])}, lambda b: let({"text": b["text"], "parts": b["parts"], "base": b["base"], "key": F.get(b["parts"], b["base"])["key"]}, body)))
+
+
 def all_verbatim(text: Column, parts: Column) -> Column:
     """Every part of another key than the base is in the text word for word."""
-    key = F.get(parts, _base(text, parts))["key"]
-    return F.forall(parts, lambda p: (p["key"] == key) | (_stripped(p["text"]) == "") | F.contains(text, _stripped(p["text"])))
+    return _with_base(text, parts, lambda v: F.forall(v["parts"], lambda p: (p["key"] == v["key"]) | (_stripped(p["text"]) == "") | F.contains(v["text"], _stripped(p["text"]))))
 
 
 def restyled(text: Column, parts: Column) -> Column:
@@ -54,28 +60,31 @@ def restyled(text: Column, parts: Column) -> Column:
     What is in the text word for word, three characters or more, takes its part's key where it first occurs, unless an earlier part has that
     place; all else takes the key of the base. The pieces joined are the text.
     """
-    base = _base(text, parts)
-    key = F.get(parts, base)["key"]
+    return _with_base(text, parts, lambda v: let({"text": v["text"], "key": v["key"], "spans": _spans(v)}, _pieces))
+
+
+def _spans(v: Column) -> Column:
     span = "array<struct<first:int,last:int,key:string>>"
+    places = F.transform(v["parts"], lambda p, i: F.struct(i.alias("i"), p["key"].alias("key"), F.length(_stripped(p["text"])).alias("n"), F.position(_stripped(p["text"]), v["text"]).alias("first")))
 
     def add(acc: Column, x: Column) -> Column:
-        s = _stripped(x["text"])
-        first = F.position(s, text)
-        last = first + F.length(s)
-        free = ~F.exists(acc, lambda a: (a["first"] < last) & (first < a["last"]))
-        take = (x["i"] != base) & (F.length(s) >= 3) & (x["key"] != key) & (first > 0) & free
-        return F.when(take, F.concat(acc, F.array(F.struct(first.alias("first"), last.alias("last"), x["key"].alias("key"))))).otherwise(acc)
-
-    numbered = F.transform(parts, lambda p, i: F.struct(i.alias("i"), p["key"].alias("key"), p["text"].alias("text")))
-    spans = F.array_sort(F.aggregate(numbered, F.array().cast(span), add))
+        last = x["first"] + x["n"]
+        free = ~F.exists(acc, lambda a: (a["first"] < last) & (x["first"] < a["last"]))
+        take = (x["i"] != v["base"]) & (x["n"] >= 3) & (x["key"] != v["key"]) & (x["first"] > 0) & free
+        return F.when(take, F.concat(acc, F.array(F.struct(x["first"].alias("first"), last.alias("last"), x["key"].alias("key"))))).otherwise(acc)
+
+    return F.array_sort(F.aggregate(places, F.array().cast(span), add))
+
+
+def _pieces(v: Column) -> Column:
+    text, key, spans = v["text"], v["key"], v["spans"]
     piece = lambda k, a, b: F.struct(k.alias("key"), F.substr(text, a, b - a).alias("text"))
     whole = F.array(piece(key, F.lit(1), F.length(text) + 1))
 
-    def around(i: Column) -> Column:
-        s = F.get(spans, i)
+    def around(s: Column, i: Column) -> Column:
         before = F.coalesce(F.get(spans, i - 1)["last"], F.lit(1))
         own = F.array(piece(key, before, s["first"]), piece(s["key"], s["first"], s["last"]))
         return F.when(i == F.size(spans) - 1, F.concat(own, F.array(piece(key, s["last"], F.length(text) + 1)))).otherwise(own)
 
-    pieces = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans) - 1), around)), lambda p: p["text"] != "")
+    pieces = F.filter(F.flatten(F.transform(spans, around)), lambda p: p["text"] != "")
     return F.when(F.size(spans) == 0, whole).otherwise(pieces)

@@ -14,6 +14,9 @@ RULE_MARKS, RULE_MARKS_BEHIND = "|Jj[]!lI1", "|Jj[]!lIi1"
 #: Numbers of words and pieces that are taken together (fixed values); of equal costs that named first.
 STEPS = ((3, 1), (2, 2), (2, 1), (1, 3), (1, 2), (1, 1))
 
+#: Rows of at most so many words times pieces are aligned by plain loops.
+SMALL = 1024
+
 
 def _split(t: Column, raw: Column, share: Column) -> tuple[Column, Column]:
     """The texts before and behind a cut at a share of a word's width."""
@@ -62,6 +65,8 @@ def aligned(lengths: list[int], widths: list[float]) -> list[tuple[int, int]]:
         return []
     unit = sum(widths) / max(1, sum(lengths))
     words, ink = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(widths)])
+    if n * m <= SMALL:
+        return _in_loops(words.tolist(), ink.tolist(), unit)
     band = 13 + n // 5
     low = [max(0, int(i * m / n) - band - 1) for i in range(n + 1)]
     size = 2 * band + 8
@@ -93,6 +98,33 @@ def aligned(lengths: list[int], widths: list[float]) -> list[tuple[int, int]]:
     return ends[::-1]
 
 
+def _in_loops(words: list[float], ink: list[float], unit: float) -> list[tuple[int, int]]:
+    """The same by plain loops, which short rows take less time for."""
+    n, m = len(words) - 1, len(ink) - 1
+    band, none = 13 + n // 5, float("inf")
+    cost, came = {(0, 0): 0.0}, {}
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            best = none
+            for a, b in STEPS:
+                c = cost.get((i - a, j - b), none)
+                if c < best and abs(j - b - (i - a) * m / n) <= band:
+                    c = c + abs((ink[j] - ink[j - b]) / unit - (words[i] - words[i - a])) + 0.5 * (a + b - 2)
+                    if c < best:
+                        best = c
+                        came[i, j] = a, b
+            if best < none:
+                cost[i, j] = best
+    if (n, m) not in cost:
+        return []
+    ends, i, j = [], n, m
+    while i or j:
+        ends.append((i, j))
+        a, b = came[i, j]
+        i, j = i - a, j - b
+    return ends[::-1]
+
+
 def ink_aligned(lengths: Column, widths: Column) -> Column:
     """Array of structs (words, pieces): how many words and pieces each group and those before it have."""
 
