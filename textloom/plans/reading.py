@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from textloom.functions import languages as L
 from textloom.functions import morphology as M
 from textloom.functions import text as X
-from textloom.operators import cover, dictionary, memory
+from textloom.operators import cover, dictionary, ink, memory
 from textloom.plans.blocks import _ITEMS, drawn_items
 from textloom.plans.documents import _ENT, _HITS, _KEY, _STEM, _WORDS, SEG, STUB, entries, seg, texts
+from textloom.plans.layout import BOXES, boxes
 from textloom.plans.registry import Registry
 from textloom.plans.writing import _CYRILLIC, _LATIN, cyrillic
 from textloom.sources import sinks
@@ -196,3 +197,34 @@ def states_overwritten(spark, d):
     sinks.overwrite_documents(rows, path)
     sinks.overwrite_documents(rows.where("doc % 5 = 0 and seg % 2 = 0").withColumn("text", F.concat(F.lit("new "), "text")), path)
     return spark.read.schema(rows.schema).parquet(path).select("doc", "source_doc", "seg", "text")
+
+
+# -- recognised words (confidence, ink and height follow the place and length of every word; some are glued to labels, some are boxes)
+
+_READ = f"""(select page, line, id, case when id % 41 = 7 then left(t, 2) || 'Név:' when id % 43 = 5 then '|Dátum:' when id % 37 = 3 then '[l' when id % 47 = 2 then 'e' else t end as t, x0, y0, case when id % 37 = 3 then x0 + 10 else x1 end as x1, y1,
+    case when id % 47 = 2 then 5.0 when id % 29 = 1 then 18.0 when id % 53 = 4 then 1.0 else 9.0 + length(t) % 3 end as h, (id * 37 + length(t) * 11) % 101 as conf, (id * 13 + length(t) * 7) % 60 / 100.0 as ink, id % 3 > 0 as confirmed from {BOXES})"""
+_HU_SMALL, _HU_BIG = "a-záéíóöőúüű", "A-ZÁÉÍÓÖŐÚÜŰ"
+
+
+def read_words(spark, d):
+    k, n = F.col("id"), F.length("t")
+    t = F.when(k % 41 == 7, F.concat(F.left("t", F.lit(2)), F.lit("Név:"))).when(k % 43 == 5, "|Dátum:").when(k % 37 == 3, "[l").when(k % 47 == 2, "e").otherwise(F.col("t"))
+    h = F.when(k % 47 == 2, 5.0).when(k % 29 == 1, 18.0).when(k % 53 == 4, 1.0).otherwise(9.0 + n % 3)
+    x1 = F.when(k % 37 == 3, F.col("x0") + 10).otherwise(F.col("x1"))
+    return boxes(spark, d).select("page", "line", "id", t.alias("t"), "x0", "y0", x1.alias("x1"), "y1", h.alias("h"), ((k * 37 + n * 11) % 101).alias("conf"), ((k * 13 + n * 7) % 60 / 100.0).alias("ink"), (k % 3 > 0).alias("confirmed"))
+
+
+@query(f"""with r as (select *, regexp_extract(t, '^(.+?)([{_HU_BIG}][{_HU_SMALL}]{{2,}}:)$', 1) as a, regexp_extract(t, '^(.+?)([{_HU_BIG}][{_HU_SMALL}]{{2,}}:)$', 2) as b from {_READ}),
+    s as (select *, x0 + (x1 - x0) * length(a) / length(t) as cut, b <> '' and not regexp_matches(a, '[{_HU_BIG}]{{2}}') as glued from r),
+    w as (select page, line, id, 0 as part, t, x0, x1, y0, y1, h, conf, ink, confirmed from s where not glued union all select page, line, id, 1, a, x0, cut, y0, y1, h, conf, ink, confirmed from s where glued and not regexp_full_match(a, '[|Il1\\[\\]]')
+      union all select page, line, id, 2, b, cut, x1, y0, y1, h, conf, ink, confirmed from s where glued),
+    m as (select *, list_sort(list(h) over (partition by page, line)) as hs from w where h >= 2),
+    u as (select *, hs[(len(hs) - 1) // 2 + 1] as usual from m),
+    k as materialized (select *, (ink < 0.05 or conf < 80 and ink < 0.08 or conf < 60 and len(hs) >= 2 and h > 1.6 * usual or conf < 30 and not confirmed) and not regexp_matches(t, '^[A-Za-z{_HU_SMALL[3:]}{_HU_BIG[3:]}]{{3,}}:') as hand from u
+      where not (length(t) <= 3 and conf < 60 and (x1 - x0) / greatest(y1 - y0, 0.1) between 0.75 and 1.3 and (h >= 1.15 * usual or regexp_matches(t, '[\\[\\]£|]'))) and not (length(t) = 1 and h < 0.7 * usual and ink > 0.55)),
+    z as (select page, x0, x1, y0, y1, unnest(range(cast(line as bigint) - 1, cast(line as bigint) + 2)) as near from k where hand and length(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 2)
+    select page, cast(id as integer) as id, part, t from k where not hand and regexp_matches(t, '[\\p{{L}}\\p{{N}}_<>≤≥=±÷+%°Δ×→]') and not regexp_matches(t, '^\\[?[LlI1|]{{0,2}}\\]$|^\\[$')
+      and not (conf < 90 and ink < 0.08 and not regexp_matches(t, '^[A-Za-z{_HU_SMALL[3:]}{_HU_BIG[3:]}]{{3,}}:') and exists (select 1 from z where z.page = k.page and z.near = k.line and k.x0 < z.x1 + 3 and k.x1 > z.x0 - 3 and k.y0 < z.y1 + 3 and k.y1 > z.y0 - 3))""")
+def printed_words(spark, d):
+    """Printed words among recognised ones of whole pages."""
+    return ink.printed(ink.unglued(read_words(spark, d)).withColumn("raw", F.col("t")))
