@@ -47,6 +47,7 @@ def test_similar_ratio(spark, tmp_path):
     for d, t in zip(both.doc_id, both.text, strict=True):
         for k, line in enumerate((t or "").split("\n") if t is not None else []):
             if line:
-                texts[line] = min(texts.get(line, 10**18), d * 100000 + k)
+                texts[line] = min(texts.get(line, (d, k)), (d, k))
+    texts = {line: n for n, (line, _) in enumerate(sorted(texts.items(), key=lambda x: x[1]), 1)}  # a text's number is its first segment's place
     got = {(r.id, r.probe, r.ratio) for r in catalogue.queries()["similar_ratio"](spark, str(tmp_path)).collect()}
     assert got == brute(texts) and len(got) >= 5

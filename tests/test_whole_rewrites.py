@@ -22,10 +22,14 @@ SEGMENTS = {(k, n): line for k, t in enumerate(TEXTS) for n, line in enumerate(t
 
 def test_rewrite_log(rows):
     found = {(r.doc, r.seg): (r.fixed, r.log) for r in rows("rewrite_log")}
-    tail, log = " & 5 мг/кг (см. раздел 4.2), end", ["entity", "reference", "unit", "space"]
+    ends = (
+        "(см. раздел 5.5) end", "см. разделы 7.2 и 7.3 end", "пуск (см. раздел 4) end", "описано в разделе 8, Разделами 9 end", "на рисунке 5 и из рисунка 12, По рисунку 3 end", "(рисунок 6) и см. рисунок 7 end", "см. раздел 5.2.1 end",
+        "текст рисунок 7, см. [3] end", "end",
+    )
+    tail_of, log = (lambda d, k: f" & 5 мг/кг (см. раздел 4.2), {ends[(d + k) % len(ends)]}"), ["entity", "reference", "unit", "space"]
     assert found.keys() == {k for k, t in SEGMENTS.items() if t}
-    assert found[0, 0] == ("a, b" + tail, log) and found[1, 0] == ('say "x" 3 кВ <' + tail, log)
-    assert found[2, 0] == ("on «q» 2024.05.17." + tail, ["entity", "reference", "quotes", "unit", "space"])
+    assert found[0, 0] == ("a, b" + tail_of(0, 0), log) and found[1, 0] == ('say "x" 3 кВ <' + tail_of(1, 0), log)
+    assert found[2, 0] == ("on «q» 2024.05.17." + tail_of(2, 0), ["entity", "reference", "quotes", "unit", "space"])
 
 
 def test_polish_fixpoint(rows):
