@@ -23,7 +23,7 @@ _CELLS = """(with l as (select page_id as page, list_filter(list_transform(strin
 def table_rows(spark, d):
     rows = page_lines(table(spark, d, "pages")).withColumn("n", 2 + F.col("page") % 6)
     rows = rows.select("page", F.floor(F.col("pos") / F.col("n")).alias("row"), (F.col("pos") % F.col("n")).alias("j"), "n", "text", F.length("text").alias("len"))
-    x0 = F.col("j") * F.floor(F.lit(480.0) / F.col("n")) + F.col("len") % 23
+    x0 = F.col("j") * (F.lit(480.0) / F.col("n")) + F.col("len") % 23
     x1 = x0 + F.least(F.col("len") * 3, F.lit(150))
     put = lambda x: F.when(F.col("len") % 11 != 0, x).cast("double")
     got = rows.groupBy("page", "row").agg(F.array_sort(F.collect_list(F.struct("j", put(x0).alias("x0"), put(x1).alias("x1"), "text"))).alias("c"))
