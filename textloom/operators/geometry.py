@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.graph import components
+from textloom.sources.scratch import stored
+
+#: Height of the blocks of a page whose boxes one task links, and how many pairs it looks at together.
+BLOCK, PAIRS = 2400.0, 1 << 20
 
 
 def token_boxes(texts: DataFrame, per_line: int = 8, char: float = 6.0, line: float = 12.0) -> DataFrame:
@@ -102,9 +108,64 @@ def touching(rules: DataFrame, reach: float = 2.0, band: float = 24.0) -> DataFr
     return a.join(b, met & first_band).select(F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+def linked(x0, y0, x1, y1, reach: float) -> np.ndarray:
+    """For boxes in order of ``y0`` the first of those that they are linked with, through any number of boxes that touch within ``reach``."""
+    low = np.arange(len(y0))
+    last = np.searchsorted(y0, y1 + reach, side="right")
+    ends = np.cumsum(np.maximum(last - low - 1, 0))
+    a, b = [], []
+    start = 0
+    while start < len(y0):  # runs of boxes with about PAIRS boxes that begin before they end
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PAIRS, side="right")))
+        n = np.maximum(last[start:stop] - low[start:stop] - 1, 0)
+        i = np.repeat(low[start:stop], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        met = (x0[i] <= x1[j] + reach) & (x0[j] <= x1[i] + reach) & (y0[i] <= y1[j] + reach)
+        a.append(i[met])
+        b.append(j[met])
+        start = stop
+    a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (a, b))
+    while len(a):  # roots of linked boxes hook onto the smaller one, then every box looks up its root
+        np.minimum.at(low, np.maximum(low[a], low[b]), np.minimum(low[a], low[b]))
+        while not np.array_equal(low[low], low):
+            low = low[low]
+        apart = low[a] != low[b]
+        a, b = a[apart], b[apart]
+    return low
+
+
+def _block_roots(reach: float):
+    def run(t: pa.Table) -> pa.Table:
+        ids, *box = (t[c].to_numpy() for c in ("id", "x0", "y0", "x1", "y1"))
+        order = np.argsort(box[1], kind="stable")
+        low = linked(*(c[order] for c in box), reach)
+        ids = ids[order]
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, low, ids)
+        home = t["home"].to_numpy(zero_copy_only=False)[order]
+        return pa.table({"page": t["page"].take(pa.array(order)), "id": pa.array(ids, pa.int64()), "home": pa.array(home), "root": pa.array(least[low], pa.int64())})
+
+    return run
+
+
 def grids(rules: DataFrame, reach: float = 2.0) -> DataFrame:
-    """Connected groups of touching rules: (page, id, grid), the smallest id of the group; links are closed by star rounds on (page, id)."""
+    """Connected groups of touching rules: (page, id, grid), the smallest id of the group.
+
+    Rules are linked in blocks of a page, each in those that it reaches into; what a rule is linked with in its first block and in others is
+    then one group: only such links between blocks are closed by star rounds on (page, id). Rules without a box are groups of their own.
+    """
+    kind = rules.schema["id"].dataType
+    whole = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    first, last = F.floor(F.col("y0") / BLOCK), F.floor((F.col("y1") + reach) / BLOCK)
+    rows = rules.where(whole).select("page", F.col("id").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), first.alias("first"), F.explode(F.sequence(first, F.greatest(first, last))).alias("block"))
+    rows = rows.select("page", "block", "id", "x0", "y0", "x1", "y1", (F.col("first") == F.col("block")).alias("home"))
+    page = rules.schema["page"].dataType.simpleString()
+    found = stored(rows.groupBy("page", "block").applyInArrow(_block_roots(reach), f"page {page}, id long, home boolean, root long"), "blocks")
+    own = found.where("home").select("page", "id", "root")
+    met = found.where("not home").select("page", "id", F.col("root").alias("other")).join(own, ["page", "id"]).where("root <> other")
     node = lambda c: F.struct("page", F.col(c).alias("id"))
-    roots = components(touching(rules, reach).select(node("a").alias("a"), node("b").alias("b")))
-    roots = roots.select(F.col("node.page").alias("page"), F.col("node.id").alias("id"), F.col("root.id").alias("grid"))
-    return rules.select("page", "id").join(roots, ["page", "id"], "left").select("page", "id", F.coalesce("grid", "id").alias("grid"))
+    roots = components(met.select(node("root").alias("a"), node("other").alias("b")))
+    roots = roots.select(F.col("node.page").alias("page"), F.col("node.id").alias("root"), F.col("root.id").alias("grid"))
+    out = own.join(roots, ["page", "root"], "left").select("page", F.col("id").cast(kind).alias("id"), F.coalesce("grid", "root").cast(kind).alias("grid"))
+    return out.unionByName(rules.where(~whole).select("page", "id", F.col("id").alias("grid")))
