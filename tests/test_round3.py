@@ -1,11 +1,11 @@
 """Small tables on which queries once gave other rows than their SQL or broke their limits."""
 
 import pandas as pd
-import pyspark.sql.functions as F
 import pytest
 from oracle import duck_rows, spark_rows
 
 from textloom.operators import geometry
+from textloom.operators import words as W
 from textloom.plans import catalogue
 
 
@@ -23,3 +23,33 @@ def test_cells_of_a_seventh_of_a_page(spark, tmp_path, name):
     ids = [2033, 2033 + 126]
     html = ["<p>Erorbleon An.</p>" * 7, "".join(f"<p>{'x' * k}</p>" for k in (13, 13, 50, 13, 13, 13, 13))]
     assert same(spark, tmp_path, name, pages={"page_id": ids, "url": ["a"] * len(ids), "html": html})
+
+
+def test_boxes_are_linked_in_blocks(spark, monkeypatch):
+    """Only links between blocks come to the star rounds; groups go over blocks, and rules without a box stay alone."""
+    rows = [(1, k, 0.0, 10.0 * k, 5.0, 10.0 * k + 10.0) for k in range(1000)] + [(1, 5000, 90.0, 0.0, 91.0, 9000.0), (1, 5001, 91.0, 7000.0, 95.0, 7001.0), (1, 5002, 300.0, 8.0, 301.0, 9.0), (1, 5003, None, None, None, None)]
+    rows += [(2, k, 10.0 * k, 0.0, 10.0 * k + (9.0 if k == 40 else 10.0), 1.0) for k in range(100)]
+    seen = []
+
+    def counted(links, real=geometry.components):
+        seen.append(links.count())
+        return real(links)
+
+    monkeypatch.setattr(geometry, "components", counted)
+    got = geometry.grids(spark.createDataFrame(rows, "page int, id int, x0 double, y0 double, x1 double, y1 double"), 0.0)
+    assert got.dtypes == [("page", "int"), ("id", "int"), ("grid", "int")]
+    want = {(1, k): 0 for k in range(1000)} | {(1, 5000): 5000, (1, 5001): 5000, (1, 5002): 5002, (1, 5003): 5003} | {(2, k): 0 if k <= 40 else 41 for k in range(100)}
+    assert {(r.page, r.id): r.grid for r in got.collect()} == want
+    assert seen[0] <= 10
+
+
+def test_verticals_are_not_broadcast(spark):
+    """A page's verticals meet its words by a shuffle, once for each block of a page and not for each band."""
+    words = spark.createDataFrame([(1, k, "worda", "worda", 0.0, 12.0 * k, 30.0, 12.0 * k + 10.0) for k in range(500)], "page int, id int, t string, raw string, x0 double, y0 double, x1 double, y1 double")
+    verticals = spark.createDataFrame([(1, 15.0, -2.0, 4806.0), (1, 12.0, 4801.0, 6000.0)], "page int, x double, y0 double, y1 double")
+    got = W.split_at_rules(words, verticals)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Join") == 1
+    cut = {r.id: r.x1 for r in got.where("part = 1").collect()}
+    # 4,800 and 4,804 are words' tops: the second vertical takes over where it runs along more than half of a word
+    assert cut == {k: 14.0 if k < 400 else 11.0 for k in range(500)}
