@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.geometry import buckets
+from textloom.sources.scratch import stored
 
 # Ink of handwriting, and patterns of labels, signs, check boxes and glued labels.
 INK_HAND, INK_PALE, INK_SOLID = 0.08, 0.05, 0.55
@@ -53,13 +54,17 @@ def printed(words: DataFrame, band: float = 24.0) -> DataFrame:
     ratio = (F.col("x1") - F.col("x0")) / F.greatest(F.col("y1") - F.col("y0"), F.lit(0.1))
     box = (F.length("raw") <= 3) & (F.col("conf") < 60) & ratio.between(0.75, 1.3) & ((F.col("h") >= 1.15 * F.col("usual")) | F.col("raw").rlike(BRACKETS))
     bullet = (F.length("raw") == 1) & (F.col("h") < 0.7 * F.col("usual")) & (F.col("ink") > INK_SOLID)
-    rows = rows.where(~box & ~bullet).withColumn("hand", (pale | ((F.col("conf") < 30) & ~F.col("confirmed"))) & ~label)
-    zones = rows.where(F.col("hand") & (F.length(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}]", "")) >= 2))
+    hand = (pale | ((F.col("conf") < 30) & ~F.col("confirmed"))) & ~label
+    doubtful = (F.col("conf") < 90) & (F.col("ink") < INK_HAND) & ~label
+    zone = F.when(F.length(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}]", "")) >= 2, "zone")
+    kind = F.when(hand, zone).when(~hand & F.col("t").rlike(SIGN) & ~F.col("t").rlike(CHECKBOX), F.when(doubtful, "asked").otherwise("kept"))
+    # stored once: the words that are sure go straight out, only pale and handwritten ones meet
+    rows = stored(rows.where(~box & ~bullet).select("page", "id", "part", "t", kind.alias("kind"), *(F.when(kind != "kept", F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1"))).where("kind is not null"), "printed")
+    zones = rows.where("kind = 'zone'")
     grown = buckets(zones.select("page", (F.col("x0") - 3).alias("zx0"), (F.col("x1") + 3).alias("zx1"), (F.col("y0") - 3).alias("y0"), (F.col("y1") + 3).alias("y1")), band)
     grown = grown.withColumnsRenamed({"y0": "zy0", "y1": "zy1"})
-    kept = rows.where(~F.col("hand") & F.col("t").rlike(SIGN) & ~F.col("t").rlike(CHECKBOX))
-    doubtful = (F.col("conf") < 90) & (F.col("ink") < INK_HAND) & ~label
-    asked = buckets(kept.where(doubtful).select("page", "id", "part", "x0", "x1", "y0", "y1"), band)
+    asked = rows.where("kind = 'asked'")
     near = (F.col("x0") < F.col("zx1")) & (F.col("x1") > F.col("zx0")) & (F.col("y0") < F.col("zy1")) & (F.col("y1") > F.col("zy0"))
-    beside = asked.join(grown, ["page", "band"]).where(near).select("page", "id", "part").distinct()
-    return kept.join(beside, ["page", "id", "part"], "left_anti").select("page", "id", "part", "t")
+    beside = buckets(asked.select("page", "id", "part", "x0", "x1", "y0", "y1"), band).join(grown, ["page", "band"]).where(near).select("page", "id", "part").distinct()
+    left = asked.join(beside, ["page", "id", "part"], "left_anti")
+    return rows.where("kind = 'kept'").unionByName(left).select("page", "id", "part", "t")
