@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from oracle import duck_rows, spark_rows
 
-from textloom.operators import geometry
+from textloom.operators import geometry, ink, memory
 from textloom.operators import words as W
 from textloom.plans import catalogue
 
@@ -53,3 +53,25 @@ def test_verticals_are_not_broadcast(spark):
     cut = {r.id: r.x1 for r in got.where("part = 1").collect()}
     # 4,800 and 4,804 are words' tops: the second vertical takes over where it runs along more than half of a word
     assert cut == {k: 14.0 if k < 400 else 11.0 for k in range(500)}
+
+
+
+
+def test_printed_words_are_worked_out_once(spark):
+    """The medians of lines are taken in one stored step; what follows shuffles pale and handwritten words alone."""
+    rows = [(1, 0, 0, 0, "abcd", "abcd", 9.0, 95, 0.5, True, 0.0, 0.0, 30.0, 10.0), (1, 0, 1, 0, "hand", "hand", 9.0, 70, 0.06, True, 40.0, 0.0, 60.0, 10.0), (1, 0, 2, 0, "near", "near", 9.0, 85, 0.06, True, 61.0, 0.0, 80.0, 10.0), (1, 0, 3, 0, "far", "far", 9.0, 85, 0.06, True, 90.0, 0.0, 99.0, 10.0)]
+    words = spark.createDataFrame(rows, "page int, line int, id int, part int, t string, raw string, h double, conf int, ink double, confirmed boolean, x0 double, y0 double, x1 double, y1 double")
+    got = ink.printed(words)
+    assert sorted(r.t for r in got.collect()) == ["abcd", "far"]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_are_matched_by_digests(spark):
+    """Runs of up to ten long keys meet by 16 bytes each: no text is in the tables that the match joins."""
+    long = ["a" * 3000, "b" * 4000, "c" * 5000, "d", "e", "f"]
+    ours = spark.createDataFrame([(1, 0, long[0] + long[1]), (1, 1, long[2]), (1, 2, "d"), (1, 3, "e"), (1, 4, "zz")], "doc int, o int, k string")
+    theirs = spark.createDataFrame([(1, 0, long[0]), (1, 1, long[1]), (1, 2, long[2]), (1, 3, "de"), (1, 4, "f")], "doc int, o int, k string")
+    got = memory.cascaded(ours, theirs, "doc", "o", "k")
+    assert {r.place: r.how for r in got.collect()} == {1: "joined", 2: "exact", 3: "part", 4: "part", 5: "own"}
+    types = memory.consecutive(ours, "doc", "o", "k").dtypes
+    assert types == [("doc", "int"), ("place", "int"), ("digests", "array<binary>")]
