@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.geometry import buckets
+from textloom.operators.geometry import BLOCK, buckets
+from textloom.sources.scratch import stored
 
 
-def hidden_text(items: DataFrame, big: float = 0.5, most: float = 0.7, band: float = 24.0) -> DataFrame:
+def hidden_text(items: DataFrame, big: float = 0.5, most: float = 0.7) -> DataFrame:
     """Text that is not seen: (page, id, x0, y0, x1, y1).
 
     ``items(page, id, ord, kind, opaque, page_area, x0, y0, x1, y1)`` are drawn in the order of ``ord``; ``kind`` is text, unseen (a layer
@@ -18,11 +19,13 @@ def hidden_text(items: DataFrame, big: float = 0.5, most: float = 0.7, band: flo
     box = ["x0", "y0", "x1", "y1"]
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     images = items.where((F.col("kind") == "image") & F.col("opaque") & (area >= big * F.col("page_area")))
-    i = buckets(images.select("page", F.col("ord").alias("later"), *(F.col(c).alias(f"i_{c}") for c in box), "y0", "y1"), band).drop("y0", "y1")
-    texts = items.where("kind = 'text'").withColumn("band", F.floor(F.col("y0") / band))
-    holds = (F.col("i_x0") <= F.col("x0")) & (F.col("i_y0") <= F.col("y0")) & (F.col("i_x1") >= F.col("x1")) & (F.col("i_y1") >= F.col("y1"))
-    last = i.groupBy("page", "band", *(f"i_{c}" for c in box)).agg(F.max("later").alias("later"))
-    marked = texts.join(last, ["page", "band"], "left").groupBy("page", "id", "ord", *box).agg(F.coalesce(F.bool_or(holds & (F.col("later") > F.col("ord"))), F.lit(False)).alias("under"))
+    blocks = F.sequence(F.floor(F.col("y0") / BLOCK), F.floor(F.col("y1") / BLOCK))
+    last = images.groupBy("page", *box).agg(F.max("ord").alias("later")).select("page", F.struct(*box, "later").alias("i"), F.explode(blocks).alias("block"))
+    last = last.groupBy("page", "block").agg(F.collect_list("i").alias("over"))
+    holds = lambda i: (i["x0"] <= F.col("x0")) & (i["y0"] <= F.col("y0")) & (i["x1"] >= F.col("x1")) & (i["y1"] >= F.col("y1")) & (i["later"] > F.col("ord"))
+    texts = items.where("kind = 'text'").withColumn("block", F.floor(F.col("y0") / BLOCK)).join(last.hint("shuffle_hash"), ["page", "block"], "left")
+    told = texts.select("page", "id", *box, F.coalesce(F.exists("over", holds), F.lit(False)).alias("under"))
+    marked = stored(told.select("page", *(F.when(F.col("under"), F.col(c)).alias(c) for c in ("id", *box)), "under"), "hidden")
     pages = marked.groupBy("page").agg((F.sum(F.when(F.col("under"), 1).otherwise(0)) <= most * F.count("*")).alias("fine"))
     under = marked.where("under").join(pages.where("fine"), "page", "left_semi").select("page", "id", *box)
     return under.unionByName(items.where("kind = 'unseen'").select("page", "id", *box))
