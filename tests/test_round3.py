@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from oracle import duck_rows, spark_rows
 
-from textloom.operators import geometry, ink, memory
+from textloom.operators import cover, figures, geometry, ink, memory
 from textloom.operators import words as W
 from textloom.plans import catalogue
 
@@ -75,3 +75,25 @@ def test_runs_are_matched_by_digests(spark):
     assert {r.place: r.how for r in got.collect()} == {1: "joined", 2: "exact", 3: "part", 4: "part", 5: "own"}
     types = memory.consecutive(ours, "doc", "o", "k").dtypes
     assert types == [("doc", "int"), ("place", "int"), ("digests", "array<binary>")]
+
+
+def test_hidden_texts_are_told_by_one_stored_join(spark):
+    """Texts meet an array of pictures by block, without a grouping of the texts; what follows reads the stored rows."""
+    items = [(1, k, k, "text", False, 480.0 * 6000, 0.0, 12.0 * k, 10.0, 12.0 * k + 10) for k in range(500)] + [(1, -1, 300, "image", True, 480.0 * 6000, -1.0, -1.0, 600.0, 6010.0)]
+    got = cover.hidden_text(spark.createDataFrame(items, "page int, id int, ord int, kind string, opaque boolean, page_area double, x0 double, y0 double, x1 double, y1 double"))
+    assert sorted(r.id for r in got.collect()) == list(range(300))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_shapes_of_a_block_are_merged_before_the_rounds(spark, monkeypatch):
+    shapes = [(1, k, 10.0 * (k % 20), 5.0 * k, 10.0 * (k % 20) + 9, 5.0 * k + 4) for k in range(400)] + [(1, 900, 0.0, 5000.0, 1.0, 5001.0), (2, 1, 0.0, 2390.0, 5.0, 2399.0), (2, 2, 0.0, 2401.0, 5.0, 2409.0)]
+    seen = []
+
+    def counted(now, reach, real=geometry.grids):
+        seen.append(now.count())
+        return real(now, reach)
+
+    monkeypatch.setattr(figures, "grids", counted)
+    got = figures.grown(spark.createDataFrame(shapes, "page int, id int, x0 double, y0 double, x1 double, y1 double"), 12.0)
+    assert sorted((r.page, r.id, r.n) for r in got.collect()) == [(1, 0, 400), (1, 900, 1), (2, 1, 2)]
+    assert seen[0] == 4

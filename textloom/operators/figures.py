@@ -2,33 +2,56 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.cover import covered_share
-from textloom.operators.geometry import buckets, touching
-from textloom.operators.graph import components
+from textloom.operators.geometry import BLOCK, buckets, grids, linked
 from textloom.sources.scratch import stored
 
 BOX = ["x0", "y0", "x1", "y1"]
 
 
+def _merged_in_block(reach: float):
+    def run(t: pa.Table) -> pa.Table:
+        ids, n, *box = (t[c].to_numpy() for c in ("id", "n", *BOX))
+        while True:
+            order = np.argsort(box[1], kind="stable")
+            ids, n, box = ids[order], n[order], [c[order] for c in box]
+            low = linked(*box, reach)
+            if np.array_equal(low, np.arange(len(low))):
+                return pa.table({"page": t["page"].slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(ids), int))), "id": ids, **dict(zip(BOX, box, strict=True)), "n": n})
+            first, at = np.unique(low, return_inverse=True)
+            low_ids, sums, sides = ids[first], np.zeros(len(first), np.int64), [c[first] for c in box]
+            np.minimum.at(low_ids, at, ids)
+            np.add.at(sums, at, n)
+            for side, c, f in zip(sides, box, (np.minimum, np.minimum, np.maximum, np.maximum), strict=True):
+                f.at(side, at, c)
+            ids, n, box = low_ids, sums, sides
+
+    return run
+
+
 def grown(shapes: DataFrame, reach: float) -> DataFrame:
     """Clusters of a page's shapes at the fixpoint: no two clusters' boxes come within ``reach`` of each other: (page, id, box, n).
 
     Shapes that touch within ``reach`` become one cluster with the box around them, which may touch others in turn; so links are found
-    anew in each round between the boxes of the last one, until there are none. The result does not depend on the order. Rounds are tables
-    of the shared folder; a cluster has the smallest id of its shapes.
+    anew in each round between the boxes of the last one, until there are none. The result does not depend on the order: the shapes that
+    begin in a block of a page are merged there first, and only clusters go into the rounds, which are tables of the shared folder; a
+    cluster has the smallest id of its shapes.
     """
-    now = stored(shapes.select("page", "id", *BOX, F.lit(1).cast("long").alias("n")), "figures")
+    kind, page = shapes.schema["id"].dataType, shapes.schema["page"].dataType.simpleString()
+    rows = shapes.select("page", F.col("id").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in BOX), F.lit(1).cast("long").alias("n"))
+    whole = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    blocks = rows.where(whole).groupBy("page", F.floor(F.col("y0") / BLOCK).alias("block"))
+    now = stored(blocks.applyInArrow(_merged_in_block(reach), f"page {page}, id long, x0 double, y0 double, x1 double, y1 double, n long"), "figures")
     while True:
-        links = touching(now, reach)
-        pair = lambda c: F.struct("page", F.col(c).alias("id"))
-        met = stored(links.select(pair("a").alias("a"), pair("b").alias("b")), "links")
-        if met.isEmpty():
-            return now
-        roots = components(met).select(F.col("node.page").alias("page"), F.col("node.id").alias("id"), F.col("root.id").alias("to"))
-        joined = now.join(roots, ["page", "id"], "left").withColumn("id", F.coalesce("to", "id"))
+        to = stored(grids(now, reach).where("id <> grid"), "links")
+        if to.isEmpty():
+            return now.unionByName(rows.where(~whole)).withColumn("id", F.col("id").cast(kind))
+        joined = now.join(to, ["page", "id"], "left").withColumn("id", F.coalesce("grid", "id"))
         now = stored(joined.groupBy("page", "id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("n").alias("n")), "figures")
 
 
