@@ -2,6 +2,7 @@
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from oracle import duck_rows, spark_rows
 
 from textloom.operators import cover, figures, geometry, ink, memory
@@ -105,3 +106,24 @@ def test_groups_of_thousands_in_rows(spark, tmp_path):
     n = [k for k in range(35) for _ in texts]
     got = same(spark, tmp_path, "issue_rows_ru_en", documents={"doc_id": range(105), "text": texts * 35, "lang": ["ru"] * 105, "source": [f"{k}" for k in n]})
     assert len(got) > 100
+
+
+def quickly(df, most):
+    from time import monotonic
+
+    began = monotonic()
+    got = df.collect()
+    assert monotonic() - began < most
+    return got
+
+
+def test_shortenings_of_long_lines(spark, tmp_path):
+    """The words of both forms are taken once for a row, not once for each word."""
+    from textloom.functions import terms as T
+
+    line = " ".join(f"w{k}" for k in range(6000))
+    rows = spark.createDataFrame([(line, line), (line + " w99. zz.", line), ("w1. W2, «w3» wxy.", line), ("abc.", "abcdef")], "s string, t string")
+    found = rows.select(T.shortened(F.col("s"), F.col("t"), F.lit("\x00")).alias("ok"))
+    assert [r.ok for r in quickly(found, 8)] == [True, False, False, True]
+    pd.DataFrame({"doc_id": [0, 1, 2, 3], "text": [line, "a b. c", "Ab; ab, «Ab» x", ""], "lang": "x", "source": "y"}).to_parquet(tmp_path / "documents.parquet")
+    same(spark, tmp_path, "shortenings")

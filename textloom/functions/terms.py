@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
+
 #: Words that turn a term into its opposite (fixed values).
 NEGATIONS = ("nem",)
 #: Service words of notes, which are not shown (fixed values).
@@ -60,13 +62,14 @@ def term_line(term: Column, target: Column, note: Column) -> Column:
 def shortened(short: Column, whole: Column, source: Column) -> Column:
     """A shorter form keeps the words of the whole one or abbreviates them with a stop (three letters at least), or is the source itself."""
     bare = lambda c: F.transform(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""), lambda w: F.lower(F.regexp_replace(w, "^[:;,()«»]+|[:;,()«»]+$", "")))
-    have = bare(whole)
 
-    def fits(w: Column) -> Column:
+    def fits(w: Column, have: Column) -> Column:
         stem = F.left(w, F.length(w) - 1)
-        return (w == "") | F.array_contains(have, w) | (F.endswith(w, F.lit(".")) & (F.length(w) >= 4) & F.exists(have, lambda x: F.startswith(x, stem)))
+        return (w == "") | (F.endswith(w, F.lit(".")) & (F.length(w) >= 4) & F.exists(have, lambda x: F.startswith(x, stem)))
 
-    return (F.trim(short) == F.trim(source)) | F.forall(bare(short), fits)
+    # the words of both are taken once for a row, and only words that the whole form lacks are looked at
+    kept = let({"words": bare(short), "have": bare(whole)}, lambda v: F.forall(F.array_except(v["words"], v["have"]), lambda w: fits(w, v["have"])))
+    return (F.trim(short) == F.trim(source)) | kept
 
 
 def shortened_length(scale: Column, whole: Column) -> Column:
