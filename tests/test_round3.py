@@ -127,3 +127,13 @@ def test_shortenings_of_long_lines(spark, tmp_path):
     assert [r.ok for r in quickly(found, 8)] == [True, False, False, True]
     pd.DataFrame({"doc_id": [0, 1, 2, 3], "text": [line, "a b. c", "Ab; ab, «Ab» x", ""], "lang": "x", "source": "y"}).to_parquet(tmp_path / "documents.parquet")
     same(spark, tmp_path, "shortenings")
+
+
+def test_long_answers_are_read_once(spark):
+    """Objects of an answer are read once each, and the last one of a number counts."""
+    from textloom.functions import answers as A
+
+    one = lambda n, t: '{"n": %d, "t": "%s", "lang": "x"}' % (n, t)
+    answer = "Here: [" + ", ".join([one(k, f"t{k}" + (' "q" ' if k % 4 == 3 else "")) for k in range(1200)] + [one(7, "again"), '{"n": "8", "t": "torn']) + "]"
+    got = quickly(spark.createDataFrame([(answer,)], "a string").select(F.explode(A.answer_objects(F.col("a"))).alias("o")).select("o.*"), 8)
+    assert len(got) == 1200 and {r.n: r.t for r in got} == {k: f"t{k}" + (' "q" ' if k % 4 == 3 else "") for k in range(1200)} | {7: "again"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
+
 #: An object that is no JSON, by its keys (fixed pattern).
 _LOOSE = r'(?s)^\{\s*"n"\s*:\s*"?([0-9]+)"?\s*,\s*"t"\s*:\s*"(.*)"\s*,\s*"lang"\s*:\s*"([^"]*)"\s*\}'
 
@@ -19,16 +21,15 @@ def answer_objects(c: Column) -> Column:
 
     def read(p: Column) -> Column:
         whole = F.regexp_extract(p, r'(?s)^(\{.*\})', 1)
-        made = F.from_json(whole, "n string, t string, lang string")
-        loose = F.regexp_extract(p, _LOOSE, 1)
-        n = F.coalesce(made["n"].try_cast("int"), F.when(made["n"].isNull() & (loose != ""), loose.try_cast("int")))
-        by_key = made["n"].isNull()
-        return F.struct(n.alias("n"), F.when(by_key, F.regexp_extract(p, _LOOSE, 2)).otherwise(made["t"]).alias("t"), F.when(by_key, F.regexp_extract(p, _LOOSE, 3)).otherwise(made["lang"]).alias("lang"))
+        told = lambda n, t, lang: F.struct(n.try_cast("int").alias("n"), t.alias("t"), lang.alias("lang"))
+        by_key = told(*[F.regexp_extract(p, _LOOSE, k) for k in (1, 2, 3)])
+        made = {"o": F.from_json(whole, "n string, t string, lang string")}
+        return let(made, lambda v: F.when(v["o"]["n"].isNull(), by_key).otherwise(told(v["o"]["n"], v["o"]["t"], v["o"]["lang"])))
 
     found = F.filter(F.transform(pieces, read), lambda o: o["n"].isNotNull())
     # by number, the last one first; what follows one of the same number goes
     ranked = F.array_sort(F.transform(found, lambda o, i: F.struct(o["n"].alias("n"), (-i).alias("i"), o.alias("o"))))
-    last = F.filter(ranked, lambda x, k: (k == 0) | (F.get(ranked, k - 1)["n"] != x["n"]))
+    last = let({"r": ranked}, lambda v: F.filter(v["r"], lambda x, k: (k == 0) | (F.get(v["r"], k - 1)["n"] != x["n"])))
     return F.transform(F.array_sort(F.transform(last, lambda x: F.struct((-x["i"]).alias("i"), x["o"].alias("o")))), lambda x: x["o"])
 
 
