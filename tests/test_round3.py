@@ -149,3 +149,38 @@ def test_marks_of_single_tabs(spark):
     assert {r.t: r.back for r in rows.collect()} == {t: t.replace("[TAB×3]", "\t\t\t") for t in want}
     plan = rows._jdf.queryExecution().analyzed().toString()
     assert "contains(t" in plan.lower() and "[(?:TAB|BR)[×x]" in plan
+
+
+@pytest.mark.parametrize("block", [65_536, 8])
+def test_chains_are_linked_in_blocks(spark, monkeypatch, block):
+    """One stored table where chains stay in their block; else only the nodes that chains enter are doubled."""
+    from textloom.operators import tree
+
+    stores = []
+
+    def counted(df, name, real=tree.stored):
+        stores.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(tree, "stored", counted)
+    rows = [(1, k, k - 1 if k else None, k == 5) for k in range(300)] + [(2, k, k // 2 if k else None, k % 11 == 3) for k in range(200)]
+    rows += [(3, 0, 20, False), (3, 20, 40, False), (3, 40, 0, False), (3, 41, 40, None), (3, 7, 99, False), (3, 8, 8, True), (3, 9, 8, False), (4, 70, 1, True)]
+    up = {(d, k): (p, h) for d, k, p, h in rows}
+
+    def holder(d, k):
+        seen = set()
+        while (d, k) in up and k not in seen:
+            if up[d, k][1]:
+                return k
+            seen.add(k)
+            k = up[d, k][0]
+        return None
+
+    nodes = spark.createDataFrame(rows, "doc long, node int, parent int, h boolean")
+    if block != 65_536:
+        monkeypatch.setattr(tree, "BLOCK", block)
+    got = tree.holders(nodes, F.col("h"))
+    assert got.dtypes == [("doc", "bigint"), ("node", "int"), ("holder", "int")]
+    assert {(r.doc, r.node): r.holder for r in got.collect()} == {(d, k): holder(d, k) for d, k, _, _ in rows}
+    if block == 65_536:
+        assert stores == ["holders"]

@@ -2,27 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.sources.scratch import stored
 
+#: Nodes of a document that one task links: those whose numbers are equal when divided by it.
+BLOCK = 65_536
+
+
+def _up_in_block(size: int):
+    """For each node of a block its holder, or the parent with which its chain goes on in another block."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, holds = t["node"].to_numpy(), t["holds"].to_numpy()
+        known = t["parent"].is_valid().to_numpy()
+        parent = t["parent"].fill_null(0).to_numpy()
+        order = np.argsort(node, kind="stable")
+        at = np.minimum(np.searchsorted(node, parent, sorter=order), len(node) - 1)
+        inside = known & ~holds & (node[order[at]] == parent)
+        up = np.where(inside, order[at], np.arange(len(node)))
+        for _ in range(len(node).bit_length()):  # what has not come to an end then is a cycle
+            up = up[up]
+        ends = ~inside[up]
+        held, leaves = ends & holds[up], ends & ~holds[up] & known[up] & (parent[up] // size != node // size)
+        holder = pa.array(node[up], t["node"].type, mask=~held)
+        return pa.table({"doc": t["doc"], "node": t["node"], "holder": holder, "up": pa.array(parent[up], t["parent"].type, mask=~leaves)})
+
+    return run
+
 
 def holders(nodes: DataFrame, holds: Column) -> DataFrame:
     """(doc, node, holder): the nearest element on the way up, the node itself included, for which ``holds`` is true; null if there is none.
 
-    ``nodes(doc, node, parent, ...)`` may be chains of any depth: pointers are doubled, each round a table of the shared folder, so a
-    chain of n levels takes log2(n) rounds. A parent that is no node ends a chain; nodes on a cycle without a holder have none.
+    ``nodes(doc, node, parent, ...)`` may be chains of any depth. Blocks of a document are linked by arrays; only the nodes with which chains
+    enter another block are joined: their pointers are doubled, each round a table of the shared folder, so a chain over n blocks takes log2(n)
+    rounds. A parent that is no node ends a chain; nodes on a cycle without a holder have none.
     """
-    own = nodes.select("doc", "node", F.when(holds, F.col("node")).alias("holder"), F.when(~F.coalesce(holds, F.lit(False)), F.col("parent")).alias("up"))
-    now = stored(own, "holders")
-    for _ in range(64):  # 2^64 levels; what is open then is a cycle
-        if now.where("holder is null and up is not null").isEmpty():
+    own = nodes.where("node is not null").select("doc", "node", "parent", F.coalesce(holds, F.lit(False)).alias("holds"), F.floor(F.col("node") / BLOCK).alias("block"))
+    doc, node, parent = (own.schema[c].dataType.simpleString() for c in ("doc", "node", "parent"))
+    now = stored(own.groupBy("doc", "block").applyInArrow(_up_in_block(BLOCK), f"doc {doc}, node {node}, holder {node}, up {parent}"), "holders")
+    going = now.where("up is not null")
+    if going.isEmpty():
+        return now.select("doc", "node", "holder")
+    gates = stored(going.select("doc", F.col("up").alias("node")).distinct().join(now, ["doc", "node"]), "gates")
+    for _ in range(64):  # 2^64 blocks; what is open then is a cycle
+        if gates.where("holder is null and up is not null").isEmpty():
             break
-        above = now.select("doc", F.col("node").alias("up"), F.col("holder").alias("h__"), F.col("up").alias("u__"))
+        above = gates.select("doc", F.col("node").alias("up"), F.col("holder").alias("h__"), F.col("up").alias("u__"))
         found = F.coalesce("holder", "h__")
-        now = stored(now.join(above, ["doc", "up"], "left").select("doc", "node", found.alias("holder"), F.when(found.isNull(), F.col("u__")).alias("up")), "holders")
-    return now.select("doc", "node", "holder")
+        gates = stored(gates.join(above, ["doc", "up"], "left").select("doc", "node", found.alias("holder"), F.when(found.isNull(), F.col("u__")).alias("up")), "gates")
+    through = going.select("doc", "node", "up").join(gates.select("doc", F.col("node").alias("up"), "holder"), ["doc", "up"], "left")
+    return now.where("up is null").select("doc", "node", "holder").unionByName(through.select("doc", "node", "holder"))
 
 
 def gathered(nodes: DataFrame, leaves: DataFrame, holds: Column) -> DataFrame:
@@ -30,6 +63,6 @@ def gathered(nodes: DataFrame, leaves: DataFrame, holds: Column) -> DataFrame:
 
     ``leaves(doc, page, mcid, node, text)`` are pieces of content with the tree node they belong to; a piece belongs to its nearest holder.
     """
-    at = leaves.join(holders(nodes, holds), ["doc", "node"]).where("holder is not null")
+    at = leaves.join(holders(nodes, holds).where("holder is not null"), ["doc", "node"])
     got = at.groupBy("doc", F.col("holder").alias("node")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("page", "mcid", "text"))).alias("x"))
     return got.select("doc", "node", "n", F.array_join(F.transform("x", lambda x: x["text"]), " ").alias("text"))
