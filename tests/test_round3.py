@@ -184,3 +184,14 @@ def test_chains_are_linked_in_blocks(spark, monkeypatch, block):
     assert {(r.doc, r.node): r.holder for r in got.collect()} == {(d, k): holder(d, k) for d, k, _, _ in rows}
     if block == 65_536:
         assert stores == ["holders"]
+
+
+def test_windows_are_looked_at_in_the_row(spark):
+    """A small dictionary makes no rows of windows: only found entries are shuffled."""
+    from textloom.operators import dictionary
+
+    entries = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one two"), (3, "delta deltoid omega"), (4, "beta beta alpha gamma")], "entry int, term string")
+    texts = spark.createDataFrame([(1, "gamma x alphas y beta"), (2, "gamma x x alpha y beta"), (3, "omega delta"), (4, None), (5, "one two one"), (6, "Beta, gammas; x z ALPHA b")], "id int, text string")
+    got = dictionary.window_hits(texts, entries)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (1, 4), (3, 3), (6, 1), (6, 4)]
+    assert "count(distinct" not in got._jdf.queryExecution().analyzed().toString()

@@ -59,7 +59,17 @@ def phrase_hits(texts: DataFrame, entries: DataFrame, inflected: bool = False) -
 
 
 def window_hits(texts: DataFrame, entries: DataFrame, least: int = 3) -> DataFrame:
-    """Entries of ``least`` words or more whose words all stand in some window of n + 2 words, in any order: (id, entry)."""
+    """Entries of ``least`` words or more whose words all stand in some window of n + 2 words, in any order: (id, entry).
+
+    Up to BROADCAST_ENTRIES entries (counted) are broadcast: a window begins with one of the entry's words, and is looked at inside the row.
+    """
+    if entries.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES:
+        terms = entries.select("entry", F.array_distinct(words(F.col("term"))).alias("ws")).where(F.size("ws") >= least)
+        terms = terms.select("entry", (F.size("ws") + WINDOW_EXTRA).alias("span"), F.array_distinct(F.transform("ws", lambda w: stem_key(w))).alias("all"))
+        terms = terms.select("entry", "span", "all", F.explode("all").alias("key"))
+        rows = texts.select("id", F.transform(words(F.col("text")), lambda w: stem_key(w)).alias("keys"))
+        met = rows.select("id", "keys", F.posexplode("keys").alias("i", "key")).join(F.broadcast(terms), "key")
+        return met.where(F.size(F.array_except("all", F.slice("keys", F.col("i") + 1, F.col("span")))) == 0).select("id", "entry").distinct()
     parts = entries.select("entry", F.size(F.array_distinct(words(F.col("term")))).alias("n"), F.explode(F.array_distinct(words(F.col("term")))).alias("tw"))
     parts = parts.where(F.col("n") >= least).withColumn("key", stem_key(F.col("tw")))
     toks = positions(texts).withColumn("key", stem_key(F.col("w")))
