@@ -195,3 +195,16 @@ def test_windows_are_looked_at_in_the_row(spark):
     got = dictionary.window_hits(texts, entries)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (1, 4), (3, 3), (6, 1), (6, 4)]
     assert "count(distinct" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_short_rows_are_aligned_together(monkeypatch):
+    """Rows of equal numbers of words and pieces go through the cells together, with the groups of plain loops."""
+    import random
+
+    r = random.Random(3)
+    lengths = [[r.randint(0, 9) for _ in range(r.choice([1, 2, 7, 8, 8, 8, 20]))] for _ in range(600)]
+    widths = [[w for x in row for w in r.choice([[x * 5.5 + r.randint(1, 3)], [x * 3.0 + 1, x * 2.5], []])] for row in lengths]
+    widths[5] = []
+    want = [W.aligned(a, b) for a, b in zip(lengths, widths, strict=True)]
+    monkeypatch.delattr(W, "_in_loops")
+    assert W.many_aligned(lengths, widths) == want
