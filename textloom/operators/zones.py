@@ -2,32 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from textloom.operators.packed import flat, floats, packed, read_lines
 
-def _clustered(rows: DataFrame, value: str, gap: float) -> DataFrame:
-    """The first value of every cluster; a value more than ``gap`` behind the one before it starts a cluster."""
-    before = F.lag(value).over(Window.partitionBy("page").orderBy(value))
-    return rows.select("page", value).distinct().withColumn("b__", before).where(F.col("b__").isNull() | (F.col(value) - F.col("b__") > gap)).drop("b__")
 
+#: Values of a cluster of rules' places are at most this apart.
+EDGE_GAP = 2.5
 
-def _edges(rows: DataFrame, value: str, gap: float = 2.5) -> DataFrame:
-    return _clustered(rows, value, gap).groupBy("page").agg(F.array_sort(F.collect_list(value)).alias(f"{value}s"))
 
+def _edges(values: np.ndarray) -> np.ndarray:
+    """The first value of every cluster; a value more than EDGE_GAP behind the one before it starts a cluster."""
+    v = np.unique(values)
+    return v[np.append(True, np.diff(v) > EDGE_GAP)] if len(v) else v
 
-def _place(edges: str, at: Column) -> Column:
-    """The interval between neighbouring edges that holds a value, the earlier one of two; null outside."""
-    n = F.size(F.filter(edges, lambda e: e < at))
-    inside = (at >= F.get(edges, F.lit(0))) & (at <= F.element_at(edges, -1))
-    return F.when(inside, F.greatest(n - 1, F.lit(0)))
 
-
-def _text(words: Column) -> Column:
-    """Lines of words (struct line, x0, id, t, ...), joined by a space each and by line ends."""
-    step = lambda acc, w: F.struct(F.concat(acc["text"], F.when(acc["line"].isNull(), "").when(acc["line"] == w["line"], " ").otherwise("\n"), w["t"]).alias("text"), w["line"].alias("line"))
-    return F.aggregate(F.array_sort(words), F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("line")), step, lambda acc: acc["text"])
+def _place(edges: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The interval between neighbouring edges that holds a value, the earlier one of two; -1 outside."""
+    return np.where((at >= edges[0]) & (at <= edges[-1]), np.maximum(np.searchsorted(edges, at) - 1, 0), -1)
 
 
 def _aligned(left: Column, right: Column, width: Column, most: float) -> Column:
@@ -35,37 +32,82 @@ def _aligned(left: Column, right: Column, width: Column, most: float) -> Column:
     return F.when((right < 10) & (left - 10 > 10), "right").when((F.abs(left - right) < tolerance) & (left > most), "center").otherwise("left")
 
 
+def _tops(xs: np.ndarray, ys: np.ndarray, hy: np.ndarray, h0: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    """For each row and column of a grid the row of the horizontal above, which covers half of the column; the first row if none does."""
+    rows = len(ys) - 1
+    a, b = xs[:-1], xs[1:]
+    low, high = np.searchsorted(ys[:-1], hy - 2.0 - 1e-6), np.searchsorted(ys[:-1], hy + 2.0 + 1e-6, side="right")
+    n = high - low
+    level = np.repeat(np.arange(len(hy)), n)
+    row = np.repeat(low, n) + np.arange(len(level)) - np.repeat(np.cumsum(n) - n, n)
+    near = np.abs(hy[level] - ys[row]) <= 2
+    level, row = level[near], row[near]
+    tops = np.zeros((rows, len(a)), np.int64)
+    for c in range(len(a)):
+        over = np.minimum(h1[level], b[c]) - np.maximum(h0[level], a[c]) >= 0.5 * (b[c] - a[c])
+        tops[row[over], c] = row[over]
+    return np.maximum.accumulate(tops, axis=0)
+
+
+_CELLS = "row int, col int, text string, a double, b double, left double, right double, below long"
+
+
+def _ruled_page(words: pa.Table, rules: pa.Table, schema: pa.Schema) -> pa.Table:
+    x0, y0, x1, y1 = floats(rules, "x0", "y0", "x1", "y1")
+    up, flat_ = (x1 - x0 < 3) & (y1 - y0 > 5), (y1 - y0 < 3) & (x1 - x0 > 20)
+    hy = (y0[flat_] + y1[flat_]) / 2
+    xs, ys = _edges((x0[up] + x1[up]) / 2), _edges(hy)
+    if not words.num_rows or len(xs) < 3 or len(ys) < 2:
+        return schema.empty_table()
+    tops = _tops(xs, ys, hy, x0[flat_], x1[flat_])
+    wx0, wy0, wx1, wy1 = floats(words, "x0", "y0", "x1", "y1")
+    row, col = _place(ys, (wy0 + wy1) / 2), _place(xs, (wx0 + wx1) / 2)
+    inside = np.flatnonzero((row >= 0) & (col >= 0))
+    row, col, left, right = row[inside], col[inside], wx0[inside], wx1[inside]
+    cols = tops.shape[1]
+    cell = tops[row, col] * cols + col
+    ids, texts = flat(words, "id").to_numpy(zero_copy_only=False)[inside], flat(words, "t").take(pa.array(inside)).to_pylist()
+    first, read = read_lines(texts, cell, np.rint(wy0[inside] / 3), left, ids)
+    # every cell of the grid, by its first row
+    keys, below = np.unique(tops * cols + np.arange(cols), return_counts=True)
+    least, most = np.full(len(keys), np.inf), np.full(len(keys), -np.inf)
+    at = np.searchsorted(keys, cell)
+    np.minimum.at(least, at, left)
+    np.maximum.at(most, at, right)
+    text = np.full(len(keys), "", object)
+    text[at[first]] = read
+    none = ~np.isfinite(least)
+    k = keys % cols
+    page = pa.repeat(words["page"][0], len(keys))
+    return pa.Table.from_arrays(
+        [page, pa.array(keys // cols, pa.int32()), pa.array(k, pa.int32()), pa.array(text, pa.string()), pa.array(xs[k]), pa.array(xs[k + 1]), pa.array(least, mask=none), pa.array(most, mask=none), pa.array(below - 1, pa.int64())], schema=schema
+    )
+
+
 def ruled_cells(words: DataFrame, rules: DataFrame) -> DataFrame:
     """Cells (page, row, col, text, align, below) of zones with rules; ``below`` counts the rows that a cell takes beyond its own.
 
     ``words(page, id, t, box)`` and ``rules(page, box)``: rules less than 3 wide and over 5 high are verticals, those less than 3 high and over 20
     wide horizontals; both are clustered. A zone of two columns and one row or more has a grid: a word lies in the cell of its middle.
     A cell under which no horizontal covers half of its column is one with the cell below. Words are read by lines of 3 points.
+    Words and rules of a page are shuffled once, as arrays, and meet there.
     """
-    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    vertical = rules.where((width < 3) & (height > 5)).select("page", ((F.col("x0") + F.col("x1")) / 2).alias("x"))
-    level = rules.where((height < 3) & (width > 20)).select("page", ((F.col("y0") + F.col("y1")) / 2).alias("y"), "x0", "x1")
-    grid = _edges(vertical, "x").join(_edges(level, "y"), "page").where((F.size("xs") >= 3) & (F.size("ys") >= 2))
-    grid = grid.join(words.select("page").distinct(), "page", "left_semi")
-    # which cells have a horizontal over them
-    cells = grid.select("page", "ys", F.posexplode(F.arrays_zip(F.slice("xs", F.lit(1), F.size("xs") - 1).alias("a"), F.slice("xs", F.lit(2), F.size("xs") - 1).alias("b"))).alias("col", "x"))
-    cells = cells.select("page", "col", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.posexplode(F.slice("ys", F.lit(1), F.size("ys") - 1)).alias("row", "y"))
-    bands = lambda y: F.floor(y / 4)
-    near = level.select("page", F.col("y").alias("hy"), F.col("x0").alias("h0"), F.col("x1").alias("h1"), F.explode(F.array(*[bands(F.col("y")) + k for k in (-1, 0, 1)])).alias("band"))
-    over = (F.abs(F.col("hy") - F.col("y")) <= 2) & (F.least("h1", "b") - F.greatest("h0", "a") >= 0.5 * (F.col("b") - F.col("a")))
-    own = cells.withColumn("band", bands(F.col("y"))).join(near, ["page", "band"], "left").groupBy("page", "row", "col", "a", "b").agg(F.coalesce(F.bool_or(over), F.lit(False)).alias("ruled"))
-    w = Window.partitionBy("page", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("top", F.max(F.when(F.col("ruled") | (F.col("row") == 0), F.col("row"))).over(w))
-    placed = words.join(grid, "page").select("page", "id", "t", "x0", "x1", F.rint(F.col("y0") / 3).alias("line"), _place("ys", (F.col("y0") + F.col("y1")) / 2).alias("row"), _place("xs", (F.col("x0") + F.col("x1")) / 2).alias("col"))
-    met = own.join(placed.where("row is not null and col is not null"), ["page", "row", "col"], "left")
-    out = met.groupBy("page", F.col("top").alias("row"), "col", "a", "b").agg(
-        (F.countDistinct("row") - 1).alias("below"),
-        F.collect_list(F.when(F.col("id").isNotNull(), F.struct("line", "x0", "id", "t"))).alias("words"),
-        F.min("x0").alias("left"),
-        F.max("x1").alias("right"),
-    )
+    box = ["x0", "y0", "x1", "y1"]
+    doubles = [F.col(c).cast("double").alias(c) for c in box]
+    kind = words.schema["page"].dataType
+    page = kind.simpleString()
+    schema = to_arrow_schema(T._parse_datatype_string(f"page {page}, {_CELLS}"))
+    w = packed(words.select("page", "id", "t", *doubles), ["page"], ["id", "t", *box])
+    r = packed(rules.select(F.col("page").cast(kind).alias("page"), *doubles), ["page"], box)
+    out = w.groupBy("page").cogroup(r.groupBy("page")).applyInArrow(lambda a, b: _ruled_page(a, b, schema), f"page {page}, {_CELLS}")
     align = F.when(F.col("left").isNull(), "left").otherwise(_aligned(F.col("left") - F.col("a"), F.col("b") - F.col("right"), F.col("b") - F.col("a"), 8.0))
-    return out.select("page", "row", "col", _text(F.col("words")).alias("text"), align.alias("align"), "below")
+    return out.select("page", "row", "col", "text", align.alias("align"), "below")
+
+
+def _text(words: Column) -> Column:
+    """Lines of words (struct line, x0, id, t, ...), joined by a space each and by line ends."""
+    step = lambda acc, w: F.struct(F.concat(acc["text"], F.when(acc["line"].isNull(), "").when(acc["line"] == w["line"], " ").otherwise("\n"), w["t"]).alias("text"), w["line"].alias("line"))
+    return F.aggregate(F.array_sort(words), F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("line")), step, lambda acc: acc["text"])
 
 
 def _heads(batches):
