@@ -104,52 +104,50 @@ def ruled_cells(words: DataFrame, rules: DataFrame) -> DataFrame:
     return out.select("page", "row", "col", "text", align.alias("align"), "below")
 
 
-def _text(words: Column) -> Column:
-    """Lines of words (struct line, x0, id, t, ...), joined by a space each and by line ends."""
-    step = lambda acc, w: F.struct(F.concat(acc["text"], F.when(acc["line"].isNull(), "").when(acc["line"] == w["line"], " ").otherwise("\n"), w["t"]).alias("text"), w["line"].alias("line"))
-    return F.aggregate(F.array_sort(words), F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("line")), step, lambda acc: acc["text"])
-
-
-def _heads(batches):
-    """For each line of a run the line that its row starts with."""
-    for batch in batches:
-        out: list[tuple] = []
-        for page, lines in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            have, head = set(), None
-            for x in lines:
-                own = set(x["have"])
-                if not own < have:
-                    have, head = own, x["line"]
-                out.append((page, x["line"], head))
-        pages, lines, heads = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(pages, batch.schema.field(0).type), pa.array(lines, pa.float64()), pa.array(heads, pa.float64())], ["page", "line", "head"])
+def _rows_of_lines(close: list[bool], have: list[int]) -> np.ndarray:
+    """For each line the number of its row; ``have`` are the columns where a line has text, as bits."""
+    above, row, out = 0, -1, []
+    for near, own in zip(close, have, strict=True):
+        # columns of the row above are those of its first line: later lines of a row have text only there
+        if not near or own == above or own & ~above:
+            above, row = own, row + 1
+        out.append(row)
+    return np.array(out, np.int64)
+
+
+def _spaced_page(words: pa.Table, gap: float, schema: pa.Schema) -> pa.Table:
+    x0, y0, x1, y1 = floats(words, "x0", "y0", "x1", "y1")
+    ids = flat(words, "id").to_numpy(zero_copy_only=False)
+    order = np.lexsort((ids, x1, x0))
+    reach, start = np.maximum.accumulate(x1[order])[:-1], x0[order][1:]
+    apart = start - reach > gap
+    cuts = np.sort(np.rint((start[apart] + reach[apart]) / 2))
+    col = np.searchsorted(cuts - 2, x0, side="right")
+    lines, line = np.unique(np.rint(y0 / 3), return_inverse=True)
+    # each line's first word, and the columns that it has
+    order = np.lexsort((ids, x0, line))
+    first = order[np.append(True, np.diff(line[order]) > 0)]
+    close = np.append(False, y0[first][1:] - y0[first][:-1] <= 1.7 * (y1[first][:-1] - y0[first][:-1]))
+    have = [0] * len(lines)
+    for k in np.unique(line * (len(cuts) + 1) + col).tolist():
+        have[k // (len(cuts) + 1)] |= 1 << k % (len(cuts) + 1)
+    row = _rows_of_lines(close.tolist(), have)[line]
+    first, read = read_lines(flat(words, "t").to_pylist(), row, col, line, x0, ids)
+    page = pa.repeat(words["page"][0], len(first))
+    return pa.Table.from_arrays([page, pa.array(row[first], pa.int32()), pa.array(col[first], pa.int32()), pa.array(read, pa.string())], schema=schema)
 
 
 def spaced_cells(words: DataFrame, gap: float = 18.0) -> DataFrame:
     """Cells (page, row, col, text) of zones without rules: columns part where no word is for more than ``gap``, rows are lines of 3 points.
 
     A line that has text in fewer columns than the row above, only in columns that have text there, and follows within 1.7 of its height, goes
-    on with that row's cells.
+    on with that row's cells. Words of a page are shuffled once, as arrays.
     """
-    w = Window.partitionBy("page").orderBy("x0", "x1", "id")
-    reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = words.withColumn("r__", reach).where(F.col("x0") - F.col("r__") > gap).select("page", F.rint((F.col("x0") + F.col("r__")) / 2).alias("cut"))
-    cuts = cut.groupBy("page").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
-    rows = words.join(cuts, "page", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>")))
-    rows = rows.withColumn("line", F.rint(F.col("y0") / 3)).withColumn("col", F.size(F.filter("cuts", lambda x: F.col("x0") >= x - 2)))
-    lines = rows.groupBy("page", "line").agg(F.array_sort(F.collect_set("col")).alias("have"), F.min_by(F.struct("y0", "y1"), F.struct("x0", "id")).alias("first"))
-    o = Window.partitionBy("page").orderBy("line")
-    before = F.lag("first").over(o)
-    close = F.col("first.y0") - before["y0"] <= 1.7 * (before["y1"] - before["y0"])
-    lines = lines.withColumn("close", F.coalesce(close, F.lit(False)))
-    # columns of the row above are those of its first line: later lines of a row have text only there
-    lines = lines.withColumn("run", F.sum(F.when(F.col("close"), 0).otherwise(1)).over(o))
-    runs = lines.groupBy("page", "run").agg(F.array_sort(F.collect_list(F.struct("line", "have"))).alias("l"))
-
-    heads = runs.mapInArrow(_heads, f"page {rows.schema['page'].dataType.simpleString()}, line double, head double")
-    numbered = heads.withColumn("row", F.dense_rank().over(Window.partitionBy("page").orderBy("head")) - 1)
-    got = rows.join(numbered, ["page", "line"]).groupBy("page", "row", "col").agg(F.collect_list(F.struct("line", "x0", "id", "t")).alias("words"))
-    return got.select("page", "row", "col", _text(F.col("words")).alias("text"))
+    box = ["x0", "y0", "x1", "y1"]
+    out = f"page {words.schema['page'].dataType.simpleString()}, row int, col int, text string"
+    schema = to_arrow_schema(T._parse_datatype_string(out))
+    w = packed(words.select("page", "id", "t", *[F.col(c).cast("double").alias(c) for c in box]), ["page"], ["id", "t", *box])
+    return w.groupBy("page").applyInArrow(lambda t: _spaced_page(t, gap, schema), out)
 
 
 def page_model(blocks: DataFrame, width: float, signatures: DataFrame) -> DataFrame:
