@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.text import let
-
 # The rules of hyphenation by P. Khristov, in order; a mark goes between what the first and the second stand for.
 _X, _V, _C, _ANY = "[йьъ]", "[аеёиоуыэюя]", "[бвгджзклмнпрстфхцчшщ]", "[а-яё]"
 RULES = [(_X, _ANY + _ANY), (_V, _V + _ANY), (_C + _V, _C + _V), (_V + _C, _C + _V), (_C + _V, _C + _C + _V), (_V + _C + _C, _C + _C + _V)]
@@ -20,30 +23,64 @@ HELVETICA = {
 #: Width of every other character, and of a capital where capitals count as wider.
 OTHER, CAPITAL = 600, 720
 # End of the fixed values.
+_RULES = [(re.compile(f"({a})({b})"), "\\1\n\\2") for a, b in RULES]
+_KINDS = {ord(c): kind[1] for kind in (_X, _V, _C) for small in kind[1:-1] for c in (small, small.upper())}
+_WORDS, _MIXED = re.compile(f"({LONG_WORD})"), re.compile("[а-яё][А-ЯЁ]")
 
 
-def _marked(word: Column) -> Column:
-    for _ in range(2):
-        for a, b in RULES:
-            word = F.regexp_replace(word, f"(?iu)({a})({b})", "$1|$2")
-    return F.regexp_replace(F.regexp_replace(word, r"^(.)\|", "$1"), r"\|(.)$", "$1")
+#: Words, and kinds of words, whose parts a task remembers; beyond, it begins anew.
+REMEMBERED = 1 << 18
 
 
-def _abbreviation(word: Column, small: Column) -> Column:
-    """Capitals only within a text that has small letters, or a capital behind a small letter."""
-    return ((F.upper(word) == word) & small) | word.rlike("[а-яё][А-ЯЁ]")
+@lru_cache(REMEMBERED)
+def _cuts(kinds: str) -> tuple[int, ...]:
+    """Where words part whose letters are of these kinds (й, а or б for each); the rules ask for no more."""
+    low = kinds
+    for _ in range(2):
+        for rule, by in _RULES:
+            low = rule.sub(by, low)
+    low = re.sub(r"^(.)\n", r"\1", low)
+    low = re.sub(r"\n(.)$", r"\1", low)
+    ends = [m.start() for m in re.finditer("\n", low)]
+    return tuple(e - k for k, e in enumerate(ends))
+
+
+def parted(word: str) -> str:
+    """The word with a line feed at every place where it may part. Letters go by what they stand for, capitals as small ones."""
+    cuts = _cuts(word.translate(_KINDS))
+    return "\n".join(word[i:j] for i, j in zip((0, *cuts), (*cuts, len(word)), strict=True)) if cuts else word
+
+
+def _hyphenated(text: str, mark: str, small: bool, known: dict[str, tuple[str, bool, bool]]) -> str:
+    out = _WORDS.split(text)
+    for k in range(1, len(out), 2):
+        word = out[k]
+        told = known.get(word)
+        if told is None:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            told = known[word] = parted(word), word.upper() == word, _MIXED.search(word) is not None
+        parts, capitals, mixed = told
+        if not (mixed or capitals and small):
+            out[k] = parts.replace("\n", mark)
+    return "".join(out)
 
 
 def hyphenated(text: Column, mark: Column, context: Column | None = None) -> Column:
-    """The text with ``mark`` at every place where a long Russian word may part; abbreviations, told by the context, stay whole."""
+    """The text with ``mark`` at every place where a long Russian word may part; abbreviations, told by the context, stay whole.
+
+    Abbreviations have capitals only within a context that has small letters, or a capital behind a small letter. Texts repeat their words, so
+    each task parts a word once: the rules, which go over a word twice, are too many for every occurrence.
+    """
     small = (text if context is None else context).rlike("[а-яё]")
-    words = F.regexp_extract_all(text, F.lit(LONG_WORD), 0)
 
-    def put(v: Column) -> Column:
-        parted = F.transform(v["words"], lambda w: F.when(_abbreviation(w, v["small"]), w).otherwise(F.replace(_marked(w), F.lit("|"), v["mark"])))
-        return F.array_join(F.flatten(F.zip_with(v["between"], parted, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[str, tuple[str, bool, bool]] = {}
+        for texts, marks, smalls in batches:
+            yield pd.Series([None if t is None or m is None or s is None else _hyphenated(t, m, bool(s), known) for t, m, s in zip(texts, marks, smalls, strict=True)], dtype=object)
 
-    return let({"words": words, "between": F.split(text, LONG_WORD, -1), "small": small, "mark": mark}, put)
+    return run(text, mark, small)
 
 
 def pieces(word: Column, context: Column) -> Column:
