@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from textloom.operators.packed import flat
+from textloom.operators.packed import packed as in_arrays
 
 
 def context(rows: DataFrame, part: str, order: str, clip: int = 400) -> DataFrame:
@@ -70,11 +76,29 @@ def gap_clusters(rows: DataFrame, part: str, value: str, tolerance: float) -> Da
     return sums.select(part, "island", "n", "low", "high", F.round(F.col("sum__") / F.col("n"), 6).alias("center"))
 
 
+def _label_runs(t: pa.Table, part: list[str], order: str, label: str, schema: pa.Schema) -> pa.Table:
+    at = flat(t, order).to_numpy(zero_copy_only=False)
+    told = flat(t, label).dictionary_encode(null_encoding="encode")
+    kind = told.indices.to_numpy(zero_copy_only=False)
+    by = np.lexsort((at, kind))
+    at, kind = at[by], kind[by]
+    k = at - np.arange(len(at))
+    new = np.append(True, (kind[1:] != kind[:-1]) | (k[1:] != k[:-1]))
+    starts = np.flatnonzero(new)
+    length = np.diff(np.append(starts, len(at)))
+    labels = told.dictionary.take(pa.array(kind[starts]))
+    return pa.Table.from_arrays([*(pa.repeat(t[c][0], len(starts)) for c in part), labels, pa.array(at[starts], schema.field("start").type), pa.array(length, pa.int64())], schema=schema)
+
+
 def runs(rows: DataFrame, part: list[str], order: str, label: str) -> DataFrame:
-    """Runs of consecutive numbers of one label: (part, label, start, length)."""
-    w = Window.partitionBy(*part, label).orderBy(order)
-    keyed = rows.withColumn("k__", F.col(order) - F.row_number().over(w))
-    return keyed.groupBy(*part, label, "k__").agg(F.min(order).alias("start"), F.count("*").alias("length")).drop("k__")
+    """Runs of consecutive numbers of one label: (part, label, start, length). The numbers are whole, and each occurs once in a part.
+
+    Rows of a part are shuffled and sorted as arrays: a task's memory is that of its numbers and labels, not of rows.
+    """
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    out = ", ".join([*(f"`{c}` {kind(c)}" for c in (*part, label)), f"start {kind(order)}", "length long"])
+    schema = to_arrow_schema(T._parse_datatype_string(out))
+    return in_arrays(rows, part, [order, label]).groupBy(*part).applyInArrow(lambda t: _label_runs(t, part, order, label, schema), out)
 
 
 def medians(rows: DataFrame, part: str, value: str) -> DataFrame:
