@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.operators.graph import components
+from textloom.operators.packed import flat, floats, packed
 from textloom.sources.scratch import stored
 
 #: Height of the blocks of a page whose boxes one task links, and how many pairs it looks at together.
@@ -40,14 +45,74 @@ def overlaps(boxes: DataFrame, share: float = 0.25, band: float = 24.0) -> DataF
     return rows.where(F.col("area") > share * F.col("smaller")).select("page", "a", "b", F.round("area", 6).alias("area"))
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Six places as Spark's round has them: halves of the number as it is written go away from zero."""
+    scaled = x * 1e6
+    out = np.rint(scaled) / 1e6
+    unsure = (np.abs(np.abs(scaled - np.floor(scaled)) - 0.5) < 1e-3) | (np.abs(scaled) > 2**50)
+    for k in np.flatnonzero(unsure & (x != np.rint(x))):
+        out[k] = float(Decimal(repr(float(x[k]))).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    whole = x == np.rint(x)
+    out[whole] = x[whole]
+    return out
+
+
+def _in_bands(y0: np.ndarray, y1: np.ndarray, band: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each box (its place) in every band that it touches."""
+    first, last = np.floor(y0 / band).astype(np.int64), np.floor(y1 / band).astype(np.int64)
+    n = np.maximum(last - first + 1, 0)
+    at = np.repeat(np.arange(len(y0)), n)
+    return at, first[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _best_lines(boxes: pa.Table, lines: pa.Table, share: float, band: float, schema: pa.Schema) -> pa.Table:
+    if not boxes.num_rows or not lines.num_rows:
+        return schema.empty_table()
+    ax0, ay0, ax1, ay1 = floats(boxes, "x0", "y0", "x1", "y1")
+    bx0, by0, bx1, by1 = floats(lines, "x0", "y0", "x1", "y1")
+    ids, names = (flat(t, "id").to_numpy(zero_copy_only=False) for t in (boxes, lines))
+    a, band_a = _in_bands(ay0, ay1, band)
+    b, band_b = _in_bands(by0, by1, band)
+    order = np.argsort(band_b, kind="stable")
+    b, band_b = b[order], band_b[order]
+    low, high = np.searchsorted(band_b, band_a), np.searchsorted(band_b, band_a, side="right")
+    ends = np.cumsum(high - low)
+    found: list[tuple] = []
+    start = 0
+    while start < len(a):  # runs of boxes with about PAIRS lines in their bands
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PAIRS, side="right")))
+        n = (high - low)[start:stop]
+        i = np.repeat(a[start:stop], n)
+        j = b[np.repeat(low[start:stop], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+        w, h = np.minimum(ax1[i], bx1[j]) - np.maximum(ax0[i], bx0[j]), np.minimum(ay1[i], by1[j]) - np.maximum(ay0[i], by0[j])
+        met = (w > 0) & (h > share * (ay1 - ay0)[i])
+        found.append(_largest(ids[i[met]], names[j[met]], _rounded((w * h)[met])))
+        start = stop
+    box, line, area = _largest(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (ids[:0], names[:0], ax0[:0])
+    kinds = [schema.field(c).type for c in ("id", "line")]
+    return pa.Table.from_arrays([pa.repeat(boxes["page"][0], len(box)), pa.array(box, kinds[0]), pa.array(line, kinds[1]), pa.array(area, pa.float64())], schema=schema)
+
+
+def _largest(box: np.ndarray, line: np.ndarray, area: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each box the line of the largest area, the smallest of equals."""
+    order = np.lexsort((line, -area, box))
+    first = order[np.append(True, np.diff(box[order]) != 0)] if len(order) else order
+    return box[first], line[first], area[first]
+
+
 def best_line(boxes: DataFrame, lines: DataFrame, share: float = 0.4, band: float = 24.0) -> DataFrame:
-    """The line that each box overlaps most, by more than ``share`` of its height: (page, id, line)."""
-    a, b = buckets(boxes, band).alias("a"), buckets(lines, band).alias("b")
-    w = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")
-    h = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")
-    met = (F.col("a.page") == F.col("b.page")) & (F.col("a.band") == F.col("b.band")) & (w > 0) & (h > share * (F.col("a.y1") - F.col("a.y0")))
-    rows = a.join(b, met).select(F.col("a.page").alias("page"), F.col("a.id").alias("id"), F.col("b.id").alias("line"), F.round(w * h, 6).alias("area"))
-    return rows.groupBy("page", "id").agg(F.max_by("line", F.struct("area", F.negative("line"))).alias("line"), F.max("area").alias("area"))
+    """The line that each box overlaps most, by more than ``share`` of its height: (page, id, line, area).
+
+    Boxes and lines of a page are shuffled once, as arrays, and meet there by bands.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    kind = boxes.schema["page"].dataType
+    whole = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    out = f"page {kind.simpleString()}, id {boxes.schema['id'].dataType.simpleString()}, line {lines.schema['id'].dataType.simpleString()}, area double"
+    schema = to_arrow_schema(T._parse_datatype_string(out))
+    a, b = (packed(x.where(whole).select(F.col("page").cast(kind).alias("page"), "id", *[F.col(c).cast("double").alias(c) for c in box]), ["page"], ["id", *box]) for x in (boxes, lines))
+    return a.groupBy("page").cogroup(b.groupBy("page")).applyInArrow(lambda x, y: _best_lines(x, y, share, band, schema), out)
 
 
 def line_groups(boxes: DataFrame, gap: float = 30.0) -> DataFrame:
