@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
+
 # Results have to follow these forms letter by letter.
 #: Forms of the word for a chapter, and of the word for a section that stands for each.
 CHAPTER_FORMS = {
@@ -26,15 +28,24 @@ CAPITAL_FIGURE = rf"(?<=[{CYRILLIC},;:)»\p{{L}}\p{{N}}_]\s)Рисун(ок|ке
 # End of the fixed values.
 
 
-def _forms() -> list[tuple[str, str]]:
-    """What is exchanged for what, in order; a word that has forms gives a pair for each, small and with a capital."""
-    out = [(SECTIONS, "$1. разделы $2$3$4"), (SECTION, "$1. раздел $2"), (COLON, "$1. $2"), (IN_BRACKETS, "(см. раздел $1)")]
+def _forms() -> list[tuple[str, str, str]]:
+    """What is exchanged for what, in order, and what a text has to hold for that; a word that has forms gives a pair for each, small and with a capital.
+
+    What has to be there is never made by a form before, so it is looked for in the text as it comes.
+    """
+    out = [("м.", SECTIONS, "$1. разделы $2$3$4"), ("м.", SECTION, "$1. раздел $2"), ("м.:", COLON, "$1. $2"), ("(", IN_BRACKETS, "(см. раздел $1)")]
     for old, new in CHAPTER_FORMS.items():
-        out += [(rf"(?<![{CYRILLIC}]){f(old)}(?=\s+{NUMBER})", f(new)) for f in (str, str.capitalize)]
-    out.append((POINT, "$1. раздел $2"))
+        out += [("лав", rf"(?<![{CYRILLIC}]){f(old)}(?=\s+{NUMBER})", f(new)) for f in (str, str.capitalize)]
+    out.append(("п.", POINT, "$1. раздел $2"))
     for preposition, figure in FIGURE_FORMS.items():
-        out += [(rf"(?<![{CYRILLIC}]){f(preposition)}\s+рис\.\s*(\d+)", f"{f(preposition)} {figure} $1") for f in (str, str.capitalize)]
-    return [*out, (SEE_FIGURE, "$1$2рисунок $3"), (FIGURE_IN_BRACKETS, "(рисунок $1"), (CAPITAL_FIGURE, "рисун$1$2")]
+        out += [("рис.", rf"(?<![{CYRILLIC}]){f(preposition)}\s+рис\.\s*(\d+)", f"{f(preposition)} {figure} $1") for f in (str, str.capitalize)]
+    return [*out, ("рис.", SEE_FIGURE, "$1$2рисунок $3"), ("(рис.", FIGURE_IN_BRACKETS, "(рисунок $1"), ("Рисун", CAPITAL_FIGURE, "рисун$1$2")]
+
+
+def exchanged(text: Column, forms: list[tuple[str, str, str]]) -> Column:
+    """The text after all forms (held, pattern, replacement) in order; only those are tried whose ``held`` is in the text."""
+    table = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("held", "form", "by"), f, strict=True)]) for f in forms])
+    return let({"text": text}, lambda v: F.aggregate(F.filter(table, lambda f: F.contains(v["text"], f["held"])), v["text"], lambda acc, f: F.regexp_replace(acc, f["form"], f["by"])))
 
 
 def references(c: Column) -> Column:
@@ -42,7 +53,4 @@ def references(c: Column) -> Column:
 
     A text without a number keeps what it is, so it goes through none of the forms.
     """
-    out = c
-    for form, by in _forms():
-        out = F.regexp_replace(out, form, by)
-    return F.when(c.rlike(r"\d"), out).otherwise(c)
+    return F.when(c.rlike(r"\d"), exchanged(c, _forms())).otherwise(c)

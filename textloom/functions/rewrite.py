@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.functions.references import references
+from textloom.functions.references import exchanged, references
+from textloom.functions.text import let
 
 #: Entities and what they stand for (fixed values).
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")]
@@ -14,10 +15,8 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")]
 
 def units(c: Column) -> Column:
     """A unit after a number becomes the target's with one space before it; service notes go."""
-    out = F.regexp_replace(c, r"\s*\[(?:уточнить|проверено)[^\]]*\]", "")
-    for unit, target in sorted(X.UNITS, key=lambda u: -len(u[0])):
-        out = F.regexp_replace(out, rf"(?<=[0-9])\s?{unit}(?![\p{{L}}\p{{N}}_/])", f" {target}")
-    return out
+    bare = let({"c": c}, lambda v: F.when(F.contains(v["c"], F.lit("[")), F.regexp_replace(v["c"], r"\s*\[(?:уточнить|проверено)[^\]]*\]", "")).otherwise(v["c"]))
+    return exchanged(bare, [(unit, rf"(?<=[0-9])\s?{unit}(?![\p{{L}}\p{{N}}_/])", f" {target}") for unit, target in sorted(X.UNITS, key=lambda u: -len(u[0]))])
 
 
 def entities(c: Column) -> Column:
@@ -32,7 +31,8 @@ def spaces_before_marks(c: Column) -> Column:
 
 def straight_quotes(src: Column, c: Column) -> Column:
     """Straight quotes to guillemets, unless the source has straight ones (then they are code)."""
-    return F.when(~F.contains(src, F.lit('"')), F.regexp_replace(c, '(?<![=\\p{L}\\p{N}_])"([^"\\n]+)"', "«$1»")).otherwise(c)
+    quoted = F.contains(c, F.lit('"')) & ~F.contains(src, F.lit('"'))
+    return F.when(quoted, F.regexp_replace(c, '(?<![=\\p{L}\\p{N}_])"([^"\\n]+)"', "«$1»")).otherwise(c)
 
 
 def dates_as_source(src: Column, c: Column) -> Column:
