@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from textloom.operators.packed import flat, packed
 
 #: Instructions of fields that are computed anew when a document is opened (fixed values).
 PAGE_FIELDS = ("PAGE", "NUMPAGES", "SECTIONPAGES")
@@ -24,40 +30,63 @@ def sign_run(text: Column, font: Column) -> Column:
     return signs | F.coalesce(font.rlike("|".join(SIGN_FONTS)), F.lit(False))
 
 
-def field_of_runs(runs: DataFrame) -> DataFrame:
-    """Adds ``field`` (null outside of fields) and ``result`` (the innermost open field is past its separator) to the runs of each part.
+#: Kinds of runs as numbers, and what is told of a text by itself (bits): in a page field, signs only, without letters.
+_KINDS = {"text": 0, "begin": 1, "separate": 2, "end": 3, "instr": 4}
+_PAGE, _SIGN, _BARE = 1, 2, 4
 
-    ``runs(part, seq, kind, text)``: kind is begin, separate, end, instr or text. Open fields are a stack. Its height is the count of begins
-    less that of ends, where an end of nothing counts nothing; this is the plain difference less its lowest value so far, two running
-    windows. At a height, the innermost field is that of the last begin that reached it.
-    """
-    w = Window.partitionBy("part").orderBy("seq")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("kind") == "begin", 1).when(F.col("kind") == "end", -1).otherwise(0)
-    rows = runs.withColumn("plain__", F.sum(step).over(so_far))
-    rows = rows.withColumn("height__", F.col("plain__") - F.least(F.min("plain__").over(so_far), F.lit(0)))
-    level = Window.partitionBy("part", "height__").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("nth__", F.sum(F.when(F.col("kind") == "begin", 1).otherwise(0)).over(level))
-    inside = (F.col("height__") > 0) & (F.col("kind") != "end")
-    rows = rows.withColumn("field", F.when(inside, F.struct(F.col("height__").alias("height"), F.col("nth__").alias("nth"))))
-    own = Window.partitionBy("part", "field").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    past = F.max(F.when(F.col("kind") == "separate", 1).otherwise(0)).over(own) == 1
-    return rows.withColumn("result", F.col("field").isNotNull() & past).drop("plain__", "height__", "nth__")
+
+def _results(t: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The texts of a part that are results of a field, with its instruction, and those that are told by themselves."""
+    seq, kind, told = (flat(t, c).to_numpy(zero_copy_only=False) for c in ("seq", "kind", "told"))
+    order = np.argsort(seq, kind="stable")
+    kind = kind[order]
+    marks, texts = np.flatnonzero(kind), np.flatnonzero(kind == 0)
+    parts = flat(t, "instruction").take(pa.array(order[marks])).to_pylist()
+    # open fields are a stack; for each mark the field that is open behind it, if that is past its separator
+    stack: list[int] = []
+    instructions: list[list[str]] = []
+    past: list[bool] = []
+    state = [-1]
+    for k, part in zip(kind[marks].tolist(), parts, strict=True):
+        if k == 1:
+            stack.append(len(past))
+            past.append(False)
+            instructions.append([])
+        elif stack:
+            if k == 3:
+                stack.pop()
+            elif k == 2:
+                past[stack[-1]] = True
+            elif part is not None:
+                instructions[stack[-1]].append(part)
+        state.append(stack[-1] if stack and past[stack[-1]] else -1)
+    field = np.array(state)[np.searchsorted(marks, texts)]
+    at = order[texts]
+    kept = (field >= 0) | (told[at] & (_PAGE | _SIGN) > 0)
+    at, field = at[kept], field[kept]
+    joined = ["".join(x) for x in instructions]
+    found = [joined[f] if f >= 0 else None for f in field.tolist()]
+    return pa.Table.from_arrays([pa.repeat(t["part"][0], len(at)), pa.array(seq[at], schema.field("seq").type), pa.array(told[at], pa.int8()), pa.array(found, pa.string())], schema=schema)
 
 
 def computed_runs(runs: DataFrame) -> DataFrame:
     """Text runs that are no text: (part, seq, why) with why page, data or sign.
 
-    A result of a page field, a result without letters of a data field, or a run of signs. ``runs`` also have ``font`` and ``simple``, the
-    instruction of the simple field around a run (else null). A field's instruction is all of its own instruction runs in order; a field that
+    A result of a page field, a result without letters of a data field, or a run of signs. ``runs(part, seq, kind, text, font, simple)``: kind is
+    begin, separate, end, instr or text, ``simple`` the instruction of the simple field around a run (else null). Open fields are a stack, where
+    an end of nothing counts nothing. A field's instruction is all of its own instruction runs in order; a field that
     is never closed lasts to the end of its part.
+
+    What a run tells by itself is told first, so only that, its kind and instructions are shuffled, once and as arrays of a part.
     """
-    told = field_of_runs(runs)
-    parts = told.where("kind = 'instr' and field is not null").groupBy("part", "field").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("x"))
-    parts = parts.select("part", "field", F.array_join(F.transform("x", lambda x: x["text"]), "").alias("instruction"))
-    rows = told.where("kind = 'text'").join(parts, ["part", "field"], "left")
-    letters = F.col("text").rlike(r"\p{L}")
-    page = named(F.col("simple"), PAGE_FIELDS) | (F.col("result") & named(F.col("instruction"), PAGE_FIELDS))
-    data = F.col("result") & named(F.col("instruction"), DATA_FIELDS) & ~letters
-    why = F.when(page, "page").when(data, "data").when(sign_run(F.col("text"), F.col("font")), "sign")
-    return rows.select("part", "seq", why.alias("why")).where("why is not null")
+    number = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in _KINDS.items()]).cast("tinyint")
+    bit = lambda c, n: F.when(c, n).otherwise(0)
+    told = bit(named(F.col("simple"), PAGE_FIELDS), _PAGE) + bit(sign_run(F.col("text"), F.col("font")), _SIGN) + bit(~F.col("text").rlike(r"\p{L}"), _BARE)
+    rows = runs.select("part", "seq", number.alias("kind"), F.when(F.col("kind") == "text", told).otherwise(0).cast("tinyint").alias("told"), F.when(F.col("kind") == "instr", F.col("text")).alias("instruction"))
+    kind = lambda c: runs.schema[c].dataType.simpleString()
+    out = f"part {kind('part')}, seq {kind('seq')}, told tinyint, instruction string"
+    schema = to_arrow_schema(T._parse_datatype_string(out))
+    found = packed(rows.where("kind is not null"), ["part"], ["seq", "kind", "told", "instruction"]).groupBy("part").applyInArrow(lambda t: _results(t, schema), out)
+    has = lambda n: F.col("told").bitwiseAND(F.lit(n).cast("tinyint")) != 0
+    why = F.when(has(_PAGE) | named(F.col("instruction"), PAGE_FIELDS), "page").when(named(F.col("instruction"), DATA_FIELDS) & has(_BARE), "data").when(has(_SIGN), "sign")
+    return found.select("part", "seq", why.alias("why")).where("why is not null")
