@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -185,3 +186,15 @@ def test_each_id_is_trained_on_once_and_by_the_windows_that_score_it():
         on = y >= 0
         assert (np.where(laid[:, 1:] < lm.CLASSES, laid[:, 1:], -1.0) == y).all() and (laid[:, :-1][on] == x[on]).all()
         assert (laid[:, lm.OVERLAP + 1 :] < lm.CLASSES).sum() == n and set(rounds) <= set(range(lm.ROUNDS))
+
+
+def test_words_that_are_not_listed_have_their_share(some):
+    """A shorter list in the tasks changes no score: the other words meet their counts in the join."""
+    rows = some.select("doc_id", "text", F.when(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 1, 1).otherwise(0).alias("own"))
+    model, counts = lm.learn(rows.where("own = 1"), lm.ranks_path())
+    told = lambda m: sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.scored(rows, m, lm.ranks_path(), counts).collect())
+    want = told(model)
+    for least in (30, 10**9):
+        got = told(replace(model, top={w: c for w, c in model.top.items() if c >= least}))
+        assert [g[:3] for g in got] == [x[:3] for x in want]
+        assert [x for g in got for x in g[3:]] == pytest.approx([x for r in want for x in r[3:]], rel=1e-6)
