@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.geometry import BLOCK, buckets
+from textloom.operators.geometry import buckets
 from textloom.sources.scratch import stored
 
 
@@ -19,16 +19,16 @@ def hidden_text(items: DataFrame, big: float = 0.5, most: float = 0.7) -> DataFr
     box = ["x0", "y0", "x1", "y1"]
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     images = items.where((F.col("kind") == "image") & F.col("opaque") & (area >= big * F.col("page_area")))
-    blocks = F.sequence(F.floor(F.col("y0") / BLOCK), F.floor(F.col("y1") / BLOCK))
-    last = images.groupBy("page", *box).agg(F.max("ord").alias("later")).select("page", F.struct(*box, "later").alias("i"), F.explode(blocks).alias("block"))
-    last = last.groupBy("page", "block").agg(F.collect_list("i").alias("over"))
+    last = images.groupBy("page", *box).agg(F.max("ord").alias("later")).groupBy("page").agg(F.collect_list(F.struct(*box, "later")).alias("over"))
     holds = lambda i: (i["x0"] <= F.col("x0")) & (i["y0"] <= F.col("y0")) & (i["x1"] >= F.col("x1")) & (i["y1"] >= F.col("y1")) & (i["later"] > F.col("ord"))
-    texts = items.where("kind = 'text'").withColumn("block", F.floor(F.col("y0") / BLOCK)).join(last.hint("shuffle_hash"), ["page", "block"], "left")
-    told = texts.select("page", "id", *box, F.coalesce(F.exists("over", holds), F.lit(False)).alias("under"))
-    marked = stored(told.select("page", *(F.when(F.col("under"), F.col(c)).alias(c) for c in ("id", *box)), "under"), "hidden")
-    pages = marked.groupBy("page").agg((F.sum(F.when(F.col("under"), 1).otherwise(0)) <= most * F.count("*")).alias("fine"))
-    under = marked.where("under").join(pages.where("fine"), "page", "left_semi").select("page", "id", *box)
-    return under.unionByName(items.where("kind = 'unseen'").select("page", "id", *box))
+    # items that are dealt by page already are not shuffled; what is shown leaves only its page to be counted by
+    drawn = items.where(F.col("kind").isin("text", "unseen")).join(last.hint("shuffle_hash"), "page", "left")
+    under = F.when(F.col("kind") == "text", F.coalesce(F.exists("over", holds), F.lit(False)))
+    told = drawn.select("page", "id", *box, under.alias("under"))
+    marked = stored(told.select("page", "under", *(F.when(F.coalesce("under", F.lit(True)), F.col(c)).alias(c) for c in ("id", *box))), "hidden")
+    pages = marked.where("under is not null").groupBy("page").agg((F.sum(F.when(F.col("under"), 1).otherwise(0)) <= most * F.count("*")).alias("fine"))
+    hidden = marked.where("under").join(pages.where("fine").hint("shuffle_hash"), "page", "left_semi")
+    return hidden.unionByName(marked.where("under is null")).select("page", "id", *box)
 
 
 def union_area(rects: Column) -> Column:

@@ -19,13 +19,13 @@ from textloom.sources.scratch import stored
 BLOCK, PAIRS = 2400.0, 1 << 20
 
 
-def token_boxes(texts: DataFrame, per_line: int = 8, char: float = 6.0, line: float = 12.0) -> DataFrame:
-    """Boxes derived from texts(page, text): words laid out ``per_line`` to a line, one column each; (page, id, line, t, box)."""
-    rows = texts.select("page", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("id", "t"))
+def token_boxes(texts: DataFrame, per_line: int = 8, char: float = 6.0, line: float = 12.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Boxes derived from texts(page, text): words laid out ``per_line`` to a line, one column each; (page, id, line, t, box, kept columns)."""
+    rows = texts.select("page", *keep, F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("id", "t"))
     x0 = (F.col("id") % per_line) * 60.0 + F.pmod(F.length("t") * 7, F.lit(11))
     row = F.floor(F.col("id") / per_line)
     y0 = row * line + F.pmod(F.length("t"), F.lit(3))
-    return rows.select("page", "id", row.alias("line"), "t", x0.alias("x0"), y0.cast("double").alias("y0"), (x0 + F.length("t") * char).alias("x1"), (y0 + 10.0).alias("y1"))
+    return rows.select("page", "id", row.alias("line"), "t", x0.alias("x0"), y0.cast("double").alias("y0"), (x0 + F.length("t") * char).alias("x1"), (y0 + 10.0).alias("y1"), *keep)
 
 
 def buckets(boxes: DataFrame, size: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import cells, cover, fields, figures, flow, geometry, tree, zones
 from textloom.plans.documents import SEG, seg
-from textloom.plans.layout import BOXES, boxes
+from textloom.plans.layout import BOXES, boxes, page_texts
 from textloom.plans.registry import Registry
 from textloom.sources.tables import page_lines, table
 
@@ -74,19 +74,19 @@ _ITEMS = f"""(with b as (select * from {BOXES}), p as (select page, count(*) as
 
 
 def drawn_items(spark, d):
-    b = boxes(spark, d)
-    p = b.groupBy("page").agg(F.count("*").alias("n"), F.max("y1").alias("h"))
-    texts = b.join(p, "page").select("page", "id", ((F.col("id") * 7919) % F.col("n")).alias("ord"), F.when(F.length("t") % 13 == 0, "unseen").otherwise("text").alias("kind"), F.lit(False).alias("opaque"), (480.0 * F.col("h")).alias("page_area"), "x0", "y0", "x1", "y1")
+    p = boxes(spark, d).groupBy("page").agg(F.count("*").alias("n"), F.max("y1").alias("h"))
+    # whole texts meet the numbers of their page, not each word; the words are then dealt by page
+    b = geometry.token_boxes(page_texts(spark, d).join(p.hint("merge"), "page"), keep=("n", "h"))
+    texts = b.select("page", "id", ((F.col("id") * 7919) % F.col("n")).alias("ord"), F.when(F.length("t") % 13 == 0, "unseen").otherwise("text").alias("kind"), F.lit(False).alias("opaque"), (480.0 * F.col("h")).alias("page_area"), "x0", "y0", "x1", "y1")
     h, kind = F.col("h"), F.col("page") % 4
 
     def image(no, ord_, where, opaque, x1, y0):
-        return p.where(where).select("page", F.lit(no).alias("id"), F.floor(ord_).alias("ord"), F.lit("image").alias("kind"), opaque.alias("opaque"), (480.0 * h).alias("page_area"), F.lit(-20.0).alias("x0"), y0.alias("y0"), F.lit(x1).alias("x1"), (h + 5).alias("y1"))
+        return F.when(where, F.struct(F.lit(no).alias("id"), F.floor(ord_).alias("ord"), opaque.alias("opaque"), y0.alias("y0"), F.lit(x1).alias("x1")))
 
     n, yes, top = F.col("n"), F.lit(True), F.lit(-5.0)
     images = [image(-1, n / 2, kind.isin(0, 1), kind != 1, 640.0, top), image(-2, n + 1, kind == 2, yes, 640.0, top), image(-3, n * 3 / 10, kind == 3, yes, 640.0, 0.4 * h), image(-4, n * 6 / 10, kind == 3, yes, 300.0, top)]
-    for i in images:
-        texts = texts.unionByName(i)
-    return texts
+    i = p.select("page", "h", F.explode(F.array_compact(F.array(*images))).alias("i"))
+    return texts.unionByName(i.select("page", "i.id", "i.ord", F.lit("image").alias("kind"), "i.opaque", (480.0 * h).alias("page_area"), F.lit(-20.0).alias("x0"), "i.y0", "i.x1", (h + 5).alias("y1")))
 
 
 _HIDDEN = f"""(with i as materialized (select * from {_ITEMS}), big as (select page, ord, x0, y0, x1, y1 from i where kind = 'image' and opaque and (x1 - x0) * (y1 - y0) >= 0.5 * page_area),

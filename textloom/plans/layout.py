@@ -11,8 +11,12 @@ from textloom.sources.tables import page_lines, table
 query = Registry()
 
 
+def page_texts(spark, d):
+    return table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("page"), "text")
+
+
 def boxes(spark, d):
-    return geometry.token_boxes(table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("page"), "text"))
+    return geometry.token_boxes(page_texts(spark, d))
 
 
 BOXES = """(select page, id, id // 8 as line, t, cast((id % 8) * 60.0 + (length(t) * 7) % 11 as double) as x0, cast((id // 8) * 12.0 + length(t) % 3 as double) as y0, cast((id % 8) * 60.0 + (length(t) * 7) % 11 + length(t) * 6.0 as double) as x1,
