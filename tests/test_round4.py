@@ -1,10 +1,11 @@
 """Small tables on which queries once shuffled every word or called Python for every page."""
 
 import os
+import random
 
-from pyspark.sql import functions as F
+import pytest
 
-from textloom.operators import cover
+from textloom.operators import cover, packed
 from textloom.plans import catalogue
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -22,3 +23,24 @@ def test_words_of_hidden_texts_are_not_shuffled(spark, monkeypatch):
     assert catalogue.queries()["hidden_texts"](spark, DATA).count() > 0
     above, _, _ = plans[0].partition("Generate")
     assert "Exchange" not in above and "Join" in above
+
+
+@pytest.mark.parametrize("at_once", [1, 100, 1 << 18])
+def test_shares_of_boxes_meet_as_arrays(spark, monkeypatch, at_once):
+    """Boxes and covers of a page meet without a join, whatever pages a task looks at together; equal ids of one size count as one."""
+    monkeypatch.setattr(packed, "TOGETHER", at_once)
+    rng = random.Random(6)
+    spot = lambda w, h: (lambda x, y: (float(x), float(y), float(x + rng.randrange(w)), float(y + rng.randrange(h))))(rng.randrange(-20, 60), rng.randrange(-50, 150))
+    boxes = [(p, k % 9, *spot(40, 30)) for p in range(12) for k in range(p)]
+    covers = [(p, *spot(30, 80)) for p in range(-1, 14) if p % 5 for _ in range(8)] + [(7, None, 0.0, 1.0, 1.0)]
+    at = {}
+    for p, k, x0, y0, x1, y1 in boxes:
+        at.setdefault((p, k, (x1 - x0) * (y1 - y0)), set()).update((i, j) for q, a, b, c, d in covers if q == p and a is not None for i in range(int(max(a, x0)), int(min(c, x1))) for j in range(int(max(b, y0)), int(min(d, y1))))
+    want = sorted((p, k, round(len(spots) / size, 6)) for (p, k, size), spots in at.items() if spots and round(len(spots) / size, 6) >= 0.2)
+    a = spark.createDataFrame(boxes, "page int, id int, x0 double, y0 double, x1 double, y1 double")
+    b = spark.createDataFrame(covers, "page int, x0 double, y0 double, x1 double, y1 double")
+    got = cover.covered_share(a, b, 0.2)
+    assert got.dtypes == [("page", "int"), ("id", "int"), ("covered", "double")]
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 10
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert cover.covered_share(a.where("page > 99"), b).count() == 0 == cover.covered_share(a, b.where("page > 99")).count()

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.geometry import buckets
+from textloom.operators.geometry import PAIRS, _in_bands, _rounded
+from textloom.operators.packed import together
 from textloom.sources.scratch import stored
 
+BOX = ["x0", "y0", "x1", "y1"]
+
 
 def hidden_text(items: DataFrame, big: float = 0.5, most: float = 0.7) -> DataFrame:
     """Text that is not seen: (page, id, x0, y0, x1, y1).
@@ -45,16 +50,109 @@ def union_area(rects: Column) -> Column:
     return F.aggregate(strips, F.lit(0.0), lambda a, x: a + x)
 
 
+def _ranges(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _union_areas(of: np.ndarray, n: int, x0, y0, x1, y1) -> np.ndarray:
+    """Areas of the unions of the boxes of each of ``n`` owners ``of``, as ``union_area`` has them; boxes stand in the order of their owners."""
+    out = np.zeros(n)
+    count = np.bincount(of, minlength=n)
+    starts, most = np.append(0, np.cumsum(count)), np.cumsum(2 * count * count)
+    at = 0
+    while at < n:  # runs of owners with about PAIRS boxes in all their strips
+        stop = max(at + 1, int(np.searchsorted(most, (most[at - 1] if at else 0) + PAIRS, side="right")))
+        a, z = starts[at], starts[stop]
+        if a < z:
+            owner = of[a:z] - at
+            side, whose = np.concatenate([x0[a:z], x1[a:z]]), np.concatenate([owner, owner])
+            order = np.lexsort((side, whose))
+            side, whose = side[order], whose[order]
+            new = np.append(True, (side[1:] != side[:-1]) | (whose[1:] != whose[:-1]))
+            side, whose = side[new], whose[new]
+            strip = np.flatnonzero(whose[1:] == whose[:-1])
+            left, right, whose = side[strip], side[strip + 1], whose[strip]
+            each = count[at:stop][whose]
+            s, r = np.repeat(np.arange(len(strip)), each), a + np.repeat(starts[at:stop][whose] - a, each) + _ranges(each)
+            inside = (x0[r] <= left[s]) & (x1[r] >= right[s])
+            s, r = s[inside], r[inside]
+            order = np.lexsort((y1[r], y0[r], s))
+            s, r = s[order], r[order]
+            rank = np.arange(len(s)) - np.searchsorted(s, s)
+            by_rank = np.argsort(rank, kind="stable")
+            end, high = np.full(len(strip), -np.inf), np.zeros(len(strip))
+            for some in np.split(by_rank, np.cumsum(np.bincount(rank))[:-1]) if len(s) else []:  # the first of every strip, the second of every strip, ...
+                k, low, top = s[some], y0[r[some]], y1[r[some]]
+                high[k] += np.maximum(top - np.maximum(end[k], low), 0)
+                end[k] = np.maximum(end[k], top)
+            out[at:stop] = np.bincount(whose, high * (right - left), stop - at)
+        at = stop
+    return out
+
+
+def _covered(a: dict, b: dict, share: float, band: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of boxes of ``a`` (the first of those with equal part, id and size) of which the boxes of ``b`` take at least ``share``, and the shares."""
+    none = np.zeros(0, np.int64), np.zeros(0)
+    (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = ([t[c].to_numpy(zero_copy_only=False) for c in BOX] for t in (a, b))
+    if not len(ax0) or not len(bx0):
+        return none
+    size = (ax1 - ax0) * (ay1 - ay0)
+    ids = a["id"].to_numpy(zero_copy_only=False)
+    order = np.lexsort((size, ids, a["of__"]))
+    same = np.append(False, (np.diff(a["of__"][order]) == 0) & (ids[order][1:] == ids[order][:-1]) & (np.diff(size[order]) == 0))
+    first = order[~same]
+    owner = np.empty(len(order), np.int64)
+    owner[order] = np.cumsum(~same) - 1
+    i, band_a = _in_bands(ay0, ay1, band)
+    j, band_b = _in_bands(by0, by1, band)
+    if not len(i) or not len(j):
+        return none
+    low = min(band_a.min(), band_b.min())
+    high = max(band_a.max(), band_b.max()) - low + 1
+    key_a, key_b = a["of__"][i] * high + band_a - low, b["of__"][j] * high + band_b - low
+    by_key = np.argsort(key_b, kind="stable")
+    j, key_b, band_b = j[by_key], key_b[by_key], band_b[by_key]
+    from_, to = np.searchsorted(key_b, key_a), np.searchsorted(key_b, key_a, side="right")
+    ends, found, start = np.cumsum(to - from_), [], 0
+    while start < len(i):  # runs of boxes with about PAIRS others in their bands
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
+        n = (to - from_)[start:stop]
+        x = np.repeat(i[start:stop], n)
+        at = np.repeat(from_[start:stop], n) + _ranges(n)
+        y, own = j[at], np.repeat(band_a[start:stop], n)
+        clipped = np.maximum(ax0[x], bx0[y]), np.maximum(ay0[x], by0[y]), np.minimum(ax1[x], bx1[y]), np.minimum(ay1[x], by1[y])
+        met = (clipped[0] < clipped[2]) & (clipped[1] < clipped[3]) & (own == np.maximum(np.floor(ay0[x] / band), np.floor(by0[y] / band)))
+        found.append((owner[x[met]], *(c[met] for c in clipped)))
+        start = stop
+    of, *box = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(of):
+        return none
+    order = np.argsort(of, kind="stable")
+    area = _union_areas(of[order], len(first), *(c[order] for c in box))
+    some = np.unique(of)
+    covered = _rounded(area[some] / size[first[some]])
+    return first[some][covered >= share], covered[covered >= share]
+
+
+def _meeting(boxes: DataFrame, covers: DataFrame) -> list[DataFrame]:
+    whole = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    sides = [F.col(c).cast("double").alias(c) for c in BOX]
+    return [boxes.where(whole).select("page", "id", *sides), covers.where(whole).select("page", *sides)]
+
+
 def covered_share(boxes: DataFrame, covers: DataFrame, share: float = 0.5, band: float = 24.0) -> DataFrame:
-    """Boxes of which ``covers`` take at least ``share``; what several covers take counts once: (page, id, covered)."""
-    a, b = buckets(boxes, band).alias("a"), buckets(covers, band).alias("b")
-    x0, y0, x1, y1 = F.greatest("a.x0", "b.x0"), F.greatest("a.y0", "b.y0"), F.least("a.x1", "b.x1"), F.least("a.y1", "b.y1")
-    first_band = F.col("a.band") == F.greatest(F.floor(F.col("a.y0") / band), F.floor(F.col("b.y0") / band))
-    met = (F.col("a.page") == F.col("b.page")) & (F.col("a.band") == F.col("b.band")) & (x0 < x1) & (y0 < y1) & first_band
-    clipped = F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
-    size = (F.col("a.x1") - F.col("a.x0")) * (F.col("a.y1") - F.col("a.y0"))
-    rows = a.join(b, met).groupBy(F.col("a.page").alias("page"), F.col("a.id").alias("id"), size.alias("size")).agg(F.collect_set(clipped).alias("r"))
-    return rows.withColumn("covered", F.round(union_area(F.col("r")) / F.col("size"), 6)).where(F.col("covered") >= share).select("page", "id", "covered")
+    """Boxes of which ``covers`` take at least ``share``; what several covers take counts once: (page, id, covered).
+
+    Boxes and covers are shuffled once, as arrays, and the pages of a task meet there together, by bands.
+    """
+
+    def run(keys: pa.Array, found: list[dict]) -> pa.Table:
+        at, covered = _covered(*found, share, band)
+        return pa.table({"page": keys.take(pa.array(found[0]["of__"][at])), "id": found[0]["id"].take(pa.array(at)), "covered": covered})
+
+    page, id_ = (boxes.schema[c].dataType.simpleString() for c in ("page", "id"))
+    return together(_meeting(boxes, covers), "page", run, f"page {page}, id {id_}, covered double")
 
 
 def page_kinds(items: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def packed(rows: DataFrame, part: list[str], columns: list[str]) -> DataFrame:
@@ -34,6 +37,60 @@ def packed(rows: DataFrame, part: list[str], columns: list[str]) -> DataFrame:
     return rows.select(*part, *columns).mapInArrow(pack, schema)
 
 
+#: Rows of whole parts that are looked at together, at least, if there are so many.
+TOGETHER = 1 << 18
+
+
+def together(tables: list[DataFrame], part: str, run, schema: str) -> DataFrame:
+    """``run(keys, tables)`` on whole parts, many at a time, with the rows of ``schema``.
+
+    The tables have the column ``part``; they are shuffled by it once, as arrays. ``keys`` are different parts (an array), and each of the tables given to
+    ``run`` has its columns and ``of__``, the place of a row's part in ``keys``; it has no row of a part that the table has not.
+    """
+    columns = list(dict.fromkeys(c for t in tables for c in t.columns if c != part))
+    kinds = {c: next(t.schema[c].dataType.simpleString() for t in tables if c in t.columns) for c in columns}
+    dealt = None
+    for k, t in enumerate(tables):
+        own = packed(t, [part], [c for c in t.columns if c != part])
+        rows = own.select(F.col(part), F.lit(k).alias("table__"), *((F.col(c) if c in t.columns else F.lit(None)).cast(f"array<{kinds[c]}>").alias(c) for c in columns))
+        dealt = rows if dealt is None else dealt.unionByName(rows)
+    out = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def told(t: pa.Table) -> pa.Table:
+        keys = t[part].combine_chunks().dictionary_encode()
+        side, found = t["table__"].to_numpy(), []
+        for k, own in enumerate(tables_columns):
+            at = np.flatnonzero(side == k)
+            rows = t.take(pa.array(at))
+            n = rows[own[0]].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            found.append({"of__": np.repeat(keys.indices.to_numpy()[at], n)} | {c: flat(rows, c) for c in own})
+        return run(keys.dictionary, found)
+
+    def go(batches):
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            key, start = t[part].combine_chunks(), 0
+            new = np.flatnonzero(np.append(True, pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False))) if len(key) else []
+            weights = np.zeros(len(key), np.int64)
+            for own in tables_columns:
+                weights = np.maximum(weights, pc.fill_null(pc.list_value_length(t[own[0]]), 0).to_numpy().astype(np.int64))
+            ends = np.append(0, np.cumsum(weights))
+            for at in new:
+                more = size + ends[at] - ends[start]
+                if more >= TOGETHER and (at or held[-1][part][-1] != key[0]):
+                    yield from told(pa.concat_tables([*held, t.slice(start, at - start)])).to_batches()
+                    held, size, start = [], 0, at
+            held.append(t.slice(start))
+            size += ends[-1] - ends[start]
+        if size or any(h.num_rows for h in held):
+            yield from told(pa.concat_tables(held)).to_batches()
+
+    tables_columns = [[c for c in t.columns if c != part] for t in tables]
+    return dealt.where(F.col(part).isNotNull()).repartition(part).sortWithinPartitions(part).mapInArrow(lambda batches: (b.cast(out) for b in go(batches)), schema)
+
+
 def flat(t: pa.Table, column: str) -> pa.Array:
     """A column of all arrays of a part, as one array."""
     x = pc.list_flatten(t[column])
