@@ -5,7 +5,9 @@ import random
 
 import pytest
 
-from textloom.operators import cover, packed
+from pyspark.sql import functions as F
+
+from textloom.operators import cover, packed, tree
 from textloom.plans import catalogue
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -44,3 +46,29 @@ def test_shares_of_boxes_meet_as_arrays(spark, monkeypatch, at_once):
     assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 10
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert cover.covered_share(a.where("page > 99"), b).count() == 0 == cover.covered_share(a, b.where("page > 99")).count()
+
+
+@pytest.mark.parametrize("at_once", [1, 1 << 18])
+def test_contents_are_gathered_in_one_shuffle(spark, monkeypatch, at_once):
+    """Nodes and pieces of a document meet as arrays: cycles, gaps, ties, and pieces without text or place as ever."""
+    monkeypatch.setattr(packed, "TOGETHER", at_once)
+    rng = random.Random(8)
+    nodes = [(d, k * (10**11 if d == 3 else 1), None if k == 0 else (rng.randrange(k) if d % 2 else k - 1) * (10**11 if d == 3 else 1), rng.random() < 0.2) for d in range(9) for k in range(40 * d)]
+    nodes += [(20, 0, 1, False), (20, 1, 0, False), (20, 2, 1, False), (20, 3, 3, True), (21, 5, 77, None), (22, 1, None, True)]
+    pieces = [(d, rng.choice([None, 0, 1]), rng.randrange(5), k, rng.choice([None, "é", "z", f"w{k}", "日"])) for d, k, _, _ in nodes for _ in range(rng.randrange(4))] + [(2, 0, 0, 999, "no node"), (30, 0, 0, 0, "no document")]
+    up = {(d, k): (p, h) for d, k, p, h in nodes}
+    want = {}
+    for d, page, number, k, text in pieces:
+        seen = set()
+        while (d, k) in up and k not in seen and not up[d, k][1]:
+            seen.add(k)
+            k = up[d, k][0]
+        if (d, k) in up and k not in seen:
+            want.setdefault((d, k), []).append((page is not None, page or 0, number, text is not None, (text or "").encode()))
+    want = sorted((d, k, len(x), " ".join(t.decode() for *_, there, t in sorted(x) if there)) for (d, k), x in want.items())
+    a = spark.createDataFrame(nodes, "doc int, node long, parent long, h boolean").repartition(3)
+    b = spark.createDataFrame(pieces, "doc int, page int, mcid int, node long, text string").repartition(5)
+    got = tree.gathered(a, b, F.col("h"))
+    assert got.dtypes == [("doc", "int"), ("node", "bigint"), ("n", "bigint"), ("text", "string")]
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 100
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

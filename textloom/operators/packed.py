@@ -63,7 +63,7 @@ def together(tables: list[DataFrame], part: str, run, schema: str) -> DataFrame:
             at = np.flatnonzero(side == k)
             rows = t.take(pa.array(at))
             n = rows[own[0]].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            found.append({"of__": np.repeat(keys.indices.to_numpy()[at], n)} | {c: flat(rows, c) for c in own})
+            found.append({"of__": np.repeat(keys.indices.to_numpy().astype(np.int64)[at], n)} | {c: flat(rows, c) for c in own})
         return run(keys.dictionary, found)
 
     def go(batches):
