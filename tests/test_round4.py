@@ -2,12 +2,13 @@
 
 import os
 import random
+import re
 
 import pytest
 
 from pyspark.sql import functions as F
 
-from textloom.operators import cover, packed, tree
+from textloom.operators import cover, ink, packed, tree
 from textloom.plans import catalogue
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -72,3 +73,50 @@ def test_contents_are_gathered_in_one_shuffle(spark, monkeypatch, at_once):
     assert got.dtypes == [("doc", "int"), ("node", "bigint"), ("n", "bigint"), ("text", "string")]
     assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 100
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("at_once", [1, 1 << 18])
+def test_printed_words_are_shuffled_once(spark, monkeypatch, at_once):
+    """The words of a page go to one place with what each would be: no table is stored, no word is joined; pages and lines without a number count alone."""
+    monkeypatch.setattr(packed, "TOGETHER", at_once)
+    rng = random.Random(9)
+    words = ["abcd", "Név:", "[l", "I", "x", "..", "a1", None, "(]"]
+    rows = []
+    for page in [None, *range(12)]:
+        for k in range(70):
+            t, x, y = rng.choice(words), rng.randrange(120), rng.randrange(72)
+            odd = lambda v: None if rng.random() < 0.03 else v
+            rows.append((page, odd(y // 24), k, 0, t, odd(t), odd(rng.choice([1.0, 6.0, 9.0, 10.0, 11.0, 18.0])), odd(rng.choice([20, 50, 70, 85, 95])), odd(rng.choice([0.04, 0.07, 0.3, 0.6])), odd(rng.random() < 0.6), float(x), odd(float(y)), float(x + rng.choice([9, 20])), float(y + 10)))
+    got = ink.printed(spark.createDataFrame(rows, "page int, line int, id int, part int, t string, raw string, h double, conf int, ink double, confirmed boolean, x0 double, y0 double, x1 double, y1 double").repartition(4))
+    no = lambda a: None if a is None else not a
+    and_ = lambda *a: False if False in a else None if None in a else True
+    or_ = lambda *a: no(and_(*map(no, a)))
+    less = lambda a, b: None if a is None or b is None else a < b
+    fits = lambda p, t: None if t is None else bool(re.search(p, t))
+    lines, found = {}, []
+    for r in rows:
+        if less(r[6], 2) is False:
+            lines.setdefault(r[:2], []).append(r[6])
+    for page, line, k, part, t, raw, h, conf, pale, sure, x0, y0, x1, y1 in rows:
+        if less(h, 2) is not False:
+            continue
+        heights = sorted(lines[page, line])
+        usual, label = heights[(len(heights) - 1) // 2], fits("^[A-Za-zÁÉÍÓÖŐÚÜŰáéíóöőúüű]{3,}:", raw)
+        ratio = 0.75 <= (x1 - x0) / (0.1 if y0 is None else max(y1 - y0, 0.1)) <= 1.3
+        size = None if raw is None else len(raw)
+        box = and_(less(size, 4), less(conf, 60), ratio, or_(h >= 1.15 * usual, fits(r"[\[\]£|]", raw)))
+        bullet = and_(and_(less(size, 2), no(less(size, 1))), h < 0.7 * usual, less(0.55, pale))
+        light = or_(less(pale, 0.05), and_(less(conf, 80), less(pale, 0.08)), and_(less(conf, 60), len(heights) >= 2 and h > 1.6 * usual))
+        hand = and_(or_(light, and_(less(conf, 30), no(sure))), no(label))
+        sign = and_(no(hand), fits(r"[^\W_]|[_<>≤≥=±÷+%°Δ×→]", t), no(fits(r"^\[?[LlI1|]{0,2}\]$|^\[$", t)))
+        if or_(box, bullet) is False and (hand or sign):
+            zone = t is not None and len(re.sub(r"[\W_]", "", t)) >= 2
+            doubtful = and_(less(conf, 90), less(pale, 0.08), no(label))
+            kind = ("zone" if zone else None) if hand else "asked" if doubtful else "kept"
+            found.append((kind, page, k, part, t, x0, y0, x1, y1))
+    zones = [f for f in found if f[0] == "zone" and f[6] is not None]
+    near = lambda f: f[1] is not None and f[6] is not None and any(z[1] == f[1] and f[5] < z[7] + 3 and f[7] > z[5] - 3 and f[6] < z[8] + 3 and f[8] > z[6] - 3 for z in zones)
+    want = [f[1:5] for f in found if f[0] == "kept" or f[0] == "asked" and not near(f)]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 100 and any(near(f) for f in found if f[0] == "asked")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Window" not in plan and "Relation" not in plan

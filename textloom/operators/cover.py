@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.geometry import PAIRS, _in_bands, _rounded
+from textloom.operators.geometry import PAIRS, _ranges, _rounded, band_pairs
 from textloom.operators.packed import together
 from textloom.sources.scratch import stored
 
@@ -50,11 +50,6 @@ def union_area(rects: Column) -> Column:
     return F.aggregate(strips, F.lit(0.0), lambda a, x: a + x)
 
 
-def _ranges(n: np.ndarray) -> np.ndarray:
-    """0 to n - 1 for each n."""
-    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-
-
 def _union_areas(of: np.ndarray, n: int, x0, y0, x1, y1) -> np.ndarray:
     """Areas of the unions of the boxes of each of ``n`` owners ``of``, as ``union_area`` has them; boxes stand in the order of their owners."""
     out = np.zeros(n)
@@ -104,30 +99,14 @@ def _covered(a: dict, b: dict, share: float, band: float) -> tuple[np.ndarray, n
     first = order[~same]
     owner = np.empty(len(order), np.int64)
     owner[order] = np.cumsum(~same) - 1
-    i, band_a = _in_bands(ay0, ay1, band)
-    j, band_b = _in_bands(by0, by1, band)
-    if not len(i) or not len(j):
-        return none
-    low = min(band_a.min(), band_b.min())
-    high = max(band_a.max(), band_b.max()) - low + 1
-    key_a, key_b = a["of__"][i] * high + band_a - low, b["of__"][j] * high + band_b - low
-    by_key = np.argsort(key_b, kind="stable")
-    j, key_b, band_b = j[by_key], key_b[by_key], band_b[by_key]
-    from_, to = np.searchsorted(key_b, key_a), np.searchsorted(key_b, key_a, side="right")
-    ends, found, start = np.cumsum(to - from_), [], 0
-    while start < len(i):  # runs of boxes with about PAIRS others in their bands
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
-        n = (to - from_)[start:stop]
-        x = np.repeat(i[start:stop], n)
-        at = np.repeat(from_[start:stop], n) + _ranges(n)
-        y, own = j[at], np.repeat(band_a[start:stop], n)
+    found = []
+    for x, y in band_pairs(a["of__"], ay0, ay1, b["of__"], by0, by1, band):
         clipped = np.maximum(ax0[x], bx0[y]), np.maximum(ay0[x], by0[y]), np.minimum(ax1[x], bx1[y]), np.minimum(ay1[x], by1[y])
-        met = (clipped[0] < clipped[2]) & (clipped[1] < clipped[3]) & (own == np.maximum(np.floor(ay0[x] / band), np.floor(by0[y] / band)))
+        met = (clipped[0] < clipped[2]) & (clipped[1] < clipped[3])
         found.append((owner[x[met]], *(c[met] for c in clipped)))
-        start = stop
-    of, *box = (np.concatenate(x) for x in zip(*found, strict=True))
-    if not len(of):
+    if not any(len(f[0]) for f in found):
         return none
+    of, *box = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(of, kind="stable")
     area = _union_areas(of[order], len(first), *(c[order] for c in box))
     some = np.unique(of)
@@ -136,7 +115,7 @@ def _covered(a: dict, b: dict, share: float, band: float) -> tuple[np.ndarray, n
 
 
 def _meeting(boxes: DataFrame, covers: DataFrame) -> list[DataFrame]:
-    whole = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    whole = F.col("page").isNotNull() & F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
     sides = [F.col(c).cast("double").alias(c) for c in BOX]
     return [boxes.where(whole).select("page", "id", *sides), covers.where(whole).select("page", *sides)]
 

@@ -65,6 +65,33 @@ def _in_bands(y0: np.ndarray, y1: np.ndarray, band: float) -> tuple[np.ndarray,
     return at, first[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
 
 
+def _ranges(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def band_pairs(of_a: np.ndarray, ay0, ay1, of_b: np.ndarray, by0, by1, band: float):
+    """Places of boxes a and b of one page (their numbers ``of``) that have a band in common, each pair once, about PAIRS at a time."""
+    i, band_a = _in_bands(ay0, ay1, band)
+    j, band_b = _in_bands(by0, by1, band)
+    if not len(i) or not len(j):
+        return
+    low = min(band_a.min(), band_b.min())
+    high = max(band_a.max(), band_b.max()) - low + 1
+    key_a, key_b = of_a[i] * high + band_a - low, of_b[j] * high + band_b - low
+    order = np.argsort(key_b, kind="stable")
+    j, key_b = j[order], key_b[order]
+    first, last = np.searchsorted(key_b, key_a), np.searchsorted(key_b, key_a, side="right")
+    ends, start = np.cumsum(last - first), 0
+    while start < len(i):  # runs of boxes with about PAIRS others in their bands
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
+        n = (last - first)[start:stop]
+        a, b = np.repeat(i[start:stop], n), j[np.repeat(first[start:stop], n) + _ranges(n)]
+        once = np.repeat(band_a[start:stop], n) == np.maximum(np.floor(ay0[a] / band), np.floor(by0[b] / band))
+        yield a[once], b[once]
+        start = stop
+
+
 def _best_lines(boxes: pa.Table, lines: pa.Table, share: float, band: float, schema: pa.Schema) -> pa.Table:
     if not boxes.num_rows or not lines.num_rows:
         return schema.empty_table()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.geometry import buckets
-from textloom.sources.scratch import stored
+from textloom.operators.geometry import band_pairs
+from textloom.operators.packed import together
 
 # Ink of handwriting, and patterns of labels, signs, check boxes and glued labels.
 INK_HAND, INK_PALE, INK_SOLID = 0.08, 0.05, 0.55
@@ -18,6 +20,9 @@ CAPITALS, RULE = r"[A-ZÁÉÍÓÖŐÚÜŰ]{2}", r"^[|Il1\[\]]$"
 BRACKETS = r"[\[\]£|]"
 # End of the fixed values.
 
+#: What a word may be: handwriting that reaches out, pale and not quite sure, printed; 0 is none of them.
+ZONE, ASKED, KEPT = 1, 2, 3
+
 
 def unglued(words: DataFrame) -> DataFrame:
     """A label that was read as one word with what stands before it becomes a word of its own: adds ``part``; a rule's rest before it goes.
@@ -35,9 +40,31 @@ def unglued(words: DataFrame) -> DataFrame:
     return out.select(*rest, "p.part", "p.t", "p.x0", "p.x1")
 
 
-def _lower_median(value: str, by: list[str]) -> Column:
-    heights = F.sort_array(F.collect_list(value).over(Window.partitionBy(*by)))
-    return F.get(heights, F.floor((F.size(heights) - 1) / 2).cast("int"))
+def _printed(band: float):
+    """Of the words of whole pages those that are printed: by ``code`` what each is for what its line tells."""
+
+    def run(keys: pa.Array, found: list[dict]) -> pa.Table:
+        t = found[0]
+        of, h, code = t["of__"], t["h"].to_numpy(zero_copy_only=False), t["code"].to_numpy(zero_copy_only=False)
+        line = t["line"].fill_null(-1).to_numpy(zero_copy_only=False)
+        order = np.lexsort((h, line, of))
+        starts = np.flatnonzero(np.append(True, (of[order][1:] != of[order][:-1]) | (line[order][1:] != line[order][:-1]))) if len(order) else order
+        n = np.diff(starts, append=len(order))
+        usual, several = np.empty(len(h)), np.empty(len(h), bool)
+        usual[order], several[order] = np.repeat(h[order][starts + (n - 1) // 2], n), np.repeat(n >= 2, n)
+        stays = code >> np.where(h >= 1.15 * usual, 4, np.where(h < 0.7 * usual, 6, 5)) & 1
+        kind = np.where(several & (h > 1.6 * usual), code >> 2 & 3, code & 3) * stays
+        x0, y0, x1, y1 = (t[c].to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1"))
+        told = ~(np.isnan(x0) | np.isnan(y0) | np.isnan(x1) | np.isnan(y1)) & keys.is_valid().to_numpy(zero_copy_only=False)[of]
+        asked, zone = np.flatnonzero(told & (kind == ASKED)), np.flatnonzero(told & (kind == ZONE))
+        for a, z in band_pairs(of[asked], y0[asked], y1[asked], of[zone], y0[zone] - 3, y1[zone] + 3, band):
+            a, z = asked[a], zone[z]
+            near = (x0[a] < x1[z] + 3) & (x1[a] > x0[z] - 3) & (y0[a] < y1[z] + 3) & (y1[a] > y0[z] - 3)
+            kind[a[near]] = 0
+        left = pa.array(np.flatnonzero((kind == KEPT) | (kind == ASKED)))
+        return pa.table({"page": keys.take(pa.array(of).take(left)), **{c: t[c].take(left) for c in ("id", "part", "t")}})
+
+    return run
 
 
 def printed(words: DataFrame, band: float = 24.0) -> DataFrame:
@@ -48,23 +75,25 @@ def printed(words: DataFrame, band: float = 24.0) -> DataFrame:
     low and solid. Of pale words that are not quite sure, those beside handwriting belong to it. Words without a letter, digit or sign go.
     """
     label = F.col("raw").rlike(LABEL)
-    rows = words.where("h >= 2").withColumn("usual", _lower_median("h", ["page", "line"])).withColumn("n", F.count("*").over(Window.partitionBy("page", "line")))
-    tall = (F.col("n") >= 2) & (F.col("h") > 1.6 * F.col("usual"))
-    pale = (F.col("ink") < INK_PALE) | ((F.col("conf") < 80) & (F.col("ink") < INK_HAND)) | ((F.col("conf") < 60) & tall)
     ratio = (F.col("x1") - F.col("x0")) / F.greatest(F.col("y1") - F.col("y0"), F.lit(0.1))
-    box = (F.length("raw") <= 3) & (F.col("conf") < 60) & ratio.between(0.75, 1.3) & ((F.col("h") >= 1.15 * F.col("usual")) | F.col("raw").rlike(BRACKETS))
-    bullet = (F.length("raw") == 1) & (F.col("h") < 0.7 * F.col("usual")) & (F.col("ink") > INK_SOLID)
-    hand = (pale | ((F.col("conf") < 30) & ~F.col("confirmed"))) & ~label
+    zone = F.when(F.length(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}]", "")) >= 2, ZONE)
     doubtful = (F.col("conf") < 90) & (F.col("ink") < INK_HAND) & ~label
-    zone = F.when(F.length(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}]", "")) >= 2, "zone")
-    kind = F.when(hand, zone).when(~hand & F.col("t").rlike(SIGN) & ~F.col("t").rlike(CHECKBOX), F.when(doubtful, "asked").otherwise("kept"))
-    # stored once: the words that are sure go straight out, only pale and handwritten ones meet
-    rows = stored(rows.where(~box & ~bullet).select("page", "id", "part", "t", kind.alias("kind"), *(F.when(kind != "kept", F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1"))).where("kind is not null"), "printed")
-    zones = rows.where("kind = 'zone'")
-    grown = buckets(zones.select("page", (F.col("x0") - 3).alias("zx0"), (F.col("x1") + 3).alias("zx1"), (F.col("y0") - 3).alias("y0"), (F.col("y1") + 3).alias("y1")), band)
-    grown = grown.withColumnsRenamed({"y0": "zy0", "y1": "zy1"})
-    asked = rows.where("kind = 'asked'")
-    near = (F.col("x0") < F.col("zx1")) & (F.col("x1") > F.col("zx0")) & (F.col("y0") < F.col("zy1")) & (F.col("y1") > F.col("zy0"))
-    beside = buckets(asked.select("page", "id", "part", "x0", "x1", "y0", "y1"), band).join(grown, ["page", "band"]).where(near).select("page", "id", "part").distinct()
-    left = asked.join(beside, ["page", "id", "part"], "left_anti")
-    return rows.where("kind = 'kept'").unionByName(left).select("page", "id", "part", "t")
+
+    def kind(tall: bool) -> Column:
+        pale = (F.col("ink") < INK_PALE) | ((F.col("conf") < 80) & (F.col("ink") < INK_HAND)) | ((F.col("conf") < 60) & F.lit(tall))
+        hand = (pale | ((F.col("conf") < 30) & ~F.col("confirmed"))) & ~label
+        return F.coalesce(F.when(hand, zone).when(~hand & F.col("t").rlike(SIGN) & ~F.col("t").rlike(CHECKBOX), F.when(doubtful, ASKED).otherwise(KEPT)), F.lit(0))
+
+    def stays(high: bool, low: bool) -> Column:
+        box = (F.length("raw") <= 3) & (F.col("conf") < 60) & ratio.between(0.75, 1.3) & (F.lit(high) | F.col("raw").rlike(BRACKETS))
+        bullet = (F.length("raw") == 1) & F.lit(low) & (F.col("ink") > INK_SOLID)
+        return F.coalesce((~box & ~bullet).cast("int"), F.lit(0))
+
+    # what a word is depends on its line's lower median in these ways only: the words of a page are shuffled once, as arrays, with what each would be
+    code = kind(False) + 4 * kind(True) + 16 * stays(True, False) + 32 * stays(False, False) + 64 * stays(False, True)
+    rows = words.where("h >= 2").withColumn("code", code.cast("int"))
+    unsure = ((F.col("code") % 4).isin(ZONE, ASKED)) | (F.floor(F.col("code") / 4) % 4).isin(ZONE, ASKED)
+    box = [F.when(unsure, F.col(c)).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    rows = rows.select("page", F.col("line").cast("long").alias("line"), "id", "part", F.when(F.col("code") % 16 > 0, F.col("t")).alias("t"), F.col("h").cast("double").alias("h"), "code", *box)
+    page, id_, part = (words.schema[c].dataType.simpleString() for c in ("page", "id", "part"))
+    return together([rows], "page", _printed(band), f"page {page}, id {id_}, part {part}, t string")

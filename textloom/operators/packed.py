@@ -45,7 +45,7 @@ def together(tables: list[DataFrame], part: str, run, schema: str) -> DataFrame:
     """``run(keys, tables)`` on whole parts, many at a time, with the rows of ``schema``.
 
     The tables have the column ``part``; they are shuffled by it once, as arrays. ``keys`` are different parts (an array), and each of the tables given to
-    ``run`` has its columns and ``of__``, the place of a row's part in ``keys``; it has no row of a part that the table has not.
+    ``run`` has its columns and ``of__``, the place of a row's part in ``keys``. Null is a part, too.
     """
     columns = list(dict.fromkeys(c for t in tables for c in t.columns if c != part))
     kinds = {c: next(t.schema[c].dataType.simpleString() for t in tables if c in t.columns) for c in columns}
@@ -57,7 +57,7 @@ def together(tables: list[DataFrame], part: str, run, schema: str) -> DataFrame:
     out = to_arrow_schema(T._parse_datatype_string(schema))
 
     def told(t: pa.Table) -> pa.Table:
-        keys = t[part].combine_chunks().dictionary_encode()
+        keys = t[part].combine_chunks().dictionary_encode(null_encoding="encode")
         side, found = t["table__"].to_numpy(), []
         for k, own in enumerate(tables_columns):
             at = np.flatnonzero(side == k)
@@ -72,14 +72,15 @@ def together(tables: list[DataFrame], part: str, run, schema: str) -> DataFrame:
         for batch in batches:
             t = pa.Table.from_batches([batch])
             key, start = t[part].combine_chunks(), 0
-            new = np.flatnonzero(np.append(True, pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False))) if len(key) else []
+            moved = pc.or_(pc.fill_null(pc.not_equal(key[1:], key[:-1]), False), pc.xor(key[1:].is_null(), key[:-1].is_null()))
+            new = np.flatnonzero(np.append(True, moved.to_numpy(zero_copy_only=False))) if len(key) else []
             weights = np.zeros(len(key), np.int64)
             for own in tables_columns:
                 weights = np.maximum(weights, pc.fill_null(pc.list_value_length(t[own[0]]), 0).to_numpy().astype(np.int64))
             ends = np.append(0, np.cumsum(weights))
             for at in new:
                 more = size + ends[at] - ends[start]
-                if more >= TOGETHER and (at or held[-1][part][-1] != key[0]):
+                if more >= TOGETHER and (at or held[-1][part][-1].as_py() != key[0].as_py()):
                     yield from told(pa.concat_tables([*held, t.slice(start, at - start)])).to_batches()
                     held, size, start = [], 0, at
             held.append(t.slice(start))
@@ -88,7 +89,7 @@ def together(tables: list[DataFrame], part: str, run, schema: str) -> DataFrame:
             yield from told(pa.concat_tables(held)).to_batches()
 
     tables_columns = [[c for c in t.columns if c != part] for t in tables]
-    return dealt.where(F.col(part).isNotNull()).repartition(part).sortWithinPartitions(part).mapInArrow(lambda batches: (b.cast(out) for b in go(batches)), schema)
+    return dealt.repartition(part).sortWithinPartitions(part).mapInArrow(lambda batches: (b.cast(out) for b in go(batches)), schema)
 
 
 def flat(t: pa.Table, column: str) -> pa.Array:

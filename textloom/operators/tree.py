@@ -128,7 +128,7 @@ def gathered(nodes: DataFrame, leaves: DataFrame, holds: Column) -> DataFrame:
     ``leaves(doc, page, mcid, node, text)`` are pieces of content with the tree node they belong to; a piece belongs to its nearest holder. Nodes
     and leaves of a document are shuffled once, as arrays, and holders are found there: memory grows with the longest document.
     """
-    own = nodes.where("node is not null").select("doc", "node", "parent", F.coalesce(holds, F.lit(False)).alias("holds"))
+    own = nodes.where("doc is not null and node is not null").select("doc", "node", "parent", F.coalesce(holds, F.lit(False)).alias("holds"))
     node, doc = (own.schema[c].dataType.simpleString() for c in ("node", "doc"))
-    pieces = leaves.where("node is not null").select("doc", F.col("node").cast(node).alias("node"), "page", "mcid", "text")
+    pieces = leaves.where("doc is not null and node is not null").select("doc", F.col("node").cast(node).alias("node"), "page", "mcid", "text")
     return together([own, pieces], "doc", _gathered, f"doc {doc}, node {node}, n long, text string")
