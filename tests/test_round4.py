@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from textloom.operators import cover, ink, packed, tree
+from textloom.operators import cover, figures, geometry, ink, packed, tree
 from textloom.plans import catalogue
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -120,3 +120,31 @@ def test_printed_words_are_shuffled_once(spark, monkeypatch, at_once):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 100 and any(near(f) for f in found if f[0] == "asked")
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Window" not in plan and "Relation" not in plan
+
+
+def test_pages_of_one_block_stay_out_of_the_rounds(spark, monkeypatch):
+    """The shapes of all pages of a task are merged together; only clusters of pages with several blocks go into the rounds, shapes without a box into none."""
+    rng = random.Random(10)
+    shapes = [(p, k, float(x), float(y), float(x + 20), float(y + 8)) for p in range(60) for k, (x, y) in enumerate((rng.randrange(400), rng.randrange(2390 if p % 6 else 5000)) for _ in range(p))]
+    shapes += [(p, 1000, None, 1.0, 2.0, 3.0) for p in (1, 6)]
+    seen = []
+
+    def counted(now, reach, real=geometry.grids):
+        seen.append({r.page for r in now.select("page").distinct().collect()})
+        return real(now, reach)
+
+    monkeypatch.setattr(figures, "grids", counted)
+    monkeypatch.setattr(packed, "TOGETHER", 300)
+    got = {tuple(r) for r in figures.grown(spark.createDataFrame(shapes, "page int, id int, x0 double, y0 double, x1 double, y1 double").repartition(3), 12.0).collect()}
+    want = set()
+    for page in range(60):
+        now = [[*s[1:], 1] for s in shapes if s[0] == page and s[2] is not None]
+        while True:
+            pair = next(((a, b) for i, a in enumerate(now) for b in now[:i] if a[1] <= b[3] + 12 and b[1] <= a[3] + 12 and a[2] <= b[4] + 12 and b[2] <= a[4] + 12), None)
+            if pair is None:
+                break
+            a, b = pair
+            now = [c for c in now if c is not a and c is not b] + [[min(a[0], b[0]), min(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]), max(a[4], b[4]), a[5] + b[5]]]
+        want |= {(page, *c) for c in now}
+    assert got == want | {(*s, 1) for s in shapes if s[2] is None}
+    assert seen[0] == {p for p in range(60) if len({s[3] // 2400 for s in shapes if s[0] == p and s[2] is not None}) > 1} and len(seen[0]) < 12

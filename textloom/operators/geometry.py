@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.operators.graph import components
-from textloom.operators.packed import flat, floats, packed
+from textloom.operators.packed import flat, floats, packed, together
 from textloom.sources.scratch import stored
 
 #: Height of the blocks of a page whose boxes one task links, and how many pairs it looks at together.
@@ -200,10 +200,20 @@ def touching(rules: DataFrame, reach: float = 2.0, band: float = 24.0) -> DataFr
     return a.join(b, met & first_band).select(F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-def linked(x0, y0, x1, y1, reach: float) -> np.ndarray:
-    """For boxes in order of ``y0`` the first of those that they are linked with, through any number of boxes that touch within ``reach``."""
+def linked(x0, y0, x1, y1, reach: float, of: np.ndarray | None = None) -> np.ndarray:
+    """For boxes in order of ``y0`` the first of those that they are linked with, through any number of boxes that touch within ``reach``.
+
+    With ``of``, the numbers of pages, boxes are in order of page and ``y0``, and only those of one page are linked.
+    """
     low = np.arange(len(y0))
-    last = np.searchsorted(y0, y1 + reach, side="right")
+    if of is None:
+        last = np.searchsorted(y0, y1 + reach, side="right")
+    else:  # how many boxes begin before the end of each, among beginnings and ends in order
+        both = np.concatenate([y0, y1 + reach])
+        order = np.lexsort((np.repeat([False, True], len(y0)), both, np.concatenate([of, of])))
+        last = np.empty(len(y0), np.int64)
+        ends = order >= len(y0)
+        last[order[ends] - len(y0)] = np.cumsum(~ends)[ends]
     ends = np.cumsum(np.maximum(last - low - 1, 0))
     a, b = [], []
     start = 0
@@ -228,15 +238,18 @@ def linked(x0, y0, x1, y1, reach: float) -> np.ndarray:
 
 
 def _block_roots(reach: float):
-    def run(t: pa.Table) -> pa.Table:
-        ids, *box = (t[c].to_numpy() for c in ("id", "x0", "y0", "x1", "y1"))
-        order = np.argsort(box[1], kind="stable")
-        low = linked(*(c[order] for c in box), reach)
-        ids = ids[order]
+    """For the rules of each block of whole pages the least id of those that they are linked with there."""
+
+    def run(keys: pa.Array, found: list[dict]) -> pa.Table:
+        t = found[0]
+        block, ids, *box = (t[c].to_numpy(zero_copy_only=False) for c in ("block", "id", "x0", "y0", "x1", "y1"))
+        order = np.lexsort((box[1], block, t["of__"]))
+        page, block, ids = t["of__"][order], block[order], ids[order]
+        new = np.append(False, (page[1:] != page[:-1]) | (block[1:] != block[:-1])) if len(order) else np.zeros(0, bool)
+        low = linked(*(c[order] for c in box), reach, np.cumsum(new))
         least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, low, ids)
-        home = t["home"].to_numpy(zero_copy_only=False)[order]
-        return pa.table({"page": t["page"].take(pa.array(order)), "id": pa.array(ids, pa.int64()), "home": pa.array(home), "root": pa.array(least[low], pa.int64())})
+        return pa.table({"page": keys.take(pa.array(page)), "id": ids, "home": t["home"].take(pa.array(order)), "root": least[low]})
 
     return run
 
@@ -253,7 +266,7 @@ def grids(rules: DataFrame, reach: float = 2.0) -> DataFrame:
     rows = rules.where(whole).select("page", F.col("id").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), first.alias("first"), F.explode(F.sequence(first, F.greatest(first, last))).alias("block"))
     rows = rows.select("page", "block", "id", "x0", "y0", "x1", "y1", (F.col("first") == F.col("block")).alias("home"))
     page = rules.schema["page"].dataType.simpleString()
-    found = stored(rows.groupBy("page", "block").applyInArrow(_block_roots(reach), f"page {page}, id long, home boolean, root long"), "blocks")
+    found = stored(together([rows], "page", _block_roots(reach), f"page {page}, id long, home boolean, root long"), "blocks")
     own = found.where("home").select("page", "id", "root")
     met = found.where("not home").select("page", "id", F.col("root").alias("other")).join(own, ["page", "id"]).where("root <> other")
     node = lambda c: F.struct("page", F.col(c).alias("id"))
