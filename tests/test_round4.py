@@ -148,3 +148,19 @@ def test_pages_of_one_block_stay_out_of_the_rounds(spark, monkeypatch):
         want |= {(page, *c) for c in now}
     assert got == want | {(*s, 1) for s in shapes if s[2] is None}
     assert seen[0] == {p for p in range(60) if len({s[3] // 2400 for s in shapes if s[0] == p and s[2] is not None}) > 1} and len(seen[0]) < 12
+
+
+@pytest.mark.parametrize("at_once", [1, 1 << 18])
+def test_shapes_that_texts_cover_go_without_a_join(spark, monkeypatch, at_once):
+    monkeypatch.setattr(packed, "TOGETHER", at_once)
+    rng = random.Random(11)
+    spot = lambda: (lambda x, y: (float(x), float(y), float(x + rng.randrange(1, 20)), float(y + rng.randrange(1, 40))))(rng.randrange(40), rng.randrange(60))
+    shapes = [(p, k % 7, *spot()) for p in range(10) for k in range(p * 2)] + [(None, 1, 0.0, 0.0, 5.0, 5.0), (3, 50, None, 0.0, 5.0, 5.0), (4, None, 0.0, 0.0, 5.0, 5.0), (40, 1, 0.0, 0.0, 5.0, 5.0)]
+    texts = [(p, *spot()) for p in [*range(2, 13)] for _ in range(5)] + [(None, 0.0, 0.0, 9.0, 9.0), (3, 0.0, None, 9.0, 9.0), (4, 0.0, 0.0, 9.0, 9.0)]
+    a = spark.createDataFrame(shapes, "page int, id int, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    b = spark.createDataFrame(texts, "page int, x0 double, y0 double, x1 double, y1 double")
+    want = a.join(cover.covered_share(a, b, 0.4), ["page", "id"], "left_anti")
+    got = cover.uncovered(a, b, 0.4)
+    assert got.dtypes == a.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and 20 < got.count() < a.count() - 10
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -134,6 +134,32 @@ def covered_share(boxes: DataFrame, covers: DataFrame, share: float = 0.5, band:
     return together(_meeting(boxes, covers), "page", run, f"page {page}, id {id_}, covered double")
 
 
+def uncovered(boxes: DataFrame, covers: DataFrame, share: float = 0.5, band: float = 24.0) -> DataFrame:
+    """The boxes (page, id, box) that ``covered_share`` does not name."""
+
+    def run(keys: pa.Array, found: list[dict]) -> pa.Table:
+        a, b = found
+        there = keys.is_valid().to_numpy(zero_copy_only=False)
+        whole = [there[t["of__"]] & np.logical_and.reduce([t[c].is_valid().to_numpy(zero_copy_only=False) for c in BOX]) for t in found]
+        places = [np.flatnonzero(w) for w in whole]
+        at, _ = _covered(*({c: x[p] if c == "of__" else x.take(pa.array(p)) for c, x in t.items()} for t, p in zip(found, places, strict=True)), share, band)
+        at = places[0][at]
+        # all boxes of a page with the id of one that is named
+        order = np.lexsort((a["id"].fill_null(-1).to_numpy(zero_copy_only=False), a["of__"]))
+        ids, of = a["id"].fill_null(-1).to_numpy(zero_copy_only=False)[order], a["of__"][order]
+        new = np.append(True, (ids[1:] != ids[:-1]) | (of[1:] != of[:-1])) if len(order) else np.zeros(0, bool)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        named = np.zeros(int(new.sum()), bool)
+        named[group[at]] = True
+        left = pa.array(np.flatnonzero(~named[group] | a["id"].is_null().to_numpy(zero_copy_only=False)))
+        return pa.table({"page": keys.take(pa.array(a["of__"]).take(left)), **{c: a[c].take(left) for c in ("id", *BOX)}})
+
+    page, id_ = (boxes.schema[c].dataType.simpleString() for c in ("page", "id"))
+    sides = [F.col(c).cast("double").alias(c) for c in BOX]
+    return together([boxes.select("page", "id", *sides), covers.select("page", *sides)], "page", run, f"page {page}, id {id_}, " + ", ".join(f"{c} double" for c in BOX))
+
+
 def page_kinds(items: DataFrame) -> DataFrame:
     """(page, scan): a scan is a page of which images take half or more; ``items`` as in hidden_text."""
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.cover import covered_share
+from textloom.operators.cover import uncovered
 from textloom.operators.geometry import BLOCK, buckets, grids, linked
 from textloom.operators.packed import together
 from textloom.sources.scratch import stored
@@ -86,8 +86,7 @@ def figures(shapes: DataFrame, texts: DataFrame, reach: float = 20.0, least: int
     Shapes of which texts cover nine tenths or more are part of the text and left out. A text is a caption if its middle lies within 10 of
     the cluster's box and it is at most 20 wider; any other text that the box cuts makes it no figure. Captions widen the box.
     """
-    written = covered_share(shapes, texts, 0.9).select("page", "id")
-    clusters = grown(shapes.join(written, ["page", "id"], "left_anti"), reach)
+    clusters = grown(uncovered(shapes, texts, 0.9), reach)
     wide = clusters.where((F.col("n") >= least) & (F.col("x1") - F.col("x0") >= width) & (F.col("y1") - F.col("y0") >= height))
     around = buckets(wide.select("page", "id", "n", *(F.col(c).alias(f"f_{c}") for c in BOX), (F.col("y0") - 10).alias("y0"), (F.col("y1") + 10).alias("y1")), band).drop("y0", "y1")
     placed = buckets(texts, band)
