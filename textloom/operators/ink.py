@@ -36,7 +36,7 @@ def unglued(words: DataFrame) -> DataFrame:
     last = F.array(piece(2, label, cut, F.col("x1")))
     both = F.when(head.rlike(RULE), last).otherwise(F.concat(F.array(piece(1, head, F.col("x0"), cut)), last))
     rest = [c for c in words.columns if c not in ("t", "x0", "x1")]
-    out = words.select(*rest, F.explode(F.when((label != "") & ~head.rlike(CAPITALS), both).otherwise(whole)).alias("p"))
+    out = words.select(*rest, F.explode(F.when(F.contains("t", F.lit(":")) & (label != "") & ~head.rlike(CAPITALS), both).otherwise(whole)).alias("p"))
     return out.select(*rest, "p.part", "p.t", "p.x0", "p.x1")
 
 
@@ -74,24 +74,27 @@ def printed(words: DataFrame, band: float = 24.0) -> DataFrame:
     hardly read and not confirmed by the other reader; a field's label never is. Check boxes are unsure, short and nearly square, bullets
     low and solid. Of pale words that are not quite sure, those beside handwriting belong to it. Words without a letter, digit or sign go.
     """
-    label = F.col("raw").rlike(LABEL)
+    # what is asked of a word's text is asked once
+    asked = {"label": F.col("raw").rlike(LABEL), "framed": F.col("raw").rlike(BRACKETS), "said": F.col("t").rlike(SIGN) & ~F.col("t").rlike(CHECKBOX), "wide": F.length(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}]", "")) >= 2}
+    told = words.where("h >= 2").withColumns({f"{c}__": x for c, x in asked.items()})
+    label = F.col("label__")
     ratio = (F.col("x1") - F.col("x0")) / F.greatest(F.col("y1") - F.col("y0"), F.lit(0.1))
-    zone = F.when(F.length(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}]", "")) >= 2, ZONE)
+    zone = F.when(F.col("wide__"), ZONE)
     doubtful = (F.col("conf") < 90) & (F.col("ink") < INK_HAND) & ~label
 
     def kind(tall: bool) -> Column:
         pale = (F.col("ink") < INK_PALE) | ((F.col("conf") < 80) & (F.col("ink") < INK_HAND)) | ((F.col("conf") < 60) & F.lit(tall))
         hand = (pale | ((F.col("conf") < 30) & ~F.col("confirmed"))) & ~label
-        return F.coalesce(F.when(hand, zone).when(~hand & F.col("t").rlike(SIGN) & ~F.col("t").rlike(CHECKBOX), F.when(doubtful, ASKED).otherwise(KEPT)), F.lit(0))
+        return F.coalesce(F.when(hand, zone).when(~hand & F.col("said__"), F.when(doubtful, ASKED).otherwise(KEPT)), F.lit(0))
 
     def stays(high: bool, low: bool) -> Column:
-        box = (F.length("raw") <= 3) & (F.col("conf") < 60) & ratio.between(0.75, 1.3) & (F.lit(high) | F.col("raw").rlike(BRACKETS))
+        box = (F.length("raw") <= 3) & (F.col("conf") < 60) & ratio.between(0.75, 1.3) & (F.lit(high) | F.col("framed__"))
         bullet = (F.length("raw") == 1) & F.lit(low) & (F.col("ink") > INK_SOLID)
         return F.coalesce((~box & ~bullet).cast("int"), F.lit(0))
 
     # what a word is depends on its line's lower median in these ways only: the words of a page are shuffled once, as arrays, with what each would be
     code = kind(False) + 4 * kind(True) + 16 * stays(True, False) + 32 * stays(False, False) + 64 * stays(False, True)
-    rows = words.where("h >= 2").withColumn("code", code.cast("int"))
+    rows = told.withColumn("code", code.cast("int"))
     unsure = ((F.col("code") % 4).isin(ZONE, ASKED)) | (F.floor(F.col("code") / 4) % 4).isin(ZONE, ASKED)
     box = [F.when(unsure, F.col(c)).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
     rows = rows.select("page", F.col("line").cast("long").alias("line"), "id", "part", F.when(F.col("code") % 16 > 0, F.col("t")).alias("t"), F.col("h").cast("double").alias("h"), "code", *box)
